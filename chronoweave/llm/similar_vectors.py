@@ -54,7 +54,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spheri
     return c
 
 
-def fit(sample: np.ndarray, rows: int, rows_per_cell: int = 400, max_cells: int = 2048, probes: int = 12, part_dims: int = 8, codes: int = 256, seed: int = 11) -> Index:
+def fit(sample: np.ndarray, rows: int, rows_per_cell: int = 400, max_cells: int = 2048, probes: int = 12, part_dims: int = 4, codes: int = 256, seed: int = 11) -> Index:
     rng = np.random.default_rng(seed)
     x = sample.astype("float32")
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -255,7 +255,7 @@ def top_k(vectors: DataFrame, id_col: str = "fact_id", vec_col: str = "vec", k:
     # Copies beyond the first k + 1 can be in no answer; they remain queries.
     h = Window.partitionBy(F.xxhash64("vec")).orderBy("id")
     usable = usable.withColumn("again", F.lag("id").over(h)).where("again IS NULL OR again <> id").drop("again")
-    index = _index_for(usable, dim, sample_rows, **({"part_dims": 4} | params))
+    index = _index_for(usable, dim, sample_rows, **params)
     if index is None:
         return vectors.sparkSession.createDataFrame([], "query bigint, rank int, id bigint, cosine double")
     index.probes = min(len(index.centroids), max(index.probes, int(probe_share * len(index.centroids))))
