@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import conversations as talk
-from chronoweave.llm import mixing, similar_vectors, splitting
+from chronoweave.llm import leakage, mixing, secrets, similar_vectors, splitting
 from chronoweave.llm.sql import SQL
 from chronoweave.session import materialize
 from chronoweave.sources.tables import table
@@ -21,6 +21,16 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each credential of each message."""
+    return secrets.credentials(table(spark, d, "session_lines"))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every message with its credentials replaced."""
+    return secrets.redact_messages(table(spark, d, "session_lines")).select("line_id", "message", "n_secrets")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Sessions to drop."""
     slim = materialize(talk.message_lines(table(spark, d, "session_lines")), "lines")
@@ -55,6 +65,20 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).select("chunk_id", "end_offset", "piece_no", "n_pieces", "start_byte", "end_byte", "overlap_bytes", "start_char", "piece")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the evaluation items of which they hold a passage."""
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """For each leaked item the documents that hold it and the longest passage."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("words").alias("longest"), F.max("item_words").alias("item_words"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mixture and how often each is used."""
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
@@ -65,4 +89,4 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_turns, p6_found, p6_top, p7_found, p7_pieces, p9_mix, p9_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_turns, p6_found, p6_top, p7_found, p7_pieces, p8_found, p8_report, p9_mix, p9_report)}
