@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import conversations as talk
-from chronoweave.llm import leakage, mixing, secrets, similar_vectors, splitting
+from chronoweave.llm import leakage, mixing, secrets, similar_vectors, splitting, subjects
 from chronoweave.llm.sql import SQL
 from chronoweave.session import materialize
 from chronoweave.sources.tables import table
@@ -89,4 +89,18 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_turns, p6_found, p6_top, p7_found, p7_pieces, p8_found, p8_report, p9_mix, p9_report)}
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "eval_items"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects of each document."""
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and sentences of the corpus by subject; documents with two subjects count for both."""
+    return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_turns, p6_found, p6_top, p7_found, p7_pieces, p8_found, p8_report, p9_mix, p9_report, p10_found, p10_composition)}
