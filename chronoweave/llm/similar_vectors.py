@@ -27,6 +27,7 @@ class Index:
 
     centroids: np.ndarray  # cells x dim, unit length
     codebooks: np.ndarray  # parts x codes x dim / parts
+    finer: np.ndarray  # likewise, for what the first code leaves out
     probes: int
     cell_salts: np.ndarray  # into how many parts the queries of a cell are spread
 
@@ -67,13 +68,17 @@ def fit(sample: np.ndarray, rows: int, rows_per_cell: int = 400, max_cells: int
     width = -(-dim // parts)
     padded = np.zeros((len(x), parts * width), "float32")
     padded[:, :dim] = residual
-    books = np.zeros((parts, codes, width), "float32")
-    for m in range(parts):
-        b = _kmeans(padded[:, m * width : (m + 1) * width], codes, 8, rng)
-        books[m, : len(b)] = b
+    books = np.zeros((2, parts, codes, width), "float32")
+    for level in range(2):
+        for m in range(parts):
+            own = padded[:, m * width : (m + 1) * width]
+            c_m = _kmeans(own, codes, 8, rng)
+            books[level, m, : len(c_m)] = c_m
+            books[level, m, len(c_m) :] = c_m[0]
+            own -= c_m[(own @ c_m.T - 0.5 * (c_m * c_m).sum(1)).argmax(1)]
     share = np.bincount(near, minlength=len(c)) / len(x)
     salts = np.maximum(1, np.ceil(share * len(c) / 8)).astype("int64")
-    return Index(c, books, min(probes, len(c)), salts)
+    return Index(c, books[0], books[1], min(probes, len(c)), salts)
 
 
 def _matrix(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +93,7 @@ def _assign(index: Index, copy_codes: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, _, width = index.codebooks.shape
-        half = 0.5 * (index.codebooks**2).sum(2)
+        levels = [(b, 0.5 * (b**2).sum(2)) for b in (index.codebooks, index.finer)]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -101,17 +106,16 @@ def _assign(index: Index, copy_codes: bool):
             home = near.argmax(1)
             padded = np.zeros((len(x), parts * width), "float32")
             padded[:, : index.dim] = x - index.centroids[home]
-            code = np.empty((len(x), parts), "uint8")
-            for m in range(parts):
-                part = padded[:, m * width : (m + 1) * width]
-                near_m = (part @ index.codebooks[m].T - half[m]).argmax(1)
-                code[:, m] = near_m
-                padded[:, m * width : (m + 1) * width] -= index.codebooks[m][near_m]
-            left = np.linalg.norm(padded, axis=1).astype("float32") + np.float32(1e-4)
-            head = np.empty((len(x), 8 + parts), "uint8")
-            head[:, :4] = left.view("uint8").reshape(-1, 4)
-            head[:, 4:8] = home.astype("int32").view("uint8").reshape(-1, 4)
-            head[:, 8:] = code
+            head = np.empty((len(x), 12 + 2 * parts), "uint8")
+            head[:, :4] = home.astype("int32").view("uint8").reshape(-1, 4)
+            for level, (books, half) in enumerate(levels):
+                for m in range(parts):
+                    part = padded[:, m * width : (m + 1) * width]
+                    near_m = (part @ books[m].T - half[m]).argmax(1)
+                    head[:, 12 + level * parts + m] = near_m
+                    part -= books[m][near_m]
+                left = np.linalg.norm(padded, axis=1).astype("float32") + np.float32(1e-4)
+                head[:, 4 + 4 * level : 8 + 4 * level] = left.view("uint8").reshape(-1, 4)
             salts = index.cell_salts
             q = np.flatnonzero(as_query)
             for kind, data, own in ((CODE, head, np.arange(len(x))), (QUERY, x.view("uint8").reshape(len(x), -1), q)):
@@ -125,15 +129,14 @@ def _assign(index: Index, copy_codes: bool):
                 else:
                     rows, cells, salt = own, home[own], ids[own] % salts[home[own]]
                 payload = pa.Array.from_buffers(pa.binary(data.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(data[rows]).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.astype("int32")), pa.array(salt.astype("int32")), pa.array(np.full(len(rows), kind, "int32")), pa.array(ids[rows]), payload], names=["cell", "salt", "kind", "id", "payload"]
-                )
+                spot = (cells.astype("int64") << 32) + (salt.astype("int64") << 1) + kind
+                yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(ids[rows]), payload], names=["spot", "id", "payload"])
 
     return run
 
 
 def _scan(index: Index, min_cos: float | None, keep: int):
-    """Rows sorted by (cell, salt, kind): the codes of a cell, then its queries, by asymmetric distance tables."""
+    """Rows sorted by spot (cell, salt, kind): the codes of a cell, then its queries, by asymmetric distance tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n_codes, width = index.codebooks.shape
@@ -146,11 +149,10 @@ def _scan(index: Index, min_cos: float | None, keep: int):
             nonlocal ready
             if ready is None:
                 head, owner = np.concatenate(heads), np.concatenate(owners)
-                left = head[:, :4].copy().view("float32").ravel()
-                home = head[:, 4:8].copy().view("int32").ravel()
+                home, left, left2 = (head[:, 4 * i : 4 * i + 4].copy().view(t).ravel() for i, t in enumerate(("int32", "float32", "float32")))
                 cells, place = np.unique(home, return_inverse=True)
-                ready = owner, left, index.centroids[cells], place.ravel(), head[:, 8:].astype("intp")
-            owner, left, cents, place, code = ready
+                ready = owner, left, left2, index.centroids[cells], place.ravel(), head[:, 12 : 12 + parts].astype("intp"), head[:, 12 + parts :]
+            owner, left, left2, cents, place, code, code2 = ready
             for a in range(0, len(q), 512):
                 block, ids = q[a : a + 512], qid[a : a + 512]
                 padded = np.zeros((len(block), parts * width), "float32")
@@ -169,25 +171,30 @@ def _scan(index: Index, min_cos: float | None, keep: int):
                         n = min(keep, score.shape[0])
                         x = np.argpartition(-score, n - 1, axis=0)[:n].ravel()
                         y = np.tile(np.arange(len(ids)), n)
+                    value = score[x, y]
+                    for m in range(parts):  # the finer code, for these alone
+                        value += (index.finer[m][code2[part][x, m]] * padded[y, m * width : (m + 1) * width]).sum(1)
+                    if min_cos is not None:
+                        near = value >= min_cos - 1e-4 - left2[part][x]
+                        x, y, value = x[near], y[near], value[near]
                     other, own = owner[part][x], ids[y]
                     ok = other != own
                     if ok.any():
                         vec = np.ascontiguousarray(block[y[ok]])
                         payload = pa.Array.from_buffers(pa.binary(4 * index.dim), len(vec), [None, pa.py_buffer(vec.tobytes())]).cast(pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(other[ok]), pa.array(score[x[ok], y[ok]].astype("float32")), payload], names=["query", "id", "score", "q"])
+                        yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(other[ok]), pa.array(value[ok].astype("float32")), payload], names=["query", "id", "score", "q"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, salt, kind, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "salt", "kind", "id"))
-            mark = (cell.astype("int64") << 32) + (salt.astype("int64") << 1) + kind
-            cuts = [0, *(np.flatnonzero(np.diff(mark)) + 1).tolist(), len(mark)]
+            spot, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("spot", "id"))
+            cuts = [0, *(np.flatnonzero(np.diff(spot)) + 1).tolist(), len(spot)]
             for a, b in zip(cuts, cuts[1:]):
-                if (cell[a], salt[a]) != at:
-                    at, heads, owners, ready = (cell[a], salt[a]), [], [], None
+                if spot[a] >> 1 != at:
+                    at, heads, owners, ready = spot[a] >> 1, [], [], None
                 part = batch.column("payload").slice(a, b - a)
                 data = np.frombuffer(b"".join(part.to_pylist()), "uint8").reshape(b - a, -1)
-                if kind[a] == CODE:
+                if spot[a] & 1 == CODE:
                     heads.append(data)
                     owners.append(ids[a:b])
                 elif heads:
@@ -197,7 +204,7 @@ def _scan(index: Index, min_cos: float | None, keep: int):
 
 
 def _clean(vectors: DataFrame, id_col: str, vec_col: str, copies: int | None) -> tuple[DataFrame, int]:
-    """(id, vec) of usable vectors, an id once; of equal vectors only the ``copies`` smallest ids.
+    """(id, vec) of usable vectors; of equal vectors only the ``copies`` smallest ids, where there are more.
 
     With ties going to the smaller id, no other copy can be among anyone's most similar.
     """
@@ -207,9 +214,15 @@ def _clean(vectors: DataFrame, id_col: str, vec_col: str, copies: int | None) ->
     usable = v.where(F.size("vec") == dim).where(F.expr("exists(vec, x -> x <> 0) AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < float('inf'))"))
     if copies is None:
         return usable, dim
-    w = Window.partitionBy(F.xxhash64("vec")).orderBy("id")
-    ranked = usable.withColumn("place", F.dense_rank().over(w)).where(F.col("place") <= copies)
-    return ranked.withColumn("again", F.lag("id").over(w)).where("again IS NULL OR again <> id").drop("place", "again"), dim
+    h = F.xxhash64("vec").alias("h")
+    crowds = usable.select(h, "id").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > copies).select("h")
+    if not crowds.limit(1).count():
+        return usable, dim
+    # Only crowds are ranked; the window's limit applies before its shuffle.
+    crowded = usable.withColumn("h", h).join(crowds, "h", "left_semi")
+    w = Window.partitionBy("h").orderBy("id")
+    ranked = crowded.withColumn("place", F.dense_rank().over(w)).where(F.col("place") <= copies).select("id", "vec")
+    return usable.withColumn("h", h).join(crowds, "h", "left_anti").select("id", "vec").unionByName(ranked.distinct()), dim
 
 
 def _index_for(usable: DataFrame, dim: int, sample_rows: int, **params) -> Index | None:
@@ -225,8 +238,8 @@ def _index_for(usable: DataFrame, dim: int, sample_rows: int, **params) -> Index
 def _candidates(usable: DataFrame, index: Index, as_query, min_cos: float | None, keep: int) -> DataFrame:
     spark = usable.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    placed = usable.select("id", "vec", as_query.alias("as_query")).mapInArrow(_assign(index, min_cos is not None), "cell int, salt int, kind int, id bigint, payload binary")
-    cells = placed.repartition(tasks, "cell", "salt").sortWithinPartitions("cell", "salt", "kind")
+    placed = usable.select("id", "vec", as_query.alias("as_query")).mapInArrow(_assign(index, min_cos is not None), "spot bigint, id bigint, payload binary")
+    cells = placed.repartition(tasks, F.shiftright("spot", 1)).sortWithinPartitions("spot")
     return cells.mapInArrow(_scan(index, min_cos, keep), "query bigint, id bigint, score float, q binary")
 
 
@@ -243,7 +256,7 @@ def _cosine(dim: int):
     return run
 
 
-def top_k(vectors: DataFrame, id_col: str = "fact_id", vec_col: str = "vec", k: int = 10, queries=None, sample_rows: int = 20_000, keep: int = 200, probe_share: float = 0.3, **params) -> DataFrame:
+def top_k(vectors: DataFrame, id_col: str = "fact_id", vec_col: str = "vec", k: int = 10, queries=None, sample_rows: int = 20_000, keep: int = 100, probe_share: float = 0.3, **params) -> DataFrame:
     """(query, rank, id, cosine): the k most similar others of each query vector, exact cosine, ties to the smaller id.
 
     queries: a condition on the column ``id`` that says which rows are queries (all by
@@ -252,9 +265,7 @@ def top_k(vectors: DataFrame, id_col: str = "fact_id", vec_col: str = "vec", k:
     the most frequent one take no part; an id counts once. Fewer than k others give fewer rows.
     """
     usable, dim = _clean(vectors, id_col, vec_col, None)
-    # Copies beyond the first k + 1 can be in no answer; they remain queries.
-    h = Window.partitionBy(F.xxhash64("vec")).orderBy("id")
-    usable = usable.withColumn("again", F.lag("id").over(h)).where("again IS NULL OR again <> id").drop("again")
+    usable = usable.dropDuplicates(["id"])
     index = _index_for(usable, dim, sample_rows, **params)
     if index is None:
         return vectors.sparkSession.createDataFrame([], "query bigint, rank int, id bigint, cosine double")
