@@ -105,7 +105,6 @@ def as_known_at(
     time, so no bucket holds a whole hot entity: a version goes to the slices
     it begins and ends in, and of those that fill a slice only the best goes there.
     """
-    spark = events.sparkSession
     t = F.col(event_time).cast("double")
     ev = events.select(F.col(event_id).cast("bigint").alias("event_id"), t.alias("t"), _key([F.col(c) for c in event_keys]).alias("k"))
     ver = versions.select(
@@ -150,5 +149,4 @@ def as_known_at(
     bucket = F.pmod(F.xxhash64("k", "slice"), F.lit(buckets)).alias("bucket")
     grouped = ver.select("vid", "k", "slice", "vf", "ra", "s", "e", bucket).groupBy("bucket").cogroup(ev.select("event_id", "k", "t", "slice", bucket).groupBy("bucket"))
     found = grouped.applyInPandas(_bucket, "event_id bigint, version_id bigint")
-    del spark
     return found.unionByName(open_).groupBy("event_id").agg(F.max("version_id").alias("version_id"))
