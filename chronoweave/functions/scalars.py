@@ -144,14 +144,12 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """v / |v|; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return bind(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    shifted = bind(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    return bind(shifted, lambda e: bind(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def argmax(v: Column) -> Column:
@@ -171,18 +169,27 @@ def tokens(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(r"[A-Za-z0-9_.-]{2,}"), F.lit(0))
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with the value computed once, though ``use`` mentions it often or inside a lambda."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def query_tokens(s: Column, scanned: int = 64, kept: int = 12) -> Column:
     """The content tokens of a query: stopwords dropped, the first spelling of each kept; all tokens if none is left."""
-    raw = F.slice(tokens(s), 1, scanned)
-    low = F.transform(raw, F.lower)
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    content = F.filter(raw, lambda t, i: ~F.array_contains(stop, F.lower(t)) & (F.array_position(low, F.lower(t)) == i + 1))
-    return F.when(F.size(content) > 0, F.slice(content, 1, kept)).otherwise(F.slice(raw, 1, kept))
+
+    def content(raw: Column) -> Column:
+        pairs = F.transform(raw, lambda t: F.struct(t.alias("t"), F.lower(t).alias("l")))
+        first = lambda ps: F.filter(ps, lambda p, i: ~F.array_contains(stop, p["l"]) & ~F.exists(F.slice(ps, 1, i), lambda o: o["l"] == p["l"]))
+        picked = bind(pairs, lambda ps: F.transform(first(ps), lambda p: p["t"]))
+        return bind(picked, lambda c: F.when(F.size(c) > 0, F.slice(c, 1, kept)).otherwise(F.slice(raw, 1, kept)))
+
+    return bind(F.slice(tokens(s), 1, scanned), content)
 
 
 def match_query(s: Column) -> Column:
-    t = query_tokens(s)
-    return F.when(F.size(t) > 0, F.array_join(F.transform(t, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), " OR ")).otherwise('""')
+    quoted = lambda t: F.array_join(F.transform(t, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), " OR ")
+    return bind(query_tokens(s), lambda t: F.when(F.size(t) > 0, quoted(t)).otherwise('""'))
 
 
 def normalized_statement(s: Column) -> Column:

@@ -22,6 +22,10 @@ class LexicalIndex:
     postings: DataFrame  # id, term, tf (weighted), weight (idf * saturation, the term's part of the score)
 
 
+def _weighted(w: float):
+    return lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
+
+
 def build(df: DataFrame, id_col: str, columns: dict[str, float]) -> LexicalIndex:
     """Index df's text columns, each with its weight. Statistics cover all rows, whatever a search filters later.
 
@@ -32,7 +36,8 @@ def build(df: DataFrame, id_col: str, columns: dict[str, float]) -> LexicalIndex
     names = [f"t{i}" for i in range(len(columns))]
     stats = docs.select(F.count("*").alias("n"), F.avg(sum((F.size(c) for c in names), F.lit(0))).alias("avgdl")).first()  # one row
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    each = docs.select("id", sum((F.size(c) for c in names), F.lit(0)).alias("dl"), F.explode(F.concat(*[F.transform(c, lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for c, w in zip(names, columns.values())])).alias("x"))
+    weigh = [F.transform(c, _weighted(float(w))) for c, w in zip(names, columns.values())]
+    each = docs.select("id", sum((F.size(c) for c in names), F.lit(0)).alias("dl"), F.explode(F.concat(*weigh)).alias("x"))
     tf = each.groupBy("id", "dl", "x.term").agg(F.sum("x.w").alias("tf"))
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     scored = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf)
