@@ -63,10 +63,11 @@ def merge_map(groups: DataFrame) -> DataFrame:
 
 def remap(df: DataFrame, mapping: DataFrame, *columns: str) -> DataFrame:
     """df with ids replaced by mapping(old, new)."""
+    order = df.columns
     for c in columns:
         m = mapping.select(F.col("old").alias(c), F.col("new").alias("__new"))
         df = df.join(m, c, "left").withColumn(c, F.coalesce("__new", c)).drop("__new")
-    return df
+    return df.select(*order)
 
 
 def merge(mapping: DataFrame, entities: DataFrame, links: DataFrame, edges: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
