@@ -74,7 +74,8 @@ def split_text(df: DataFrame, text: str = "text", limit: int = 6000, overlap: in
             # A first match that begins within the spare bytes is too long: look again behind them.
             late = F.nullif(F.regexp_extract(F.expr(f"right(p.before, {overlap})"), pattern, 0), F.lit(""))
             tails.append(F.when(F.length(plain) <= F.length(window) - spare, plain).otherwise(late))
-        tail = F.coalesce(*tails, F.lit(""))
+        # A body within the overlap comes along whole: it begins at a cut.
+        tail = F.when(F.length("p.before") <= overlap, F.col("p.before")).otherwise(F.coalesce(*tails, F.lit("")))
     else:
         tail = F.lit("")
     rows = rows.withColumn("__tail", F.when(F.col("p.before").isNull(), "").otherwise(tail))
