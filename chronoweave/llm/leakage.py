@@ -259,7 +259,8 @@ def leaks(documents: DataFrame, items: DataFrame, min_share: float = 0.4, edits:
                         continue
                     for item, p in passages(index, text).items():
                         rows.append((doc, index.ids[item], p[0], p[1], len(index.words[item]), p[2], p[3], p[4]))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+                if rows:
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 
         docs = documents.where("doc_id IS NOT NULL AND length(text) > 0").select("doc_id", "text")
         out = out.unionByName(spread(docs).mapInPandas(scan, RESULT))

@@ -429,6 +429,8 @@ def credentials(lines: DataFrame, id_col: str = "line_id", message: str = "messa
                     ids.append(line)
                     nos.append(no)
                     values.append(value)
+            if not ids:
+                continue
             yield pd.DataFrame({"line_id": pd.Series(ids, dtype="int64"), "item_no": pd.Series(nos, dtype="int64"), "secret": pd.Series(values, dtype="object")})
 
     rows = lines.where(F.col(id_col).isNotNull() & F.col(message).isNotNull()).select(F.col(id_col).cast("bigint").alias("line_id"), F.col(message).alias("message"))
