@@ -84,6 +84,11 @@ def iso_epoch(s: Column) -> Column:
     return F.unix_timestamp(s.try_cast("date").cast("timestamp")).cast("double")
 
 
+def observation_time(day: Column, valid_from: Column) -> Column:
+    """When an observation happened: its own ISO date, else when its fact became true."""
+    return F.coalesce(iso_epoch(day), valid_from)
+
+
 def next_midnight(t: Column) -> Column:
     return (F.floor(t / 86400) + 1) * 86400.0
 

@@ -48,6 +48,18 @@ def co_mentions(edges: DataFrame, k: int = 15) -> DataFrame:
     return neighbours(edges).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def link(new_links: DataFrame, seen_at: DataFrame, entities: DataFrame, links: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """The tables after linking facts(fact_id, entity_id), seen at seen_at(fact_id, t): each new link adds one to the entity's
+    seen_count, each pair of entities of a fact one to their edge; last_seen only grows. Links that exist change nothing."""
+    fresh = new_links.distinct().join(links, ["fact_id", "entity_id"], "left_anti").join(seen_at, "fact_id")
+    more = fresh.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("__n"), F.max("t").alias("__t"))
+    ent = entities.join(more, "id", "left").withColumns({"seen_count": F.col("seen_count") + F.coalesce("__n", F.lit(0)), "last_seen": F.greatest("last_seen", "__t")}).drop("__n", "__t")
+    per = fresh.groupBy("fact_id").agg(F.sort_array(F.collect_set("entity_id")).alias("es"), F.max("t").alias("t"))
+    pairs = per.select(F.explode(F.expr("flatten(transform(es, (x, i) -> transform(slice(es, i + 2, size(es)), y -> struct(x AS a, y AS b))))")).alias("p"), "t").select("p.a", "p.b", F.lit(1).cast("bigint").alias("count"), F.col("t").alias("last_seen"))
+    both = edges.select("a", "b", "count", "last_seen").unionByName(pairs).groupBy("a", "b").agg(F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"))
+    return {"entities": ent.select(*entities.columns), "links": links.unionByName(fresh.select("fact_id", "entity_id")), "edges": both}
+
+
 def variant_groups(entities: DataFrame) -> DataFrame:
     """(key, winner, losers, seen): names that differ only in case, dashes, dots, blanks; the most seen wins, the smallest id of equals."""
     e = entities.select("id", S.variant_key(F.col("name")).alias("key"), "seen_count").where("key <> ''")

@@ -72,3 +72,14 @@ def picture(entities: DataFrame, edges: DataFrame, k: int = 150) -> tuple[DataFr
     inner = edges.join(top.select(F.col("id").alias("a")), "a", "left_semi").join(top.select(F.col("id").alias("b")), "b", "left_semi")
     degree = inner.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     return top.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), inner
+
+
+def store_triples(triples: DataFrame, new: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(triples, predicate counts) after new(subject_id, predicate, object_id, object_literal): names are normalised, led to their
+    canonical predicate by aliases(alias, predicate), and a triple that exists isn't stored again but counts."""
+    name = F.replace(F.trim(F.lower("predicate")), F.lit(" "), F.lit("_"))
+    known = aliases.select(F.col("alias").alias("predicate"), F.col("predicate").alias("__p")).distinct()
+    routed = new.withColumn("predicate", name).where("subject_id IS NOT NULL AND predicate <> ''").join(known, "predicate", "left").withColumn("predicate", F.coalesce("__p", "predicate")).drop("__p")
+    key = ["subject_id", "predicate", "object_id", "object_literal"]
+    stored = triples.select(*key).unionByName(routed.select(*key)).distinct()
+    return stored, triples.select("predicate").unionByName(routed.select("predicate")).groupBy("predicate").agg(F.count("*").alias("seen_count"))

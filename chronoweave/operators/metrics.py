@@ -69,3 +69,32 @@ def threshold_sweep(rows: DataFrame) -> DataFrame:
         F.struct(F.lit(s / 100).alias("threshold"), F.count_if(F.col("confidence") >= s / 100).alias("answered"), F.count_if((F.col("confidence") >= s / 100) & F.col("hit")).alias("right"),
                  F.count_if((F.col("confidence") >= s / 100) & ~F.col("hit")).alias("wrong")).alias(f"s{s}") for s in steps])
     return counts.select(F.inline(F.array(*[f"s{s}" for s in steps])))
+
+
+def store_observations(obs: DataFrame, new: DataFrame) -> DataFrame:
+    """obs after new(metric, entity_id, value, day, valid_from): snake-case names, the day said or else the fact's time; equal rows count once."""
+    rows = new.where("metric <> '' AND value IS NOT NULL").select(S.snake_name(F.col("metric")).alias("metric"), "entity_id", "value", S.observation_time(F.col("day"), F.col("valid_from")).alias("occurred_at"))
+    return obs.select("metric", "entity_id", "value", "occurred_at").unionByName(rows).distinct()
+
+
+def answer_summary(rows: DataFrame) -> DataFrame:
+    """By split of rows(split, answerable, hit, abstained): answered right, confidently wrong, abstained rightly and needlessly."""
+    ok = F.col("answerable")
+    return rows.groupBy("split").agg(
+        F.count("*").alias("n"), F.count_if(ok & F.col("hit")).alias("hits"), F.count_if(ok & ~F.col("hit") & ~F.col("abstained")).alias("wrong"), F.count_if(~ok & ~F.col("abstained")).alias("confidently_wrong"),
+        F.count_if(~ok & F.col("abstained")).alias("rightly_abstained"), F.count_if(ok & F.col("abstained")).alias("needlessly_abstained"),
+    )
+
+
+def recall_at(results: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
+    """(queries, recall, hit_rate) of results(qid, id, rank) for relevant(qid, id), over all queries with relevant ids."""
+    found = relevant.join(results.where(F.col("rank") <= k).select("qid", "id", F.lit(1).alias("got")).distinct(), ["qid", "id"], "left")
+    per = found.groupBy("qid").agg(F.avg(F.coalesce("got", F.lit(0))).alias("r"))
+    return per.agg(F.count("*").alias("queries"), F.round(F.avg("r"), 6).alias("recall"), F.round(F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)), 6).alias("hit_rate"))
+
+
+def first_appearance(seen: DataFrame, cap: int = 15) -> DataFrame:
+    """(qid, id, score, pos): each fact a question met once, the best first, equals by first appearance, at most cap; from seen(qid, pos, id, score)."""
+    once = seen.groupBy("qid", "id").agg(F.max("score").alias("score"), F.min("pos").alias("pos"))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "pos")
+    return once.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).drop("rn")

@@ -45,12 +45,12 @@ def _score(ref: float, with_para: bool) -> Column:
 
 def hybrid_search(
     queries: DataFrame, facts: DataFrame, edges: DataFrame, index: lexical.LexicalIndex, vectors: DataFrame, now: float, k: int = 5,
-    as_of: float | None = None, paraphrases: DataFrame | None = None,
+    as_of: float | None = None, paraphrases: DataFrame | None = None, para_vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked facts for queries(qid, q, repo, vec): qid, rank (from 1), score, via_history and the fact's fields.
 
     Live facts answer, or those visible at ``as_of``, which makes every query historical and leaves out
-    dead facts and paraphrases. A query without vector has no vector arm. Ties go to the smaller id.
+    dead facts and paraphrases (texts in ``paraphrases``, their vectors in ``para_vectors``). A query without vector has no vector arm. Ties go to the smaller id.
     """
     pool = temporal.live(facts) if as_of is None else temporal.as_of(facts, as_of)
     alive = materialize(pool.select("id"), "pool")
@@ -59,6 +59,11 @@ def hybrid_search(
     every = lexical.scores(index, asked)
     lex = lexical.top(every.join(alive, "id", "left_semi"), ARM).select("qid", "id", F.col("rank").alias("lex_rank"))
     cos = vector.cosine_top(with_vec, vectors.join(alive, "id", "left_semi"), ARM).select("qid", "id", "sim")
+    if para_vectors is not None and as_of is None:
+        # A fact counts by its nearest wording; several vectors (fact_id, vec) a fact are allowed.
+        numbered = para_vectors.select(F.col("fact_id").alias("id"), "vec").where("vec IS NOT NULL").join(alive, "id", "left_semi")
+        near = vector.cosine_top(with_vec, numbered, ARM).where("sim > 0").select("qid", "id", "sim")
+        cos = lexical.top(cos.unionByName(near).groupBy("qid", "id").agg(F.max("sim").alias("sim")), ARM, "sim").select("qid", "id", "sim")
     via = None
     dead_sims = None
     if as_of is None:
@@ -115,3 +120,15 @@ def brief(facts: DataFrame, now: float, k: int = 10, repo: str | None = None, pe
 def by_kind(rows: DataFrame) -> DataFrame:
     """(kind, ids): a brief as one row a kind."""
     return rows.groupBy("kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+
+
+def supersede_candidates(new: DataFrame, facts: DataFrame, links: DataFrame, index: lexical.LexicalIndex, k: int = 3) -> DataFrame:
+    """(qid, id, rank): the k best lexical matches of each new fact(qid, q, repo, kind, entity_ids) among live facts of its kind
+    that share its repository or one of its entities. Entities must be resolved exactly: a prefix never opens the scope."""
+    scored = lexical.scores(index, new.select("qid", "q")).where("qid <> id")
+    mine = temporal.live(facts).select("id", "kind", F.col("repo").alias("own_repo"))
+    pairs = scored.join(mine, "id").join(new.select("qid", "kind", "repo"), ["qid", "kind"])
+    asked = new.select("qid", F.explode("entity_ids").alias("entity_id"))
+    shared = pairs.select("qid", "id").join(asked, "qid").join(links.select(F.col("fact_id").alias("id"), "entity_id"), ["id", "entity_id"], "left_semi").select("qid", "id").distinct().withColumn("shared", F.lit(True))
+    inside = pairs.join(shared, ["qid", "id"], "left").where(F.coalesce(F.col("own_repo") == F.col("repo"), F.lit(False)) | F.coalesce("shared", F.lit(False)))
+    return lexical.top(inside.select("qid", "id", "bm25"), k).select("qid", "id", "rank")

@@ -41,8 +41,9 @@ def sweep_candidates(facts: DataFrame, links: DataFrame, vectors: DataFrame, don
 
 
 def close(facts: DataFrame, verdicts: DataFrame, at: float) -> DataFrame:
-    """facts with each ``old`` of verdicts(old, new) closed by new, if it is still live and not the newer one; of several the smallest new."""
-    v = verdicts.groupBy(F.col("old").alias("id")).agg(F.min("new").alias("__new"))
+    """facts with each ``old`` of verdicts(old, new) closed by new, if it is still live and not the newer one; of several the smallest new. Of two that would close each other the later id stays."""
+    back = verdicts.select(F.col("new").alias("old"), F.col("old").alias("new")).where("old > new")
+    v = verdicts.where("old <> new").join(back, ["old", "new"], "left_anti").groupBy(F.col("old").alias("id")).agg(F.min("new").alias("__new"))
     t = facts.select(F.col("id").alias("__new"), F.col("valid_from").alias("__t"))
     ok = F.col("superseded_at").isNull() & F.col("__t").isNotNull() & (F.col("__t") >= F.col("valid_from"))
     j = facts.join(v.join(t, "__new"), "id", "left")

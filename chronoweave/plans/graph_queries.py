@@ -142,6 +142,19 @@ def similar_questions(spark, d):
     return mining.similar_questions(t.select(F.col("id").alias("qid"), "q"), t)
 
 
+@query(f"""WITH {FACTS}, {LINKS}, {_ASK}, {_BM25.replace('2e0 AS w', '1e0 AS w')}, s AS (SELECT bm.qid, bm.id, bm25 FROM bm JOIN f a ON a.id = bm.qid JOIN f b ON b.id = bm.id AND b.superseded_at IS NULL AND b.kind = a.kind WHERE bm.qid <> bm.id
+AND (coalesce(a.repo = b.repo, false) OR EXISTS (SELECT 1 FROM fe x JOIN fe y ON x.entity_id = y.entity_id WHERE x.fact_id = bm.qid AND y.fact_id = bm.id)))
+SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id) - 1 AS rank FROM s) WHERE rank < 3""")
+def supersede_candidates(spark, d):
+    """The live facts that each new fact may replace."""
+    f = materialize(_facts(spark, d), "facts")
+    fe = materialize(_links(spark, d), "links")
+    ix = lexical.build(f.select("id", "statement", F.array_join("entities", " ").alias("names")), "id", {"statement": 1.0, "names": 1.0})
+    own = fe.groupBy(F.col("fact_id").alias("qid")).agg(F.collect_set("entity_id").alias("entity_ids"))
+    new = _asked(spark, d).select("qid", "q", "repo").join(f.select(F.col("id").alias("qid"), "kind"), "qid").join(own, "qid", "left")
+    return search.supersede_candidates(new, f, fe, ix).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 # --- Entities and graph.
 
 
@@ -369,6 +382,32 @@ def self_eval(spark, d):
     return mining.hit_rates(found, probes)
 
 
+@query(f"""WITH {FACTS}, {_VECS}, sims AS (SELECT a.id AS qid, b.id, round(list_cosine_similarity(a.vec, b.vec), 9) AS sim FROM vx a, vx b JOIN f ON f.id = b.id AND f.superseded_at IS NULL WHERE a.id % 50 = 0),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank FROM sims) WHERE rank <= 10), g AS (SELECT a.id AS qid, b.id FROM f a JOIN f b ON b.repo = a.repo AND b.kind = a.kind AND b.superseded_at IS NULL WHERE a.id % 50 = 0),
+r AS (SELECT g.qid, avg(CASE WHEN t.id IS NULL THEN 0e0 ELSE 1e0 END) AS r FROM g LEFT JOIN t ON t.qid = g.qid AND t.id = g.id GROUP BY 1) SELECT count(*) AS queries, round(avg(r), 6) AS recall, round(avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END), 6) AS hit_rate FROM r""")
+def retrieval_recall(spark, d):
+    """How many facts of the same repository and kind are among a fact's ten nearest."""
+    f = _facts(spark, d)
+    v = vector.usable(table(spark, d, "fact_vecs"))
+    top = vector.cosine_top(v.where("id % 50 = 0").select(F.col("id").alias("qid"), "vec"), v.join(temporal.live(f).select("id"), "id", "left_semi"), 10).withColumn("rank", F.col("rank") + 1)
+    want = f.where("id % 50 = 0").select(F.col("id").alias("qid"), "repo", "kind").join(temporal.live(f).select("id", "repo", "kind"), ["repo", "kind"]).select("qid", "id")
+    return metrics.recall_at(top, want)
+
+
+@query(f"""WITH {FACTS} SELECT kind AS split, count(*) AS n, count(*) FILTER (WHERE a AND h) AS hits, count(*) FILTER (WHERE a AND NOT h AND NOT b) AS wrong, count(*) FILTER (WHERE NOT a AND NOT b) AS confidently_wrong, count(*) FILTER (WHERE NOT a AND b) AS rightly_abstained, count(*) FILTER (WHERE a AND b) AS needlessly_abstained
+FROM (SELECT kind, superseded_at IS NULL AS a, corroborations > 0 AS h, confidence < 0.7 AS b FROM f) GROUP BY 1""")
+def answer_summary(spark, d):
+    """Right, wrong and abstained, by kind of fact."""
+    return metrics.answer_summary(_facts(spark, d).select(F.col("kind").alias("split"), F.col("superseded_at").isNull().alias("answerable"), (F.col("corroborations") > 0).alias("hit"), (F.col("confidence") < 0.7).alias("abstained")))
+
+
+@query("""WITH p AS (SELECT l_partkey AS s, lower(l_returnflag || l_linestatus) AS p, l_suppkey AS o FROM lineitem) SELECT CASE p WHEN 'af' THEN 'rf' ELSE p END AS predicate, count(*) AS seen_count FROM p GROUP BY 1""")
+def predicate_counts(spark, d):
+    """Predicates after alias routing, with how often each was said."""
+    t = A.triples(spark, d).select("subject_id", "predicate", "object_id", F.lit(None).cast("string").alias("object_literal"))
+    return graph.store_triples(t.limit(0), t, spark.createDataFrame([("af", "rf")], "alias string, predicate string"))[1]
+
+
 @query()
 def topics_of_facts(spark, d):
     """Topics by k-means over live facts' vectors."""

@@ -61,7 +61,7 @@ class OverlapJudge:
     def judge(self, old: list[str], new: list[str]) -> np.ndarray:
         out = []
         for a, b in zip(old, new):
-            x, y = set(a.lower().split()), set(b.lower().split())
+            x, y = (set(t.rpartition("] ")[2].lower().split()) for t in (a, b))
             shared = len(x & y) / max(1, len(x | y))
             out.append([4 * shared, 2 * shared + 2 * (("not" in x) != ("not" in y)), 1.0])
         return np.array(out)
