@@ -194,19 +194,24 @@ def _large(rows: DataFrame) -> DataFrame:
         .join(ring_nodes.drop("comp"), "node", "left")
         .join(has_loop, "comp", "left")
     )
-    pairs = base.select("node", F.explode("path").alias("above")).where("node <> above")
-    around = base.where("loop_reached").select("node", "comp").join(ring_nodes.select("comp", F.col("node").alias("above")), "comp").where("node <> above").select("node", "above")
-    below = pairs.unionByName(around).distinct().groupBy("above").agg(F.sort_array(F.collect_list("node")).alias("descendants")).withColumnRenamed("above", "node")
-    return base.join(below, "node", "left").select(
+    out = base.select(
         "node", "parent", F.col("comp").alias("root"), (F.size("path") - 1).cast("int").alias("depth"), "path",
-        F.coalesce("descendants", F.array().cast("array<bigint>")).alias("descendants"),
-        F.coalesce(F.size("descendants"), F.lit(0)).cast("bigint").alias("n_descendants"),
-        F.coalesce("in_loop", F.lit(False)).alias("in_loop"), F.coalesce("loop_reached", F.lit(False)).alias("loop_reached"), "dangling",
+        F.lit(None).cast("array<bigint>").alias("descendants"), F.coalesce("in_loop", F.lit(False)).alias("in_loop"), F.coalesce("loop_reached", F.lit(False)).alias("loop_reached"), "dangling",
         F.when(F.col("node") == F.col("comp"), F.when(F.col("loop_reached"), F.col("parent"))).alias("back_edge_to"),
     )
+    counts = descendant_pairs(out).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_descendants"))
+    return out.join(counts, "node", "left").select(*[c.split()[0] for c in SCHEMA.split(", ") if c.split()[0] != "n_descendants"], F.coalesce("n_descendants", F.lit(0)).alias("n_descendants")).select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
-def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent", max_component: int = 200_000) -> DataFrame:
+def descendant_pairs(tree: DataFrame) -> DataFrame:
+    """(ancestor, node), distinct: all descendants of every node as rows, for components of any size. In a loop all are above each other."""
+    pairs = tree.select(F.explode("path").alias("ancestor"), "node").where("ancestor <> node")
+    ring = tree.where("in_loop").select("root", F.col("node").alias("ancestor"))
+    around = tree.where("loop_reached").select("root", "node").join(ring, "root").where("ancestor <> node").select("ancestor", "node")
+    return pairs.unionByName(around).distinct()
+
+
+def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent", max_component: int = 5_000) -> DataFrame:
     """One row a node: its parent, root, depth, path from the root, descendants, and where a loop closes.
 
     Repeated rows count once (of differing parents the smallest); null ids are
@@ -214,7 +219,9 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent",
     ``dangling``. In a loop, and below one, ``root`` is the smallest id on the
     loop and paths start there; ``in_loop`` marks its nodes, ``loop_reached``
     all that lead into it, and exactly one node of each loop has
-    ``back_edge_to``, the target of the edge that closes it.
+    ``back_edge_to``, the target of the edge that closes it. The array ``descendants`` is
+    null in components above ``max_component`` nodes, where one row might not hold it;
+    ``n_descendants`` is exact everywhere, and descendant_pairs gives them as rows.
     Other columns of ``links`` are ignored; an empty frame gives an empty one.
     """
     nodes = materialize(_nodes(links, id_col, parent_col), "links")

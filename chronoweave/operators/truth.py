@@ -5,6 +5,10 @@ Candidates are plans; verdicts come as a table; applying them is a function from
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,25 +19,66 @@ from chronoweave.session import materialize
 DAY = 86_400.0
 
 
-def sweep_candidates(facts: DataFrame, links: DataFrame, vectors: DataFrame, done: DataFrame, per_entity: int = 20, max_pairs: int = 500, gap_days: float = 3.0, min_cos: float = 0.60, hot: int = 2_000) -> DataFrame:
+def _best_pairs(gap: float, min_cos: float):
+    """Rows sorted by (entity, kind, cell): the best ``keep`` pairs of each cell, older before newer, by one matrix product."""
+
+    def best(rows: list[tuple]) -> list[tuple]:
+        entity, i, j, keep = rows[0][0], rows[0][2], rows[0][3], rows[0][8]
+        left = [r for r in rows if r[4] == i]
+        right = [r for r in rows if r[4] == j]
+        if not left or not right:
+            return []
+        ids, t, v = (np.array([r[k] for r in left]) for k in (5, 6, 7))
+        ids2, t2, v2 = (np.array([r[k] for r in right]) for k in (5, 6, 7))
+        sim = np.round(v @ v2.T, 9)
+        ok = (np.abs(t2[None, :] - t[:, None]) > gap) & (sim > min_cos)
+        if i == j:
+            ok &= np.triu(np.ones_like(ok), 1).astype(bool)
+        x, y = np.nonzero(ok)
+        older = np.where(t[x] < t2[y], ids[x], ids2[y])
+        newer = np.where(t[x] < t2[y], ids2[y], ids[x])
+        order = np.lexsort((newer, older, -sim[x, y]))[:keep]
+        return [(entity, int(older[k]), int(newer[k]), float(sim[x[k], y[k]])) for k in order]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        names = ["entity_id", "older", "newer", "sim"]
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False, name=None):
+                if held and r[:4] != held[0][:4]:
+                    out += best(held)
+                    held = []
+                held.append(r)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if held and (out := best(held)):
+            yield pd.DataFrame(out, columns=names)
+
+    return run
+
+
+def sweep_candidates(facts: DataFrame, links: DataFrame, vectors: DataFrame, done: DataFrame, per_entity: int = 20, max_pairs: int = 500, gap_days: float = 3.0, min_cos: float = 0.60, block: int = 2_000) -> DataFrame:
     """(older, newer, sim): live facts of one entity and kind, more than gap_days apart and more similar than min_cos.
 
     The best per_entity pairs of each entity count, then each pair once, then the best
-    max_pairs of all. Pairs in ``done`` (either way round) are out. Groups of over ``hot`` facts are paired
-    through their vectors' sign bands instead of all with all, which for such groups keeps pairs that share a band.
+    max_pairs of all. Pairs in ``done`` (either way round) are out. A group of facts is split into blocks of about ``block``;
+    each pair of blocks is one cell, which emits no more than an entity can keep, so neither a group nor its pairs are ever gathered.
     """
     v = vectors.select(F.col("id").alias("fact_id"), S.l2_normalize(F.col("vec")).alias("v"))
     f = temporal.live(facts).select(F.col("id").alias("fact_id"), "kind", "valid_from")
     rows = links.join(f, "fact_id").join(v, "fact_id")
-    size = F.count("*").over(Window.partitionBy("entity_id", "kind"))
-    # In a crowded group, facts meet in one of eight bands of eight signs each; small groups have one band.
-    band = lambda i: F.concat(F.lit(f"{i}:"), F.array_join(F.transform(F.slice("v", 8 * i + 1, 8), lambda x: F.when(x >= 0, "1").otherwise("0")), ""))
-    rows = materialize(rows.withColumn("n", size).withColumn("band", F.explode(F.when(F.col("n") > hot, F.array(*[band(i) for i in range(6)])).otherwise(F.array(F.lit("all"))))).drop("n"), "sweep")
-    a = rows.select("entity_id", "kind", "band", F.col("fact_id").alias("older"), F.col("valid_from").alias("t1"), F.col("v").alias("v1"))
-    b = rows.select("entity_id", "kind", "band", F.col("fact_id").alias("newer"), F.col("valid_from").alias("t2"), F.col("v").alias("v2"))
-    pairs = a.join(b, ["entity_id", "kind", "band"]).where(F.col("t2") - F.col("t1") > gap_days * DAY).withColumn("sim", F.round(S.dot(F.col("v1"), F.col("v2")), 9)).where(F.col("sim") > min_cos)
-    pairs = pairs.select("entity_id", "older", "newer", "sim").distinct()
-    either = done.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    either = materialize(done.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "done")
+    # What is done already may fill the best places of a cell: that many more are kept.
+    spare = either.join(links.select(F.col("fact_id").alias("lo"), "entity_id"), "lo").join(links.select(F.col("fact_id").alias("hi"), "entity_id"), ["hi", "entity_id"], "left_semi").groupBy("entity_id").agg(F.count("*").alias("spare"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
+    size = rows.groupBy("entity_id", "kind").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", blocks).drop("n").join(spare, "entity_id", "left")
+    placed = rows.join(size, ["entity_id", "kind"]).withColumn("own", F.pmod(F.xxhash64("fact_id"), F.col("blocks")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "entity_id", "kind", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fact_id", "valid_from", "v", (F.lit(per_entity) + F.coalesce("spare", F.lit(0))).cast("int").alias("keep")
+    )
+    streamed = cells.repartition("entity_id", "kind", "i", "j").sortWithinPartitions("entity_id", "kind", "i", "j", "fact_id")
+    pairs = streamed.mapInPandas(_best_pairs(gap_days * DAY, min_cos), "entity_id bigint, older bigint, newer bigint, sim double").distinct()
     open_ = pairs.join(either, (F.least("older", "newer") == F.col("lo")) & (F.greatest("older", "newer") == F.col("hi")), "left_anti")
     w = Window.partitionBy("entity_id").orderBy(F.desc("sim"), "older", "newer")
     best = open_.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_entity)

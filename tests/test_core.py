@@ -172,14 +172,14 @@ def test_canonical_predicates_break_loops(spark):
     assert {(r.name, r.canon) for r in truth.canonical_predicates(p).collect()} == {("a", "c"), ("b", "c"), ("x", "x"), ("y", "x"), ("z", "x")}
 
 
-@pytest.mark.parametrize("hot", [2_000, 1])
-def test_sweep_candidates(spark, hot):
+@pytest.mark.parametrize("block", [2_000, 1])
+def test_sweep_candidates(spark, block):
     f = facts(spark, [dict(id=i, valid_from=86400.0 * d) for i, d in ((1, 0), (2, 4), (3, 3), (4, 9))])
     links = spark.createDataFrame([(i, 7) for i in (1, 2, 3, 4)] + [(1, 8), (2, 8)], "fact_id bigint, entity_id bigint")
     vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0]), (4, [0.0, 1.0])], "id bigint, vec array<float>")
-    got = truth.sweep_candidates(f, links, vecs, spark.createDataFrame([], "a bigint, b bigint"), hot=hot).collect()
+    got = truth.sweep_candidates(f, links, vecs, spark.createDataFrame([], "a bigint, b bigint"), block=block).collect()
     assert [(r.older, r.newer) for r in got] == [(1, 2)]  # three days exactly isn't enough
-    assert not truth.sweep_candidates(f, links, vecs, spark.createDataFrame([(2, 1)], "a bigint, b bigint"), hot=hot).collect()
+    assert not truth.sweep_candidates(f, links, vecs, spark.createDataFrame([(2, 1)], "a bigint, b bigint"), block=block).collect()
 
 
 def test_chunker_overlap_and_oversized_tail():

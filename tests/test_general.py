@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.operators.asof_lookup import as_known_at
-from chronoweave.operators.hierarchy import hierarchy, loops
+from chronoweave.operators.hierarchy import descendant_pairs, hierarchy, loops
 from chronoweave.operators.orphans import orphan_report, orphans
 
 
@@ -45,19 +45,21 @@ def test_hierarchy_against_brute_force(spark, limit):
     links = random_links(300, limit)
     chain = [(20_000 + i, 20_000 + i + 1 if i < 70 else None) for i in range(71)]
     df = spark.createDataFrame(links + chain + chain, "id bigint, parent bigint").withColumn("path", F.lit("clash")).withColumn("root", F.lit(1))
-    rows = hierarchy(df, "id", "parent", max_component=limit).collect()
+    tree = hierarchy(df, "id", "parent", max_component=limit)
+    rows = tree.collect()
     roots, below = brute_tree(links + chain)
     assert {r.node: r.root for r in rows} == roots and len(rows) == len(roots)
-    assert {r.node: set(r.descendants) for r in rows} == below
+    assert {(r.ancestor, r.node) for r in descendant_pairs(tree).collect()} == {(a, n) for a in below for n in below[a]}
+    assert all(set(r.descendants) == below[r.node] for r in rows if r.descendants is not None)
     for r in rows:
-        assert r.path[0] == r.root and r.path[-1] == r.node and r.depth == len(r.path) - 1 and r.n_descendants == len(r.descendants)
+        assert r.path[0] == r.root and r.path[-1] == r.node and r.depth == len(r.path) - 1 and r.n_descendants == len(below[r.node])
     deep = next(r for r in rows if r.node == 20_000)
     assert deep.depth == 70 and deep.path == list(range(20_070, 19_999, -1))
 
 
 def test_hierarchy_paths_agree_in_both_ways(spark):
     df = spark.createDataFrame(random_links(200, 5), "id bigint, parent bigint")
-    cols = ["node", "parent", "root", "depth", "path", "descendants", "in_loop", "loop_reached", "dangling", "back_edge_to"]
+    cols = ["node", "parent", "root", "depth", "path", "n_descendants", "in_loop", "loop_reached", "dangling", "back_edge_to"]
     a, b = (sorted(map(str, hierarchy(df, max_component=m).select(*cols).collect())) for m in (100_000, 0))
     assert a == b
 
