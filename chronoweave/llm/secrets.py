@@ -64,6 +64,7 @@ PROSE = [
     re.compile(r"(?i)\b(?:log|sign)(?:ged|ging)?[ \t\-]*in(?:to)?\b[^\n]{0,40}?\bas[ \t]+\S+[ \t]+with[ \t]+[\"'`]?(?P<p>[^\s\"'`]+)"),
     re.compile(r"(?i)\buse[ \t]+\S+[ \t]+/[ \t]+[\"'`]?(?P<p>[^\s\"'`]+)[\"'`]?[ \t]+(?:for|on|to|in)\b"),
     re.compile(r"(?i)\bheader[ \t]+(?:now[ \t]+)?(?:carries|has|contains|sends)[ \t]+[\"'`](?P<p>[^\s\"'`]+)[\"'`]"),
+    re.compile(r"(?i)\bre-?us(?:e|ed|ing)[ \t]+[\"'`]?(?P<p>[^\s\"'`]+)[\"'`]?[ \t]+from\b"),
     re.compile(r"(?i)\b(?:password|passphrase|token|secret|key)[ \t]+(?:for|of|to|on)[ \t]+(?:the[ \t]+)?[^:\n]{1,40}:[ \t]*[\"'`]?(?P<p>[^\s\"'`]+)"),
 ]
 
@@ -74,7 +75,7 @@ TRIGGERS = {
     "header": "bearer basic authorization",
     "url": "://",
     "command": "curl|mysql|mariadb|sshpass|-u |--user|--proxy-user",
-    "prose": "wifi|wi-fi|log in|logged in|logging in|login|log-in|sign in|signed in|signing in|sign-in| / |header|passphrase|pin |pin:",
+    "prose": "wifi|wi-fi|log in|logged in|logging in|login|log-in|sign in|signed in|signing in|sign-in| / |header|passphrase|pin |pin:|reus|re-us",
 }
 
 PLACEHOLDER = re.compile(
@@ -336,15 +337,31 @@ def find(text: str, layer: int = 0) -> list[tuple[int, int]]:
     return merged
 
 
-def redact(text: str) -> str:
-    """The text with each credential replaced by MARK."""
+def _with_repeats(text: str, known: set[str]) -> list[tuple[int, int]]:
+    """Spans of the credentials of a text, and of those known from beside it, wherever they are said again."""
+    spans = find(text)
+    for value in known:
+        at = text.find(value)
+        while at >= 0:
+            if not any(a < at + len(value) and at < b for a, b in spans):
+                spans.append((at, at + len(value)))
+            at = text.find(value, at + len(value))
+    return sorted(spans)
+
+
+def _replace(text: str, spans: list[tuple[int, int]]) -> str:
     out, at = [], 0
-    for a, b in find(text):
+    for a, b in spans:
         out += [text[at:a], MARK]
         at = b
     return "".join([*out, text[at:]]) if out else text
 
 
+def redact(text: str) -> str:
+    """The text with each credential replaced by MARK."""
+    return _replace(text, _with_repeats(text, {text[a:b] for a, b in find(text)}))
+
+
 # --- Messages: JSON with a string, or an array of items, as content.
 
 
@@ -382,13 +399,14 @@ def scan_message(raw: str) -> tuple[list[tuple[int, str]], str]:
     if not isinstance(message, dict):
         return [], raw
     found, swaps = [], []
-    for no, box, key in _item_texts(message):
-        text = box[key]
-        spans = find(text)
+    texts = [(no, box[key]) for no, box, key in _item_texts(message)]
+    known = {text[a:b] for _, text in texts for a, b in find(text)}
+    for no, text in texts if known else ():
+        spans = _with_repeats(text, known)
         if not spans:
             continue
         found += [(no, text[a:b]) for a, b in spans]
-        swaps.append((text, redact(text)))
+        swaps.append((text, _replace(text, spans)))
     if not swaps:
         return found, raw
     return found, _rewrite(raw, swaps)

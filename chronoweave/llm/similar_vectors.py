@@ -230,7 +230,10 @@ def _index_for(usable: DataFrame, dim: int, sample_rows: int, **params) -> Index
     rows = usable.count()
     if not rows or not dim:
         return None
-    sample = usable.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample_rows).select("vec").toArrow()
+    # About twice as many pass by their hash, so that no task sends the driver a whole sample of its own.
+    part = min(1.0, 2 * sample_rows / rows)
+    likely = usable.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(np.ceil(part * (1 << 20))))
+    sample = likely.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample_rows).select("vec").toArrow()
     x = sample.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     return fit(x, rows, **params)
 

@@ -52,6 +52,13 @@ def test_key_blocks_and_layers():
     assert secrets.find(harmless) == []
 
 
+def test_a_credential_said_again_is_found_again():
+    raw = json.dumps({"content": [{"type": "text", "text": f"password: {FAKE}"}, {"type": "text", "text": f"later {FAKE} once more"}, {"type": "tool_use", "input": {"x": FAKE}}]})
+    found, out = secrets.scan_message(raw)
+    assert found == [(0, FAKE), (1, FAKE)] and out.count(FAKE) == 1 and json.loads(out)["content"][2]["input"]["x"] == FAKE
+    assert [f"I reused {FAKE} from above."[a:b] for a, b in secrets.find(f"I reused {FAKE} from above.")] == [FAKE]
+
+
 def der(tag, body):
     n = len(body)
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82, n >> 8, n & 255])) + body
