@@ -71,8 +71,13 @@ def age_days(valid_from: Column, now) -> Column:
     return F.round((_d(now) - valid_from) / 8640) / 10
 
 
+def epoch_day(t: Column) -> Column:
+    """The UTC date of an epoch, whatever the session's time zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(t / 86400).cast("int"))
+
+
 def epoch_date(t: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(F.floor(t)), "yyyy-MM-dd")
+    return epoch_day(t).cast("string")
 
 
 def rfc3339_epoch(s: Column) -> Column:
@@ -81,7 +86,7 @@ def rfc3339_epoch(s: Column) -> Column:
 
 
 def iso_epoch(s: Column) -> Column:
-    return F.unix_timestamp(s.try_cast("date").cast("timestamp")).cast("double")
+    return F.datediff(s.try_cast("date"), F.lit("1970-01-01").cast("date")) * 86400.0
 
 
 def observation_time(day: Column, valid_from: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.functions import scalars as S
 from chronoweave.operators.asof_lookup import as_known_at
 from chronoweave.operators.hierarchy import hierarchy, loops
 from chronoweave.operators.orphans import orphan_report, orphans
@@ -47,7 +48,7 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     facts, edges, aliases, entities = (table(spark, d, t) for t in ("facts", "edges", "entity_aliases", "entities"))
-    month = F.date_format(F.timestamp_micros((F.col("recorded_at") * 1_000_000).cast("bigint")), "yyyy-MM").alias("period")
+    month = F.substring(S.epoch_date(F.col("recorded_at")), 1, 7).alias("period")
     none = F.lit(None).cast("double")
     refs = (
         facts.select(F.lit("facts").alias("ref_table"), F.col("id").alias("row_id"), F.lit("facts").alias("target"), F.col("superseded_by").alias("ref_id"), F.col("superseded_at").alias("ref_time"), month)
