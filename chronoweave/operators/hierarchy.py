@@ -199,6 +199,7 @@ def _large(rows: DataFrame) -> DataFrame:
         F.lit(None).cast("array<bigint>").alias("descendants"), F.coalesce("in_loop", F.lit(False)).alias("in_loop"), F.coalesce("loop_reached", F.lit(False)).alias("loop_reached"), "dangling",
         F.when(F.col("node") == F.col("comp"), F.when(F.col("loop_reached"), F.col("parent"))).alias("back_edge_to"),
     )
+    out = materialize(out, "large_paths")
     counts = descendant_pairs(out).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_descendants"))
     return out.join(counts, "node", "left").select(*[c.split()[0] for c in SCHEMA.split(", ") if c.split()[0] != "n_descendants"], F.coalesce("n_descendants", F.lit(0)).alias("n_descendants")).select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
@@ -221,9 +222,37 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent",
     all that lead into it, and exactly one node of each loop has
     ``back_edge_to``, the target of the edge that closes it. The array ``descendants`` is
     null in components above ``max_component`` nodes, where one row might not hold it;
-    ``n_descendants`` is exact everywhere, and descendant_pairs gives them as rows.
+    ``n_descendants`` is exact everywhere, descendant_pairs gives them as rows and hierarchy_blocks in arrays of bounded size.
     Other columns of ``links`` are ignored; an empty frame gives an empty one.
     """
+    walked, large = _parts(links, id_col, parent_col, max_component)
+    return walked.unionByName(large) if large is not None else walked
+
+
+def hierarchy_blocks(links: DataFrame, id_col: str = "id", parent_col: str = "parent", max_component: int = 5_000) -> DataFrame:
+    """hierarchy with all descendants of every node, at every size: one row a node and ``block``, ``descendants`` never null.
+
+    A node of at most ``max_component`` descendants has one row, block 0. One of more has them spread by hash over
+    ceil(n_descendants / max_component) blocks of about that size; each descendant stands in exactly one. Arrays are sorted.
+    """
+    walked, large = _parts(links, id_col, parent_col, max_component)
+    walked = walked.withColumn("block", F.lit(0))
+    if large is None:
+        return walked
+    large = materialize(large, "large_tree")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n_descendants") / max(1, max_component)))
+    pairs = descendant_pairs(large).join(large.select(F.col("node").alias("ancestor"), blocks.alias("blocks")), "ancestor")
+    held = (
+        pairs.groupBy(F.col("ancestor").alias("node"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+        .agg(F.sort_array(F.collect_list(F.col("node"))).alias("descendants"))
+    )
+    none = F.array().cast("array<bigint>")
+    rows = large.drop("descendants").join(held, "node", "left").withColumns({"block": F.coalesce("block", F.lit(0)), "descendants": F.coalesce("descendants", none)})
+    return walked.unionByName(rows)
+
+
+def _parts(links: DataFrame, id_col: str, parent_col: str, max_component: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of the components up to max_component nodes, and those of the larger ones if there are any."""
     nodes = materialize(_nodes(links, id_col, parent_col), "links")
     labels = component_labels(nodes)
     rows = nodes.join(labels, "node")
@@ -237,7 +266,7 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent",
     walked = (
         small.select("node", F.coalesce("parent", "node").alias("parent"), F.col("parent").isNull().alias("top"), "dangling", "comp").repartition("comp").sortWithinPartitions("comp", "node").mapInPandas(_traverse, SCHEMA)
     )
-    return walked.unionByName(_large(rows.join(large, "comp", "left_semi"))) if any_large else walked
+    return walked, _large(rows.join(large, "comp", "left_semi")) if any_large else None
 
 
 def loops(tree: DataFrame) -> DataFrame:

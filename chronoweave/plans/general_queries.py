@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as S
 from chronoweave.operators.asof_lookup import as_known_at
-from chronoweave.operators.hierarchy import hierarchy, loops
+from chronoweave.operators.hierarchy import hierarchy, hierarchy_blocks, loops
 from chronoweave.operators.orphans import orphan_report, orphans
 from chronoweave.sources.tables import table
 
@@ -22,8 +22,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Depth, path and descendants of every fact."""
-    return _tree(spark, d).select("node", "root", "depth", F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"), "n_descendants", F.concat_ws(",", F.col("descendants").cast("array<string>")).alias("descendants"), "in_loop", "loop_reached", "dangling")
+    """Depth, path and descendants of every fact; a fact of very many descendants has them in several rows, by block."""
+    tree = hierarchy_blocks(table(spark, d, "facts"), "id", "superseded_by")
+    return tree.select("node", "root", "depth", F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"), "n_descendants", F.concat_ws(",", F.col("descendants").cast("array<string>")).alias("descendants"), "block", "in_loop", "loop_reached", "dangling")
 
 
 def p2_loops(spark: SparkSession, d: str) -> DataFrame:

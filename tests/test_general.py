@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.operators.asof_lookup import as_known_at
-from chronoweave.operators.hierarchy import descendant_pairs, hierarchy, loops
+from chronoweave.operators.hierarchy import descendant_pairs, hierarchy, hierarchy_blocks, loops
 from chronoweave.operators.orphans import orphan_report, orphans
 
 
@@ -64,6 +64,29 @@ def test_hierarchy_paths_agree_in_both_ways(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("limit", [200_000, 7, 0])
+def test_descendants_are_whole_at_every_size(spark, limit):
+    links = random_links(150, 11) + [(9_000 + i, 9_000 if i else None) for i in range(60)] + [(9_100 + i, 9_100 + (i + 1) % 40) for i in range(40)]
+    below = brute_tree(links)[1]
+    rows = hierarchy_blocks(spark.createDataFrame(links, "id bigint, parent bigint"), max_component=limit).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.node, []).extend(r.descendants)
+        assert r.n_descendants == len(below[r.node])
+    assert {n: sorted(ds) for n, ds in got.items()} == {n: sorted(ds) for n, ds in below.items()}
+    assert len({(r.node, r.block) for r in rows}) == len(rows)
+    assert limit != 7 or len([r for r in rows if r.node == 9_000]) > 1
+
+
+def test_p2_tree_holds_the_descendants_of_a_large_component(spark, tmp_path):
+    from chronoweave.plans.general_queries import p2_tree
+
+    n = 5_200
+    spark.range(n).selectExpr("id", "CASE WHEN id > 0 THEN 0L END AS superseded_by").write.parquet(str(tmp_path / "facts.parquet"))
+    rows = p2_tree(spark, str(tmp_path)).where("node = 0").collect()
+    assert sorted(int(x) for r in rows for x in r.descendants.split(",")) == list(range(1, n)) and all(r.n_descendants == n - 1 for r in rows)
+
+
 def test_hierarchy_loops_and_nothing(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 5), (6, None), (7, 99)], "id bigint, parent bigint")
     t = hierarchy(df)
