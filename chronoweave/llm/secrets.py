@@ -111,8 +111,19 @@ def plausible(value: str, named: bool) -> bool:
     return _classes(value) >= 2
 
 
-#: Names that hold numbers, kinds or identifiers rather than credentials.
-NOT_A_CREDENTIAL = re.compile(r"(?i)(?:max|min|num|total|count|n|input|output|prompt|completion|next|prev|page|public|ssh|primary|foreign|sort|partition|cache|hash|object|map|dict|index|idempotency|row|group|shuffle)[_\-]?(?:tokens?|keys?)$|tokens$|keys$|keyword|tokeni[sz]er|author$|public[_\-]?key|key[_\-]?id$|token[_\-]?id$|secret[_\-]?(?:name|id)$|auth[_\-]?(?:method|type|mode|url|provider)$")
+#: Names that hold numbers, kinds or identifiers rather than credentials, as _parted writes them: what makes a token or key harmless is a whole part of the name.
+NOT_A_CREDENTIAL = re.compile(
+    r"(?:^|_)(?:(?:max|min|num|total|count|n|input|output|prompt|completion|next|prev|page|public|ssh|primary|foreign|sort|partition|cache|hash|object|map|dict|index|idempotency|row|group|shuffle)_?)+(?:tokens?|keys?)$"
+    r"|tokens$|keys$|keyword|tokeni[sz]er|author$|public_?key|key_?id$|token_?id$|secret_?name$|auth_?(?:method|type|mode|url|provider)$"
+)
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+
+
+def _parted(name: str) -> str:
+    """The name in lower case with its parts, camelCase ones too, divided by underscores."""
+    return re.sub(r"[_.\-]+", "_", _HUMP.sub("_", name)).lower()
+
+
 WEAK_NAME = re.compile(r"(?i)^(?:key|auth|pass|pw)$")
 
 
@@ -121,7 +132,8 @@ def _named(m: re.Match, text: str) -> tuple[int, int] | None:
     name = groups.get("n") or "password"
     if m.re is ASSIGN and text[m.start() - 1 : m.start()] in ("?", "&") and m.start():
         return None  # a URL's query has its own rule
-    if NOT_A_CREDENTIAL.search(name) and not re.search(r"(?i)access_key_id$", name):
+    parted = _parted(name)
+    if NOT_A_CREDENTIAL.search(parted) and not parted.endswith("access_key_id"):
         return None
     group = "v" if groups.get("v") is not None else "w"
     value = m.group(group)
@@ -138,6 +150,8 @@ def _named(m: re.Match, text: str) -> tuple[int, int] | None:
         return None
     if WEAK_NAME.match(name) and group == "w" and not (len(value) >= 12 and _classes(value) >= 2):
         return None
+    if re.search(r"secret_?id$", parted) and UUID.match(value):
+        return a, b  # an application role's second half is a UUID
     return (a, b) if plausible(value, True) else None
 
 

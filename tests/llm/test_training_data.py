@@ -34,6 +34,22 @@ def test_credentials_are_found(text, secret):
     assert secret not in secrets.redact(text) and secrets.redact(secrets.redact(text)) == secrets.redact(text)
 
 
+@pytest.mark.parametrize("name", ["AWS_SESSION_TOKEN", "ENCRYPTION_KEY", "ADMIN_TOKEN", "login_token", "subscription_key", "account-key", "VAULT_SECRET_ID", "adminToken"])
+def test_names_that_only_end_like_harmless_ones_are_found(name):
+    for text in (f'{name} = "q8Zt1vR5sKp2Lw9x"', f"{name}: q8Zt1vR5sKp2Lw9x"):
+        assert [text[a:b] for a, b in secrets.find(text)] == ["q8Zt1vR5sKp2Lw9x"]
+
+
+@pytest.mark.parametrize("text, secret", [("AccountName=a;AccountKey=q8Zt1vR5sKp2Lw9x", "q8Zt1vR5sKp2Lw9x"), ("secret_id=6f1c2a7e-0b7d-4f5e-9a51-2f6f0e3b1c88", "6f1c2a7e-0b7d-4f5e-9a51-2f6f0e3b1c88")])
+def test_account_keys_and_secret_ids_are_found(text, secret):
+    assert [text[a:b] for a, b in secrets.find(text)] == [secret]
+
+
+@pytest.mark.parametrize("name", ["next_page_token", "nextPageToken", "max-tokens", "cache_key", "row_key", "PRIMARY_KEY", "n_token", "user.partition_key", "auth_method", "ssh-key", "access_token_id"])
+def test_harmless_names_stay(name):
+    assert secrets.find(f'{name} = "q8Zt1vR5sKp2Lw9x"') == []
+
+
 @pytest.mark.parametrize("text", CLEAN)
 def test_other_text_stays(text):
     assert secrets.find(text) == [] and secrets.redact(text) == text
