@@ -1,9 +1,9 @@
 """Rebuilding conversations from message rows.
 
 A session's lines become ordered turns with speakers. Interleaved exchanges are
-disentangled by reply links: the turns shortly before are candidates, scored by
-time, mentions and words in common (hashed word sets, compared by bit counts);
-the likeliest becomes the parent, and links form trees. Sessions that are
+disentangled by reply links: the turns before are candidates, scored by
+time, mentions and words in common (exact sets, compared only where a bound of the score
+leaves a chance); the likeliest becomes the parent, and links form trees. Sessions that are
 broken, empty or lack replies are marked with the reason.
 
 Rows are spread by (session, day). What the day before holds within the longest
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,17 +28,21 @@ MENTION = r"[a-z][a-z0-9_]*(?:[-./][a-z0-9_]+)+"
 WORD = r"[\p{L}\p{N}]{3,}"
 DAY_US = 86_400_000_000
 GAP_US = 7_200_000_000
-LOOK_BACK = 8
 #: A best candidate below this is no parent; the turn then begins a tree.
 LEAST_SCORE = 0.9
+#: What a change of speaker, nearness in time, mentions and words add at most, and what each turn further back takes off.
+ROLE, NEAR, MENTIONS, WORDS, PER_TURN = 1.0, 1.0, 1.5, 2.0, 0.05
+#: Beyond so many turns back no score reaches LEAST_SCORE.
+LOOK_BACK = int((ROLE + NEAR + MENTIONS + WORDS - LEAST_SCORE) / PER_TURN + 1e-9)
 
 
-def _bits(tokens, seed: int):
-    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.hash(t, F.lit(seed)), F.lit(64)))))
+def _set(tokens):
+    """The distinct tokens, none of which holds a blank, as one string; null if there are none."""
+    return F.nullif(F.array_join(F.array_distinct(tokens), " "), F.lit(""))
 
 
 def message_lines(lines: DataFrame, with_text: bool = False) -> DataFrame:
-    """(src_session, line_offset, line_id, role, t, ok, has_content, words..., mentions): each line once, slim.
+    """(src_session, line_offset, line_id, role, t, ok, has_content, words, mentions): each line once, slim.
 
     t is null unless rec_timestamp is a valid RFC 3339 time; ok says whether both
     time and message are valid. Only user and assistant lines of the main chain have a role.
@@ -61,13 +66,34 @@ def message_lines(lines: DataFrame, with_text: bool = False) -> DataFrame:
         "src_session", "line_offset", "line_id", "ingested_at", "role", "t",
         F.when(F.col("role").isNotNull(), F.col("v").isNotNull() & F.col("t").isNotNull()).alias("ok"),
         (tool | said | F.coalesce(F.col("plain").rlike(r"(?U)\S"), F.lit(False))).alias("has_content"),
-        tokens.alias("tokens"), mentions.alias("mentions"), *([F.col("text")] if with_text else []),
+        _set(tokens).alias("words"), _set(mentions).alias("mentions"), *([F.col("text")] if with_text else []),
     )
-    slim = slim.select(*[c for c in slim.columns if c not in ("tokens", "mentions")], _bits("tokens", 1).alias("w1"), _bits("tokens", 2).alias("w2"), _bits("mentions", 3).alias("m1"))
     first = Window.partitionBy("src_session", "line_offset").orderBy("ingested_at", "line_id")
     return slim.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "ingested_at")
 
 
+class _Sets:
+    """A column of token sets; ``size`` has their sizes. Sets are built when they are first compared."""
+
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        column = column.combine_chunks()
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        parts = pc.split_pattern(column, " ")
+        self.size = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False).astype("int64")
+        self.ids = pc.dictionary_encode(parts.flatten()).indices.to_numpy(zero_copy_only=False)
+        self.ends = np.cumsum(self.size)
+        self.sets: dict[int, set[int]] = {}
+
+    def __getitem__(self, i: int) -> set[int]:
+        if (got := self.sets.get(i)) is None:
+            got = self.sets[i] = set(self.ids[self.ends[i] - self.size[i] : self.ends[i]].tolist())
+        return got
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many tokens each pair of rows has in common."""
+        return np.fromiter((len(self[a] & self[b]) for a, b in zip(i.tolist(), j.tolist())), "float64", len(i))
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (session, day, t, offset), context rows (own = false) among them."""
     kept: pa.Table | None = None
@@ -77,27 +103,32 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = lambda c: t.column(c).to_numpy()
         session = np.unique(np.array(t.column("src_session").to_pylist(), dtype=object).astype(str), return_inverse=True)[1]
         day, at, offset, role, line, own = get("day"), get("t"), get("line_offset"), get("is_user"), get("line_id"), get("own")
-        words = [get(c).view("uint64") for c in ("w1", "w2")]
-        men = get("m1").view("uint64")
-        size = sum(np.bitwise_count(w) for w in words).astype("float64")
-        n_men = np.bitwise_count(men).astype("float64")
+        words, men = _Sets(t.column("words")), _Sets(t.column("mentions"))
+        size, n_men = words.size.astype("float64"), men.size.astype("float64")
         best, parent = np.full(n, -1.0), np.full(n, -1)
         row = np.arange(n)
         for back in range(1, LOOK_BACK + 1):
             i, j = row[back:], row[:-back]
-            if not len(i):
-                break
-            gap = at[i] - at[j]
-            fits = (session[i] == session[j]) & (day[i] == day[j]) & (gap <= GAP_US)
-            shared = sum(np.bitwise_count(w[i] & w[j]) for w in words)
-            score = (
-                1.0 * (role[i] != role[j])
-                + np.exp(-np.clip(gap, 0, GAP_US) / 6e8)
-                + 1.5 * np.bitwise_count(men[i] & men[j]) / np.maximum(1, np.minimum(n_men[i], n_men[j]))
-                + 2.0 * shared / np.maximum(1, np.sqrt(size[i] * size[j]))
-                - 0.05 * back
-            )
-            better = fits & (score > best[i]) & (score >= LEAST_SCORE)
+            fits = (session[i] == session[j]) & (day[i] == day[j]) & (at[i] - at[j] <= GAP_US)
+            if not fits.any():
+                break  # nor does any turn further back
+            fits &= own[i]  # a turn of the context has its parent in its own day
+            i, j = i[fits], j[fits]
+            sure = ROLE * (role[i] != role[j]) + NEAR * np.exp(-np.clip(at[i] - at[j], 0, GAP_US) / 6e8) - PER_TURN * back
+            product = np.maximum(1, np.sqrt(size[i] * size[j]))
+            most_men = MENTIONS * ((n_men[i] > 0) & (n_men[j] > 0))
+            most = sure + most_men + WORDS * np.minimum(size[i], size[j]) / product
+            # What can't beat the best so far isn't compared; the margin is for rounding.
+            open_ = (most + 1e-9 >= best[i]) & (most + 1e-9 >= LEAST_SCORE)
+            i, j, sure, product, most_men = i[open_], j[open_], sure[open_], product[open_], most_men[open_]
+            by_men = np.zeros(len(i))
+            some = most_men > 0
+            by_men[some] = MENTIONS * men.shared(i[some], j[some]) / np.minimum(n_men[i[some]], n_men[j[some]])
+            most = sure + by_men + WORDS * np.minimum(size[i], size[j]) / product
+            open_ = (most + 1e-9 >= best[i]) & (most + 1e-9 >= LEAST_SCORE)
+            i, j = i[open_], j[open_]
+            score = sure[open_] + by_men[open_] + WORDS * words.shared(i, j) / product[open_]
+            better = (score > best[i]) & (score >= LEAST_SCORE)
             best[i[better]], parent[i[better]] = score[better], j[better]
         root, depth = [0] * n, [0] * n
         for k, p in enumerate(parent.tolist()):
@@ -147,7 +178,7 @@ LINKS = (
 def reply_links(slim: DataFrame) -> DataFrame:
     """One row a turn (valid line with content) with its likeliest parent; from message_lines."""
     day = F.floor(F.col("t") / DAY_US).cast("bigint")
-    turns = slim.where("role IS NOT NULL AND ok AND has_content").select("src_session", "t", F.coalesce("line_offset", F.lit(-1)).alias("line_offset"), "line_id", (F.col("role") == "user").alias("is_user"), "w1", "w2", "m1", day.alias("day"))
+    turns = slim.where("role IS NOT NULL AND ok AND has_content").select("src_session", "t", F.coalesce("line_offset", F.lit(-1)).alias("line_offset"), "line_id", (F.col("role") == "user").alias("is_user"), "words", "mentions", day.alias("day"))
     near_end = F.col("t") >= (F.col("day") + 1) * DAY_US - GAP_US
     spread = turns.withColumn("d", F.explode(F.when(near_end, F.array(F.col("day"), F.col("day") + 1)).otherwise(F.array("day"))))
     spread = spread.withColumn("own", F.col("d") == F.col("day")).drop("day").withColumnRenamed("d", "day")

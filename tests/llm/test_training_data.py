@@ -151,6 +151,39 @@ def test_threads_follow_mentions_and_words(spark):
     assert t.count() == 0 and s.count() == 0
 
 
+def test_reply_links_against_brute_force(spark):
+    import datetime as dt
+    import math
+    import re
+
+    rnd = random.Random(4)
+    vocab = [f"word{i}x" for i in range(3_000)]
+    rows, at = [], dt.datetime(2025, 1, 1, 22, 0, tzinfo=dt.UTC)
+    topics = [(rnd.sample(vocab, 400), f"host-{k}") for k in range(14)]
+    for n in range(150):
+        at += dt.timedelta(seconds=rnd.choice([5, 20, 60, 200]))
+        words, host = topics[rnd.randrange(14)]
+        text = " ".join([*rnd.sample(words, rnd.choice([3, 30, 390])), *([host] if rnd.random() < 0.5 else [])])
+        rows.append(("s", n, "user" if n % 2 == 0 else "assistant", at.strftime("%Y-%m-%dT%H:%M:%SZ"), text))
+    want, thread, furthest = {}, {}, 0
+    sets = [(set(re.findall(C.WORD.replace(r"\p{L}\p{N}", "a-z0-9"), r[4])), set(re.findall(C.MENTION, r[4])), dt.datetime.fromisoformat(r[3])) for r in rows]
+    for i, (w, m, t) in enumerate(sets):
+        best, parent = None, None
+        for j in range(i - 1, -1, -1):
+            gap = (t - sets[j][2]).total_seconds()
+            score = (i - j) % 2 + math.exp(-gap / 600) + 1.5 * len(m & sets[j][1]) / max(1, min(len(m), len(sets[j][1]))) + 2 * len(w & sets[j][0]) / max(1, math.sqrt(len(w) * len(sets[j][0]))) - 0.05 * (i - j)
+            if gap <= 7200 and score >= 0.9 and (best is None or score > best):
+                best, parent = score, j
+        want[i] = (parent, best)
+        thread[i] = i if parent is None else thread[parent]
+        furthest = max(furthest, i - parent if parent is not None else 0)
+    got = {r.line_id: r for r in C.conversations(lines(spark, rows))[0].collect()}
+    assert furthest > 8 and sets[0][2].day != sets[-1][2].day
+    assert {i: r.parent_line for i, r in got.items()} == {i: p for i, (p, _) in want.items()}
+    assert all(r.score is None if want[i][1] is None else abs(r.score - want[i][1]) < 1e-9 for i, r in got.items())
+    assert {i: r.thread for i, r in got.items()} == thread
+
+
 # --- 6. Vectors.
 
 
