@@ -73,6 +73,34 @@ def test_stream_chunks_equal_batch_chunks_over_restarts(spark, tmp_path):
     assert got and all(want[k] == v for k, v in got.items()) and len(want) - len(got) <= 2  # the last of a session is open
 
 
+PIECE = "src_session string, line_offset bigint, piece string"
+
+
+def test_stream_chunks_emit_the_rest_of_an_idle_session(spark, tmp_path):
+    import time
+
+    rows = [(s, i * 10, f"{s}{i} " * 5) for s, n in (("a", 11), ("b", 1)) for i in range(n)]
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    spark.createDataFrame(rows, PIECE).coalesce(1).write.parquet(src)
+    want = {tuple(r) for r in chunks(spark.createDataFrame(rows, PIECE), 60, 20).drop("n_pieces").collect()}
+    q = sessions.run_cycle(sessions.stream_chunks(spark.readStream.schema(PIECE).parquet(src), 60, 20, idle_ms=1_000), sessions.once(spark, out), ck, seconds=1)
+    got, end = set(), time.time() + 30
+    while got != want and time.time() < end:
+        time.sleep(1)
+        got = {tuple(r) for r in spark.read.schema(sessions.CHUNK).parquet(out).drop("batch").collect()} if os.path.exists(f"{out}/batch=0") else set()
+    q.stop()
+    assert got == want and {r[0] for r in got} == {"a", "b"}
+
+
+def test_stream_chunks_by_read_lose_nothing_that_comes_out_of_order(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    for part in ([("a", 0, "p0"), ("a", 20, "p20")], [("a", 10, "p10"), ("a", 20, "p20"), ("a", 30, "p30")], [("a", 10, "p10")]):
+        spark.createDataFrame(part, PIECE).coalesce(1).write.mode("append").parquet(src)
+        sessions.run_cycle(sessions.stream_chunks(spark.readStream.schema(PIECE).parquet(src), 1_000, 0, idle_ms=0), sessions.once(spark, out), ck).awaitTermination(60)
+    got = [(r.chunk_no, r.text, r.end_offset) for r in spark.read.parquet(out).orderBy("chunk_no").collect()]
+    assert got == [(0, "p0\n\np20", 20), (1, "p10\n\np30", 30)]
+
+
 def test_stream_new_facts(spark, tmp_path):
     schema = "statement string, repo string, src_session string"
     src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
