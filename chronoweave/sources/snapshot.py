@@ -37,6 +37,12 @@ def latest(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{versions(spark, root)[-1]}/{name}")
 
 
+def has(spark: SparkSession, root: str, version: str, name: str) -> bool:
+    """Whether a version holds a table; those published before the table was thought of don't."""
+    fs, p = _fs(spark, f"{root}/{version}/{name}")
+    return fs.exists(p)
+
+
 def retain(spark: SparkSession, root: str, keep: int = 7) -> list[str]:
     """Delete all but the newest versions; returns the deleted."""
     gone = versions(spark, root)[:-keep] if keep else versions(spark, root)

@@ -15,11 +15,15 @@ from chronoweave.session import materialize
 from chronoweave.sources import snapshot
 
 FACT = "id bigint, statement string, kind string, repo string, entities array<string>, files array<string>, confidence double, mass double, recorded_at double, valid_from double, superseded_at double, superseded_by bigint, src_session string, corroborations int, evidence string, stmt_hash string"
+WAITING = "arrived bigint, src_session string, chunk_no int, text string, repo string, t double"
 
 
 @dataclass
 class Cycle:
-    """State under ``root`` as published versions; ``apply`` is a foreachBatch function, repeatable for a batch id."""
+    """State under ``root`` as published versions; ``apply`` is a foreachBatch function, repeatable for a batch id.
+
+    Chunks beyond ``max_chunks`` are published as ``waiting`` and come first in the next batch; a batch without pieces takes of them alone.
+    """
 
     spark: SparkSession
     root: str
@@ -36,6 +40,13 @@ class Cycle:
             return self.spark.createDataFrame([], FACT)
         return snapshot.latest(self.spark, self.root, "facts")
 
+    def waiting(self) -> DataFrame:
+        """The chunks left over by the batches so far."""
+        done = snapshot.versions(self.spark, self.root)
+        if not done or not snapshot.has(self.spark, self.root, done[-1], "waiting"):
+            return self.spark.createDataFrame([], WAITING)
+        return snapshot.latest(self.spark, self.root, "waiting")
+
     def apply(self, pieces: DataFrame, batch_id: int) -> None:
         """pieces(src_session, line_offset, piece, repo, t). A version that exists is the sign that the batch is done."""
         version = f"{batch_id:012d}"
@@ -43,11 +54,18 @@ class Cycle:
             return
         old = self.facts()
         about = pieces.groupBy("src_session").agg(F.max("repo").alias("repo"), F.max("t").alias("t"))
-        cut = ingest.chunks(pieces, self.chunk_bytes, self.overlap_bytes)
-        if self.max_chunks is not None:
-            cut = cut.orderBy("src_session", "chunk_no").limit(self.max_chunks)
-        said = extract_facts(cut.join(about.select("src_session", "repo"), "src_session"), self.extractor)
-        clean = materialize(S.clean_fact(said).join(about.select("src_session", "t"), "src_session"), "extracted")
+        cut = ingest.chunks(pieces, self.chunk_bytes, self.overlap_bytes).join(about, "src_session").withColumn("arrived", F.lit(batch_id).cast("bigint"))
+        names = [c.split()[0] for c in WAITING.split(", ")]
+        # Numbered by arrival: the number tells chunks of one session in different batches apart.
+        queue = self.waiting().select(*names).unionByName(cut.select(*names))
+        queue = materialize(queue, "queue")
+        keys = ["arrived", "src_session", "chunk_no"]
+        queue = queue.join(queue.select(*keys).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys))), keys)
+        taken = queue if self.max_chunks is None else queue.where(F.col("place") <= self.max_chunks)
+        left = queue.select(*names).limit(0) if self.max_chunks is None else queue.where(F.col("place") > self.max_chunks).select(*names)
+        now = max((x for x in (about.agg(F.max("t")).first()[0], taken.agg(F.max("t")).first()[0]) if x is not None), default=0.0)
+        said = extract_facts(taken.select("src_session", F.col("place").alias("chunk_no"), "repo", "text"), self.extractor)
+        clean = materialize(S.clean_fact(said).join(taken.select(F.col("place").alias("chunk_no"), "t"), "chunk_no"), "extracted")
         # The order of a batch is total: time, session, chunk, fact. Ranks come from range partitions' sorted rows.
         ranked = clean.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("t", "src_session", "chunk_no", "fact_no")).cast("bigint"))
         insert, again = ingest.deduplicate(materialize(ranked, "ranked"), old)
@@ -58,8 +76,8 @@ class Cycle:
         ), "fresh")
         times = again.select(F.coalesce("id", F.lit(top) + F.col("pos")).alias("id"), "times").groupBy("id").agg(F.sum("times").alias("times"))
         everything = materialize(ingest.corroborate(old.unionByName(fresh), times), "everything")
-        closed = truth.close(everything, self._verdicts(old, everything, fresh), float(about.agg(F.max("t")).first()[0] or 0.0))
-        snapshot.publish({"facts": closed}, self.root, version)
+        closed = truth.close(everything, self._verdicts(old, everything, fresh), float(now))
+        snapshot.publish({"facts": closed, "waiting": left}, self.root, version)
         snapshot.retain(self.spark, self.root, self.keep)
 
     def _verdicts(self, old: DataFrame, everything: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -22,6 +22,20 @@ def test_cycle_is_idempotent_and_closes(spark, tmp_path):
     assert got["Lunch is at noon."].corroborations == 1 and got["Lunch is at noon."].superseded_at is None
 
 
+def test_cycle_keeps_the_chunks_beyond_its_budget(spark, tmp_path):
+    schema = "src_session string, line_offset bigint, piece string, repo string, t double"
+    said = [("a", "Alpha host is up."), ("a", "Beta port is open."), ("b", "Gamma disk is full."), ("b", "Delta lamp is red."), ("c", "Omega door is shut.")]
+    first = spark.createDataFrame([(s, i, f"USER: {x}", "r", 10.0) for i, (s, x) in enumerate(said[:4])], schema)
+    second = spark.createDataFrame([("a", 9, f"USER: {said[4][1]}", "r", 20.0)], schema)
+    c = Cycle(spark, str(tmp_path / "g"), LineExtractor(), OverlapJudge(), least_margin=0.1, chunk_bytes=10, overlap_bytes=0, max_chunks=2)
+    counts = []
+    for batch, i in ((first, 0), (first, 0), (second, 1), (second.limit(0), 2)):
+        c.apply(batch, i)
+        counts.append((c.facts().count(), c.waiting().count()))
+    assert counts == [(2, 2), (2, 2), (4, 1), (5, 0)]
+    assert {r.statement for r in c.facts().collect()} == {x for _, x in said} and c.facts().select("id").distinct().count() == 5
+
+
 def test_supersede_candidates_scope(spark):
     f = facts(spark, [dict(id=1, statement="deploy host alpha"), dict(id=2, statement="deploy host beta", repo="other"), dict(id=3, statement="deploy host gamma", repo="other"), dict(id=4, statement="deploy host", kind="todo"), dict(id=5, statement="deploy host old", superseded_at=1.0)])
     links = spark.createDataFrame([(2, 7), (1, 8)], "fact_id bigint, entity_id bigint")
