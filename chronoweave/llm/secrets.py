@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "[REDACTED]"
-MAX_LAYERS = 4
 
 # --- Values that carry their own format.
 TOKEN = re.compile(
@@ -124,6 +123,10 @@ def _parted(name: str) -> str:
     return re.sub(r"[_.\-]+", "_", _HUMP.sub("_", name)).lower()
 
 
+#: Names whose quoted value may hold blanks.
+STRONG_NAME = re.compile(r"passw|passphrase|passcode|passwd|pwd|secret")
+#: Words of sentences about credentials, which stand under such names in forms and messages.
+_SENTENCE = re.compile(r"(?i)\b(?:a|an|the|is|are|was|be|been|must|should|can(?:not)?|may|will|your|you|our|my|its?|this|that|these|for|from|with|without|please|enter|re-?enter|confirm|forgot|reset|change|new|old|current|invalid|incorrect|wrong|required|missing|and|or|not|no|to|of|in|on|by|at|least|characters?|if|when|used?|passwords?|secrets?|tokens?|keys?)\b")
 WEAK_NAME = re.compile(r"(?i)^(?:key|auth|pass|pw)$")
 
 
@@ -145,7 +148,7 @@ def _named(m: re.Match, text: str) -> tuple[int, int] | None:
         if CODE_VALUE.match(value) or "(" in value or text[b : b + 1] in ("(", "["):
             return None
     if " " in value and group == "v":
-        return None
+        return (a, b) if STRONG_NAME.search(parted) and _is_phrase(value) else None
     if value.lower() in ("bearer", "basic", "digest", "token"):
         return None
     if WEAK_NAME.match(name) and group == "w" and not (len(value) >= 12 and _classes(value) >= 2):
@@ -155,6 +158,12 @@ def _named(m: re.Match, text: str) -> tuple[int, int] | None:
     return (a, b) if plausible(value, True) else None
 
 
+def _is_phrase(value: str) -> bool:
+    """Whether a value with blanks may be a pass phrase: no sentence or template, and with a digit or of four words at least."""
+    words = value.split()
+    return plausible(value, True) and not _SENTENCE.search(value) and not re.search(r"[<>{}$%]", value) and (len(words) >= 4 or any(c.isdigit() for c in value)) and len(words) > 1
+
+
 _automaton = None
 
 
@@ -236,7 +245,9 @@ def _scan_plain(text: str) -> list[tuple[int, int]]:
 
 
 # --- Encoded layers.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_\-=])(?:[A-Za-z0-9+/]{24,}|[A-Za-z0-9_\-]{24,})={0,2}(?![A-Za-z0-9+/_\-=])")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_\-=])(?:[A-Za-z0-9+/]{11,}|[A-Za-z0-9_\-]{11,})={0,2}(?![A-Za-z0-9+/_\-=])")
+#: Lines of base64 as tools wrap them; the last may be of any length, or already be other text.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_\-=])(?P<full>(?:[A-Za-z0-9+/]{40,}[ \t]*\r?\n[ \t]*)*[A-Za-z0-9+/]{40,})[ \t]*\r?\n[ \t]*[A-Za-z0-9+/]+={0,2}(?![A-Za-z0-9+/_\-=])")
 HEX = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{2}){16,}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:[0-9A-F]{2}){16,}(?![A-Za-z0-9])")
 PERCENT = re.compile(r"[^\s\"'<>]*(?:%[0-9A-Fa-f]{2}[^\s\"'<>%]*){2,}")
 ESCAPED = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[nrt\"'\\/]|[^\s\\]){2,}")
@@ -311,6 +322,11 @@ def _encoded(text: str) -> Iterator[tuple[int, int, bytes | str]]:
     for m in BASE64.finditer(text):
         if (data := _decode_base64(m.group())) is not None:
             yield *m.span(), data
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            for a, b in (m.span(), m.span("full")):
+                if any(c.isspace() for c in text[a:b]) and (data := _decode_base64("".join(text[a:b].split()))) is not None:
+                    yield a, b, data
     for m in HEX.finditer(text):
         yield *m.span(), bytes.fromhex(m.group())
     if "%" in text:
@@ -323,24 +339,34 @@ def _encoded(text: str) -> Iterator[tuple[int, int, bytes | str]]:
                 yield *m.span(), _unescape(m.group())
 
 
-_LONG_RUN = re.compile(r"[A-Za-z0-9+/_\-]{24}|%[0-9A-Fa-f]{2}|\\[xu]")
+_LONG_RUN = re.compile(r"[A-Za-z0-9+/_\-]{11}|%[0-9A-Fa-f]{2}|\\[xu]")
 
 
-def find(text: str, layer: int = 0) -> list[tuple[int, int]]:
+def _holds(inner: bytes | str) -> bool:
+    """Whether a decoded literal holds a credential, however many layers down; each layer is shorter than the one around it."""
+    stack, seen = [inner], set()
+    while stack:
+        text = stack.pop()
+        if isinstance(text, bytes):
+            if is_key_container(text):
+                return True
+            text = _readable(text) or ""
+        if len(text) < 8 or text in seen:
+            continue
+        seen.add(text)
+        if _scan_plain(text):
+            return True
+        if _LONG_RUN.search(text):
+            stack += [x for _, _, x in _encoded(text)]
+    return False
+
+
+def find(text: str) -> list[tuple[int, int]]:
     """Spans of the credentials in a text, merged and in order; one found in an encoded literal spans the literal."""
     spans = _scan_plain(text)
-    if layer < MAX_LAYERS and _LONG_RUN.search(text):
+    if _LONG_RUN.search(text):
         plain = list(spans)
-        for a, b, inner in _encoded(text):
-            if any(x <= a and b <= y for x, y in plain):
-                continue
-            if isinstance(inner, bytes):
-                if is_key_container(inner):
-                    spans.append((a, b))
-                    continue
-                inner = _readable(inner) or ""
-            if len(inner) >= 8 and find(inner, layer + 1):
-                spans.append((a, b))
+        spans += [(a, b) for a, b, inner in _encoded(text) if not any(x <= a and b <= y for x, y in plain) and _holds(inner)]
     spans.sort(key=lambda s: (s[0], -s[1]))
     merged: list[tuple[int, int]] = []
     for a, b in spans:

@@ -45,6 +45,27 @@ def test_account_keys_and_secret_ids_are_found(text, secret):
     assert [text[a:b] for a, b in secrets.find(text)] == [secret]
 
 
+def _layers(text, n):
+    for _ in range(n):
+        text = base64.b64encode(text.encode()).decode()
+    return text
+
+
+def test_short_deep_and_wrapped_layers_are_decoded():
+    der = b"\x30\x82\x00\xc8" + b"\x02\x01\x00" + b"\x30\x03\x06\x01\x2a" + b"\x04\x81\xbd" + bytes(range(189))
+    assert secrets.is_key_container(der)
+    wrapped = base64.encodebytes(der).decode().strip()
+    for text in (base64.b64encode(b"password=hunter2").decode(), _layers(f"password={FAKE}", 7), wrapped):
+        assert secrets.find(text) == [(0, len(text))] and secrets.find(f"x {text}\ndone") == [(2, 2 + len(text))]
+
+
+def test_quoted_values_with_blanks():
+    for text in ('password = "correct horse 7 battery"', "passphrase: 'correct horse battery staple'"):
+        assert len(secrets.find(text)) == 1
+    for text in ('password: "Enter your password"', 'password = "must be at least 8 characters"', 'token = "some words 7 here"', 'secret: "used by service 3"'):
+        assert secrets.find(text) == []
+
+
 @pytest.mark.parametrize("name", ["next_page_token", "nextPageToken", "max-tokens", "cache_key", "row_key", "PRIMARY_KEY", "n_token", "user.partition_key", "auth_method", "ssh-key", "access_token_id"])
 def test_harmless_names_stay(name):
     assert secrets.find(f'{name} = "q8Zt1vR5sKp2Lw9x"') == []
