@@ -56,16 +56,48 @@ QUERY = re.compile(r"(?i)[?&;](?P<n>[A-Za-z_\-]*(?:token|key|secret|password|pas
 HEADER = re.compile(r"(?i)\b(?:proxy-)?authorization[\"']?[ \t]*[:=][ \t]*[\"']?(?:bearer|basic|token|digest|apikey)[ \t]+(?P<w>[^\s\"'`,;]+)")
 BEARER = re.compile(r"\b(?:Bearer|Basic)[ \t]+(?P<w>[A-Za-z0-9+/=_\-.~]{12,})")
 XML = re.compile(rf"(?i)<(?P<n>{_NAME})(?:\s[^<>]*)?>(?P<w>[^<>\n]+)</(?P=n)>")
-#: Sentences that give a credential away.
-PROSE = [
-    re.compile(r"(?i)\b(?:password|passphrase|passcode|secret|token|api key|pin|psk|credential)s?\b(?:[ \t]+[a-z][a-z\-]*){0,6}?[ \t]+(?:is|was|are|became|stays|now)[ \t]+(?:now[ \t]+|still[ \t]+)?[\"'`]?(?P<p>[^\s\"'`]+)"),
-    re.compile(r"(?i)\bwi-?fi\b[^:\n]{0,60}:[ \t]*[\"'`]?(?P<p>[^\s\"'`]+)"),
-    re.compile(r"(?i)\b(?:log|sign)(?:ged|ging)?[ \t\-]*in(?:to)?\b[^\n]{0,40}?\bas[ \t]+\S+[ \t]+with[ \t]+[\"'`]?(?P<p>[^\s\"'`]+)"),
-    re.compile(r"(?i)\buse[ \t]+\S+[ \t]+/[ \t]+[\"'`]?(?P<p>[^\s\"'`]+)[\"'`]?[ \t]+(?:for|on|to|in)\b"),
-    re.compile(r"(?i)\bheader[ \t]+(?:now[ \t]+)?(?:carries|has|contains|sends)[ \t]+[\"'`](?P<p>[^\s\"'`]+)[\"'`]"),
-    re.compile(r"(?i)\bre-?us(?:e|ed|ing)[ \t]+[\"'`]?(?P<p>[^\s\"'`]+)[\"'`]?[ \t]+from\b"),
-    re.compile(r"(?i)\b(?:password|passphrase|token|secret|key)[ \t]+(?:for|of|to|on)[ \t]+(?:the[ \t]+)?[^:\n]{1,40}:[ \t]*[\"'`]?(?P<p>[^\s\"'`]+)"),
-]
+#: Words by which running text speaks of credentials or of getting in, and such by which it may.
+CUE = re.compile(r"(?i)\b(?:pass(?:words?|phrases?|codes?|wd|keys?)?|pwd|secrets?|tokens?|keys?|pins?|psk|credentials?|wi-?fi|log(?:ged|ging|s)?[ \-]?(?:in|on)|sign(?:ed|ing|s)?[ \-]?in|auth\w*|unlock\w*|rotat\w+)\b")
+WEAK_CUE = re.compile(r"(?i)\b(?:us(?:e|es|ed|ing)|re-?us(?:e|es|ed|ing)|headers?|accounts?|users?|admin|root|connect\w*|access\w*)\b")
+#: What leads from the cue to the value.
+LEADS = re.compile(r"(?i)(?:\b(?:is|was|are|were|be|became|stays|still|now|with|as|to|carries|contains|has|sends|holds)|[:/=])[ \t]+[\"'`(]?$")
+#: Names with a value of their own: other rules judge those.
+ASSIGNED = re.compile(r"[\w.\-]+[\"'`]?\]?[ \t]*(?::?=|=>|===?|!=)[ \t]*[\"'`]?$|(?:^|[{,])[ \t\-]*[\"'`]?[\w.\-]+[\"'`]?[ \t]*:[ \t]*[\"'`]?$")
+SPOKEN = re.compile(r"(?<![^\s\"'`(])[^\s\"'`()<>]{8,}(?![^\s\"'`).,;:!?])")
+OTHER_IDS = re.compile(r"(?i)\b(?:commits?|sha\d*|hash(?:es)?|digests?|checksums?|md5|etags?|revisions?|builds?|uuid|fingerprints?|versions?|releases?)\b")
+_VERSIONED = re.compile(r"^(?:[A-Z]?[a-z]+|[A-Z]+)(?:-?\d{1,3}|-?v?\d+(?:\.\d+)+)$|^\d{4}-\d\d-\d\d|^[A-Z]?[a-z]+(?:[A-Z][a-z]+)+\d{0,2}$|^(?:[A-Z][a-z]*-)+[A-Z][a-z]*\d{0,2}$")
+
+
+def _random_like(v: str) -> bool:
+    """Whether a word of running text is built like a generated or composed password: both cases with digits or signs among them, and no name, version, date or path."""
+    if not plausible(v, False) or _VERSIONED.match(v) or CODE_VALUE.match(v) or "://" in v or "/" in v[:1] or v.count("/") > 1 or "@" in v[1:-1] and re.search(r"@[\w\-]+(?:\.[\w\-]+)+$", v):
+        return False
+    lower, upper, digit = (any(f(c) for c in v) for f in (str.islower, str.isupper, str.isdigit))
+    sign = any(not c.isalnum() and c not in "-_./" for c in v)
+    return lower and upper and (digit or sign) and entropy(v) >= 2.7
+
+
+def _spoken(line: str) -> Iterator[tuple[int, int]]:
+    """Values that a line of running text gives away: words built like a password, within a cue's reach; hexadecimal ones only where the text leads straight to them."""
+    for m in SPOKEN.finditer(line):
+        a, b = m.span()
+        v = m.group()
+        short = v.rstrip(".,;:!?") if not re.search(r"[^\w.,;:!?\-]", v[:-1]) else v.rstrip(",;:")
+        b -= len(v) - len(short)
+        before = line[max(0, a - 90) : a]
+        cut = max(before.rfind(". "), before.rfind("; "), before.rfind("? "), before.rfind("! "))
+        before = before[cut + 1 :]
+        strong, weak = CUE.search(before), WEAK_CUE.search(before)
+        if not (strong or weak) or ASSIGNED.search(before):
+            continue
+        if re.fullmatch(r"[0-9a-f]{24,}", short):
+            if LEADS.search(before) and not OTHER_IDS.search(before) and plausible(short, False):
+                yield a, b
+        elif _random_like(short) and not (OTHER_IDS.search(before) and not strong):
+            yield a, b
+        elif LEADS.search(before) and (strong or short.isalpha()) and plausible(short, False) and (any(c.isdigit() for c in short) or sum(c.isupper() for c in short[1:]) >= 3) and not CODE_VALUE.match(short) and not _VERSIONED.match(short) and "://" not in short and "/" not in short[:1] and not re.fullmatch(r"[a-z]+[_\-]?\d{1,3}", short):
+            yield a, b
+
 
 #: Lower-case pieces of text without which no rule can match, by the rules they may belong to.
 TRIGGERS = {
@@ -74,7 +106,7 @@ TRIGGERS = {
     "header": "bearer basic authorization",
     "url": "://",
     "command": "curl|mysql|mariadb|sshpass|-u |--user|--proxy-user",
-    "prose": "wifi|wi-fi|log in|logged in|logging in|login|log-in|sign in|signed in|signing in|sign-in| / |header|passphrase|pin |pin:|reus|re-us",
+    "prose": "wifi|wi-fi|log in|logged in|logging in|login|log-in|log on|sign in|signed in|signing in|sign-in|header|pin |pin:|pins|use |used |using |unlock|rotat|account|user|admin|root|connect|access",
 }
 
 PLACEHOLDER = re.compile(
@@ -224,6 +256,8 @@ def _scan_plain(text: str) -> list[tuple[int, int]]:
         return spans
     if "-----BEGIN" in text:
         spans += [m.span() for m in KEY_BLOCK.finditer(text)]
+    if "PuTTY-User-Key-File-" in text:
+        spans += [m.span() for m in PUTTY.finditer(text)]
     for (a, b), kinds in lines.items():
         line = text[a:b]
         own: list[tuple[int, int]] = []
@@ -232,14 +266,7 @@ def _scan_plain(text: str) -> list[tuple[int, int]]:
         for rule in _rules(line, kinds):
             own += [s for m in rule.finditer(line) if (s := _named(m, line))]
         if "prose" in kinds or "name" in kinds:
-            for rule in PROSE:
-                for m in rule.finditer(line):
-                    v = m.group("p")
-                    x, y = m.span("p")
-                    short = v.rstrip(".,;:)!?") if not re.search(r"[^\w.,;:)!?\-]", v[:-1]) else v.rstrip(",;")
-                    y -= len(v) - len(short)
-                    if plausible(short, False) and not CODE_VALUE.match(short) and "://" not in short and "/" not in short[:1]:
-                        own.append((x, y))
+            own += _spoken(line)
         spans += [(a + x, a + y) for x, y in own]
     return spans
 
@@ -255,8 +282,10 @@ _ESCAPE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\([nrt\"'\\/])")
 
 
 def _readable(data: bytes) -> str | None:
+    """Bytes as text: UTF-16 where it is marked or every second byte is null, else UTF-8; None if that isn't text."""
+    wide = "utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-16-le" if len(data) > 3 and not any(data[1:64:2]) else "utf-16-be" if len(data) > 3 and not any(data[:64:2]) else "utf-8"
     try:
-        text = data.decode("utf-8")
+        text = data.decode(wide)
     except UnicodeDecodeError:
         return None
     printable = sum(c.isprintable() or c in "\r\n\t" for c in text)
@@ -278,31 +307,79 @@ def _der(data: bytes, at: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= len(data) else None
 
 
+def _strings(data: bytes, at: int, n: int) -> tuple[list[bytes], int] | None:
+    """n strings with four bytes of length each, and where they end."""
+    out = []
+    for _ in range(n):
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > len(data) or at + 4 + size > len(data):
+            return None
+        out.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    return out, at
+
+
+def _is_openssh(data: bytes) -> bool:
+    """Magic, cipher, key derivation and its options, the number of keys, a public part for each, and the private part to the end."""
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic) or not (head := _strings(data, len(magic), 3)):
+        return False
+    (cipher, kdf, _), at = head
+    keys = int.from_bytes(data[at : at + 4], "big")
+    if not cipher or not kdf or not 1 <= keys <= 64 or not (rest := _strings(data, at + 4, keys + 1)):
+        return False
+    return bool(rest[0][-1]) and rest[1] == len(data)
+
+
+PUTTY = re.compile(
+    r"PuTTY-User-Key-File-[123]: [\w\-@.]+\r?\nEncryption: [\w\-]+\r?\nComment: [^\n]*\nPublic-Lines: \d+\r?\n(?:[A-Za-z0-9+/=]+\r?\n)+"
+    r"(?:(?:Key-Derivation|Argon2-\w+): [^\n]*\n)*Private-Lines: \d+\r?\n(?:[A-Za-z0-9+/=]+\r?\n)+Private-(?:MAC|Hash): [0-9a-f]+"
+)
+
+
+def _oid(data: bytes, element: tuple[int, int, int] | None) -> bytes | None:
+    return data[element[1] : element[2]] if element and element[0] == 0x06 else None
+
+
+def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """All elements between two places, if they fill them."""
+    out = []
+    while at < end:
+        e = _der(data, at)
+        if not e or e[2] > end:
+            return None
+        out.append(e)
+        at = e[2]
+    return out
+
+
 def is_key_container(data: bytes) -> bool:
-    """Whether bytes are a private key by their grammar: PKCS#1, SEC1, PKCS#8 (plain or encrypted), OpenSSH, or PuTTY."""
-    if data.startswith((b"openssh-key-v1\0", b"PuTTY-User-Key-File-")):
-        return True
+    """Whether bytes are a private key by their grammar: PKCS#1, DSA, SEC1, PKCS#8 (plain or encrypted), PKCS#12, OpenSSH, or PuTTY."""
+    if data.startswith(b"openssh-key-v1\0"):
+        return _is_openssh(data)
+    if data.startswith(b"PuTTY-User-Key-File-"):
+        return bool(PUTTY.match(data.decode("utf-8", "replace")))
     outer = _der(data, 0)
     if not outer or outer[0] != 0x30 or outer[2] != len(data):
         return False
-    first = _der(data, outer[1])
-    if not first:
+    parts = _elements(data, outer[1], outer[2])
+    if not parts or len(parts) < 2:
         return False
-    second = _der(data, first[2])
-    if first[0] == 0x02 and first[2] - first[1] == 1 and second:
+    first, second = parts[0], parts[1]
+    if first[0] == 0x02 and first[2] - first[1] == 1:
         version = data[first[1]]
+        if version == 3 and second[0] == 0x30:  # PKCS#12: the content of the safe is data or signed data, and a MAC may follow
+            inner = _elements(data, second[1], second[2])
+            return bool(inner) and (_oid(data, inner[0]) or b"")[:-1] == b"\x2a\x86\x48\x86\xf7\x0d\x01\x07" and len(inner) == 2 and inner[1][0] == 0xA0
         if version in (0, 1) and second[0] == 0x30:  # PKCS#8: algorithm, then the key as an octet string
-            third = _der(data, second[2])
-            return bool(third and third[0] == 0x04)
-        if version == 0 and second[0] == 0x02:  # PKCS#1: nine integers in all
-            count, at = 1, first[2]
-            while (e := _der(data, at)) and e[0] == 0x02:
-                count, at = count + 1, e[2]
-            return count == 9 and at == outer[2]
-        return version == 1 and second[0] == 0x04  # SEC1
-    if first[0] == 0x30 and second and second[0] == 0x04 and second[2] == outer[2]:  # encrypted PKCS#8
-        oid = _der(data, first[1])
-        return bool(oid and oid[0] == 0x06 and data[oid[1] : oid[1] + 8] == b"\x2a\x86\x48\x86\xf7\x0d\x01\x05")
+            algorithm = _elements(data, second[1], second[2])
+            return len(parts) >= 3 and parts[2][0] == 0x04 and bool(algorithm) and _oid(data, algorithm[0]) is not None
+        if version == 0 and all(e[0] == 0x02 for e in parts):  # nine integers for RSA, six for DSA
+            return len(parts) in (6, 9)
+        return version == 1 and second[0] == 0x04 and all(e[0] in (0xA0, 0xA1) for e in parts[2:])  # SEC1
+    if first[0] == 0x30 and second[0] == 0x04 and len(parts) == 2:  # encrypted PKCS#8
+        inner = _elements(data, first[1], first[2])
+        return bool(inner) and (_oid(data, inner[0]) or b"").startswith(b"\x2a\x86\x48\x86\xf7\x0d\x01\x05")
     return False
 
 
@@ -380,12 +457,17 @@ def find(text: str) -> list[tuple[int, int]]:
 def _with_repeats(text: str, known: set[str]) -> list[tuple[int, int]]:
     """Spans of the credentials of a text, and of those known from beside it, wherever they are said again."""
     spans = find(text)
-    for value in known:
+    taken = bytearray(len(text))
+    for a, b in spans:
+        taken[a:b] = b"\1" * (b - a)
+    for value in sorted(known, key=lambda v: (-len(v), v)):
         at = text.find(value)
         while at >= 0:
-            if not any(a < at + len(value) and at < b for a, b in spans):
-                spans.append((at, at + len(value)))
-            at = text.find(value, at + len(value))
+            end = at + len(value)
+            if not any(taken[at:end]):
+                spans.append((at, end))
+                taken[at:end] = b"\1" * len(value)
+            at = text.find(value, end)
     return sorted(spans)
 
 
@@ -405,32 +487,32 @@ def redact(text: str) -> str:
 # --- Messages: JSON with a string, or an array of items, as content.
 
 
-def _item_texts(message: dict) -> Iterator[tuple[int, object, object]]:
-    """(item number, container, key) of each text in scope."""
+def _item_texts(message: dict) -> Iterator[tuple[int, tuple, str]]:
+    """(item number, path, text) of each text in scope."""
     content = message.get("content")
     if isinstance(content, str):
-        yield 0, message, "content"
+        yield 0, ("content",), content
     elif isinstance(content, list):
         for no, item in enumerate(content):
             if not isinstance(item, dict):
                 continue
             if item.get("type") == "text" and isinstance(item.get("text"), str):
-                yield no, item, "text"
+                yield no, ("content", no, "text"), item["text"]
             elif item.get("type") == "tool_result":
                 inner = item.get("content")
                 if isinstance(inner, str):
-                    yield no, item, "content"
+                    yield no, ("content", no, "content"), inner
                 elif isinstance(inner, list):
-                    for part in inner:
+                    for k, part in enumerate(inner):
                         if isinstance(part, dict) and isinstance(part.get("text"), str):
-                            yield no, part, "text"
+                            yield no, ("content", no, "content", k, "text"), part["text"]
 
 
 def scan_message(raw: str) -> tuple[list[tuple[int, str]], str]:
     """(item_no, secret) pairs of a message, and the message with them replaced.
 
-    Only the literals that hold a credential are written anew (between the quotes, as JSON escapes
-    them); every other character of the message stays. A message that isn't valid JSON is returned as it is.
+    Only the characters of a credential are replaced, in the literal that holds it by its place in the message; every
+    other character stays. A message that isn't valid JSON is returned as it is.
     """
     try:
         message = json.loads(raw)
@@ -438,37 +520,57 @@ def scan_message(raw: str) -> tuple[list[tuple[int, str]], str]:
         return [], raw
     if not isinstance(message, dict):
         return [], raw
-    found, swaps = [], []
-    texts = [(no, box[key]) for no, box, key in _item_texts(message)]
-    known = {text[a:b] for _, text in texts for a, b in find(text)}
-    for no, text in texts if known else ():
+    found: list[tuple[int, str]] = []
+    swaps: dict[tuple, list[tuple[int, int]]] = {}
+    texts = list(_item_texts(message))
+    known = {text[a:b] for _, _, text in texts for a, b in find(text)}
+    for no, path, text in texts if known else ():
         spans = _with_repeats(text, known)
-        if not spans:
-            continue
-        found += [(no, text[a:b]) for a, b in spans]
-        swaps.append((text, _replace(text, spans)))
-    if not swaps:
-        return found, raw
-    return found, _rewrite(raw, swaps)
-
-
-_LITERAL = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
-
-
-def _rewrite(raw: str, swaps: list[tuple[str, str]]) -> str:
-    """raw with each string literal whose value is in swaps replaced; texts in scope stand in order."""
-    out, at, left = [], 0, list(swaps)
-    for m in _LITERAL.finditer(raw):
-        if not left:
-            break
-        if m.end() - m.start() - 2 < len(left[0][0]):
-            continue
-        ascii_only = "\\u" in m.group() or m.group().isascii()
-        if json.loads(m.group(), strict=False) == left[0][0]:
-            out += [raw[at : m.start()], json.dumps(left[0][1], ensure_ascii=ascii_only)]
-            at = m.end()
-            left.pop(0)
-    return "".join([*out, raw[at:]])
+        if spans:
+            found += [(no, text[a:b]) for a, b in spans]
+            swaps[path] = spans
+    return found, _rewrite(raw, swaps) if swaps else raw
+
+
+_PIECE = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+', re.S)
+_CHARACTER = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|[^\\]", re.S)
+
+
+def _literals(raw: str, wanted: set[tuple]) -> dict[tuple, tuple[int, int]]:
+    """Where the string literals at the wanted paths lie; of a key given twice the last counts, as for a parser."""
+    places: dict[tuple, tuple[int, int]] = {}
+    stack: list[list] = []  # [is an array, key or index]
+    key = False
+    for m in _PIECE.finditer(raw):
+        piece = m.group()
+        if piece in "{[":
+            stack.append([piece == "[", 0 if piece == "[" else None])
+            key = piece == "{"
+        elif piece in "}]":
+            stack.pop()
+            key = False
+        elif piece == ",":
+            if stack[-1][0]:
+                stack[-1][1] += 1
+            key = not stack[-1][0]
+        elif piece == ":":
+            key = False
+        elif key and piece[0] == '"':
+            stack[-1][1] = json.loads(piece, strict=False)
+        elif piece[0] == '"' and len(stack) <= 5:
+            path = tuple(s[1] for s in stack)
+            if path in wanted:
+                places[path] = m.span()
+    return places
+
+
+def _rewrite(raw: str, swaps: dict[tuple, list[tuple[int, int]]]) -> str:
+    """raw with the given characters of the literals at the given paths replaced by MARK."""
+    cuts: list[tuple[int, int]] = []
+    for path, (a, b) in _literals(raw, set(swaps)).items():
+        starts = [a + 1 + m.start() for m in _CHARACTER.finditer(raw[a + 1 : b - 1])] + [b - 1]
+        cuts += [(starts[x], starts[y]) for x, y in swaps[path]]
+    return _replace(raw, sorted(cuts))
 
 
 def credentials(lines: DataFrame, id_col: str = "line_id", message: str = "message") -> DataFrame:

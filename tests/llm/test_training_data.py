@@ -105,12 +105,57 @@ def test_key_containers_by_grammar():
     numbers = [der(2, bytes([1]) + bytes(range(40)))] * 8
     pkcs1 = der(0x30, der(2, b"\0") + b"".join(numbers))
     pkcs8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48")) + der(4, pkcs1))
-    assert secrets.is_key_container(pkcs1) and secrets.is_key_container(pkcs8) and secrets.is_key_container(b"openssh-key-v1\0xyz")
+    assert secrets.is_key_container(pkcs1) and secrets.is_key_container(pkcs8) and not secrets.is_key_container(b"openssh-key-v1\0xyz")
     assert not secrets.is_key_container(der(0x30, der(2, b"\0") + numbers[0])) and not secrets.is_key_container(pkcs8[:-1]) and not secrets.is_key_container(b"")
     text = "blob " + base64.b64encode(pkcs8).decode() + " end"
     assert [text[a:b] for a, b in secrets.find(text)] == [text.split()[1]]
 
 
+def test_only_the_literal_in_scope_is_rewritten():
+    said = 'API_KEY="q8Zt1vR5sKp2Lw9x"'
+    raw = json.dumps({"content": [{"type": "tool_use", "input": {"x": said}}, {"type": "text", "text": said}]})
+    found, out = secrets.scan_message(raw)
+    assert found == [(1, "q8Zt1vR5sKp2Lw9x")]
+    items = json.loads(out)["content"]
+    assert items[0]["input"]["x"] == said and items[1]["text"] == 'API_KEY="[REDACTED]"'
+
+
+def test_characters_around_a_credential_stay_as_they_were_written():
+    raw = '{"z": [1, {"content": "x"}], "content":"a\\u00e9 \\ud83d\\ude00 password = \\"q8Zt1vR5sKp2Lw9x\\" \\/ done"}'
+    assert secrets.scan_message(raw)[1] == raw.replace("q8Zt1vR5sKp2Lw9x", "[REDACTED]")
+
+
+def test_containers_need_their_whole_grammar():
+    string = lambda b: len(b).to_bytes(4, "big") + b
+    key = b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + (1).to_bytes(4, "big") + string(b"public") + string(b"private")
+    assert secrets.is_key_container(key)
+    assert not secrets.is_key_container(b"openssh-key-v1\0xx") and not secrets.is_key_container(key + b"x") and not secrets.is_key_container(key[:-1])
+    integer = lambda n: b"\x02\x01" + bytes([n])
+    dsa = b"\x30\x12" + b"".join(integer(n) for n in (0, 5, 7, 9, 11, 13))
+    assert secrets.is_key_container(dsa) and not secrets.is_key_container(b"\x30\x0f" + dsa[2:17])
+    safe = b"\x30\x0d" + b"\x06\x09" + bytes.fromhex("2a864886f70d010701") + b"\xa0\x00"
+    safe = b"\x30" + bytes([len(safe[2:])]) + safe[2:]
+    assert secrets.is_key_container(b"\x30" + bytes([3 + len(safe)]) + integer(3) + safe)
+    putty = "PuTTY-User-Key-File-2: ssh-rsa\nEncryption: none\nComment: me\nPublic-Lines: 1\nAAAA\nPrivate-Lines: 1\nBBBB\nPrivate-MAC: 0f"
+    assert secrets.is_key_container(putty.encode()) and not secrets.is_key_container(b"PuTTY-User-Key-File-2: ssh-rsa")
+    assert secrets.redact("see " + putty + " end") == "see [REDACTED] end"
+
+
+def test_wide_text_is_decoded():
+    literal = base64.b64encode('password = "q8Zt1vR5sKp2Lw9x"'.encode("utf-16")).decode()
+    assert secrets.redact(f"data: {literal}") == "data: [REDACTED]"
+
+
+@pytest.mark.parametrize("text", ["our vault unlocks with Hq7!zRt0pWm2 these days", "the new pin for the door is tB92kQx7Lw", "people connect as root with 5Zr-Jq0vXw8T there"])
+def test_running_text_gives_credentials_away(text):
+    assert "[REDACTED]" in secrets.redact(text)
+
+
+@pytest.mark.parametrize("text", ["use Ubuntu-22.04 with the token cache", "the key is in ConfigLoader2 now", "log in to build-host-12 with your account", "the token moved to https://a.example/X9yZ8w7V6u"])
+def test_names_and_versions_in_running_text_stay(text):
+    assert secrets.redact(text) == text
+
+
 def test_messages_keep_everything_else(spark):
     rows = [
         (1, json.dumps({"content": f"é password: {FAKE}"})), (2, '{ "content" : [ {"type":"tool_use","input":{"password":"%s"}} , {"type": "text", "text": "token=%s \\u00e9\\n"} ] }' % (FAKE, FAKE)),
