@@ -95,7 +95,7 @@ def _spoken(line: str) -> Iterator[tuple[int, int]]:
                 yield a, b
         elif _random_like(short) and not (OTHER_IDS.search(before) and not strong):
             yield a, b
-        elif LEADS.search(before) and (strong or short.isalpha()) and plausible(short, False) and (any(c.isdigit() for c in short) or sum(c.isupper() for c in short[1:]) >= 3) and not CODE_VALUE.match(short) and not _VERSIONED.match(short) and "://" not in short and "/" not in short[:1] and not re.fullmatch(r"[a-z]+[_\-]?\d{1,3}", short):
+        elif LEADS.search(before) and (strong or short.isalpha()) and plausible(short, False) and (any(c.isdigit() for c in short) or sum(c.isupper() for c in short[1:]) >= 3) and not CODE_VALUE.match(short) and not _VERSIONED.match(short) and "://" not in short and "/" not in short[:1] and not re.fullmatch(r"[a-z]+(?:[_\-][a-z]+)*[_\-]?\d{1,3}", short):
             yield a, b
 
 

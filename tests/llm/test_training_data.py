@@ -379,10 +379,9 @@ def test_mix_reaches_shares_and_caps(spark):
 # --- 10. Subjects.
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_subjects_on_held_out_documents(spark, monkeypatch, broadcast):
-    if not broadcast:
-        monkeypatch.setattr(subjects, "MAX_BROADCAST_PHRASES", -1)
+@pytest.mark.parametrize("block_rows", [2000, 100])
+def test_subjects_on_held_out_documents(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(subjects, "BLOCK_ROWS", block_rows)
     rnd = random.Random(4)
     terms = {s: [f"{s}{a} {s}{b}" for a in ("alpha", "beta", "gamma") for b in ("node", "ring", "cell")] for s in ("law", "bio", "net")}
     shared = ["field map", "token count", "pool size", "stage plan"]
@@ -415,3 +414,32 @@ def test_subjects_leave_eval_passages_aside(spark):
     items = spark.createDataFrame([(1, "The lawalpha node binds the lawbeta ring of every clause.")], "item_id bigint, text string")
     assert subjects.subjects_of(df, lb, rounds=2).count() == 18 and {r.subject for r in subjects.subjects_of(df, lb, items, rounds=2).collect()} == {"bio"}
     assert subjects.subjects_of(df, lb.limit(0)).count() == 0 and subjects.subjects_of(df.limit(0), lb).count() == 0
+
+
+def test_edges_are_verified_by_cosine(spark):
+    rnd = random.Random(3)
+    profiles = {d: set(rnd.sample(range(1, 25), rnd.randint(2, 8))) | {0} for d in range(12)}
+    rows = [(d, 0, p * 2, 0, 1.0) for d, ps in profiles.items() for p in ps] + [(0, 1, 0, 0, 1.0)]
+    hits = spark.createDataFrame(rows, "doc_id bigint, no int, phrase bigint, subject int, purity double")
+    edges = {(r.doc_id, r.other): r.weight for r in subjects.similar_documents(hits).collect()}
+    assert edges and all((b, a) in edges and a != b for a, b in edges)
+    for (a, b), weight in edges.items():
+        cosine = len(profiles[a] & profiles[b]) / (len(profiles[a]) * len(profiles[b])) ** 0.5
+        assert cosine >= subjects.LEAST_COSINE and weight == round(64 * cosine)
+    nearest = {a: max(((len(profiles[a] & profiles[b]) / (len(profiles[a]) * len(profiles[b])) ** 0.5), b) for b in profiles if b != a)[0] for a in profiles}
+    best = {a: max(w for (x, _), w in edges.items() if x == a) for a in profiles}
+    assert np.mean([best[a] == round(64 * nearest[a]) for a in profiles]) >= 0.9
+
+
+def test_a_crowd_with_one_profile_is_divided(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "BLOCK_ROWS", 20)
+    hits = spark.createDataFrame([(d, 0, p, 0, 1.0) for d in range(300) for p in (2, 4, 6)], "doc_id bigint, no int, phrase bigint, subject int, purity double")
+    edges = subjects.similar_documents(hits)
+    assert edges.select("doc_id").distinct().count() == 300 and edges.where("weight <> 64").count() == 0
+
+
+def test_wrong_seeds_are_not_trusted(spark):
+    edges = spark.createDataFrame([(a, b, 40) for a in range(6) for b in range(6) if a != b], "doc_id bigint, other bigint, weight int")
+    seeds = spark.createDataFrame([(d, 0 if d else 1, subjects.ONE) for d in range(5)], "doc_id bigint, subject int, w int")
+    got = {(r.doc_id, r.subject): r.w for r in subjects.propagate(edges, seeds, seeds, 2).collect()}
+    assert (0, 1) not in got and got[(0, 0)] > 900 and all(got[(d, 0)] >= subjects.ONE // 2 for d in range(1, 5)) and (5, 0) in got
