@@ -3,23 +3,34 @@
 Q-gram lemma filtering: texts are reduced to their letters and digits; q-grams shared
 by a document and an item are counted in overlapping diagonal bands, regions
 that meet the edit-budget bound are kept, and a banded word alignment verifies them.
+
+Items are a table of q-grams, never a list on the driver. A map of fixed size says which q-grams
+may be an item's; stretches of a document that are dense enough in them
+for the shortest passage of some class of items go on, and meet the items' q-grams in a join. Only documents with
+such a region are read again, for the alignment.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.session import materialize
+
 Q = 7
+#: Longer words stand in the q-grams as a beginning and a hash of this length in all, so no edit moves a diagonal further.
+LONGEST = 16
 _DROP = re.compile(r"[^\w\s]+|_+")
+_LONG = re.compile(rf"\w{{{LONGEST + 1},}}")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_MAP_BITS = 22
+MAP_BITS = 22
 
 
 def words_of(text: str) -> list[str]:
@@ -27,8 +38,18 @@ def words_of(text: str) -> list[str]:
     return _DROP.sub("", text.lower()).split()
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(words).encode("utf-32-le"), "uint32")
+def _short(word: str) -> str:
+    return word if len(word) <= LONGEST else word[: LONGEST - 8] + f"{xxhash.xxh32_intdigest(word):08x}"
+
+
+def _joined(text: str) -> str:
+    """The text's words without blanks, long ones shortened."""
+    clean = _DROP.sub("", text.lower())
+    return "".join(map(_short, clean.split()) if _LONG.search(clean) else clean.split())
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "uint32")
 
 
 def _grams(codes: np.ndarray) -> np.ndarray:
@@ -43,128 +64,170 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-@dataclass
-class ItemIndex:
-    """A block of evaluation items: its size is bounded by block_chars."""
-
-    ids: list[int]
-    words: list[list[int]]
-    vocabulary: dict[str, int]
-    word_starts: list[np.ndarray]  # of each word in the item's characters
-    grams: np.ndarray
-    first: np.ndarray
-    last: np.ndarray
-    owner: np.ndarray
-    place: np.ndarray
-    known: np.ndarray  # bitmap over the hashes' upper bits
-    need: np.ndarray  # shared q-grams that a passage within the budget must have
-    span: np.ndarray  # characters of a document that such a passage covers at most
-    least_words: np.ndarray
-    half_band: int
-    edits: float
-
-
-def build_index(items: list[tuple[int, str]], min_share: float, edits: float) -> ItemIndex:
-    ids, words, starts, owners, places, hashes, need, span, least = [], [], [], [], [], [], [], [], []
-    vocabulary: dict[str, int] = {}
-    shift = 16
-    for item, text in items:
-        w = words_of(text or "")
-        if not w:
-            continue
-        m = max(1, int(np.ceil(min_share * len(w) - 1e-9)))
-        e = int(np.floor(edits * m + 1e-9))
-        sizes = np.array([len(x) for x in w])
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        shortest = int((begin[m:] - begin[:-m]).min())
-        longest = int((begin[m:] - begin[:-m]).max())
-        widest = int(np.sort(sizes)[::-1][:e].sum()) if e else 0
-        h = _grams(_codes(w))
-        owners.append(np.full(len(h), len(ids)))
-        places.append(np.arange(len(h)))
-        hashes.append(h)
-        need.append(max(1, shortest - Q + 1 - widest - e * (Q - 1)))
-        span.append(longest + 16 * e + Q)
-        shift = max(shift, 16 * e)
-        ids.append(item)
-        words.append([vocabulary.setdefault(x, len(vocabulary)) for x in w])
-        starts.append(begin)
-        least.append(m)
-    h = np.concatenate(hashes) if hashes else np.zeros(0, "uint64")
-    order = np.argsort(h, kind="stable")
-    grams, first = np.unique(h[order], return_index=True)
-    last = np.append(first[1:], len(order)) if len(first) else first
-    known = np.zeros(1 << _MAP_BITS, bool)
-    known[(grams >> np.uint64(64 - _MAP_BITS)).astype("int64")] = True
-    cat = lambda x: np.concatenate(x)[order] if x else np.zeros(0, "int64")
-    return ItemIndex(ids, words, vocabulary, starts, grams, first, last, cat(owners), cat(places), known, np.array(need), np.array(span), np.array(least), shift, edits)
-
-
-def regions(index: ItemIndex, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(item, diagonal from, doc char from, to) of the regions that pass the q-gram bound, over one text or several joined ones."""
-    h = _grams(codes)
-    if not len(h) or not len(index.grams):
-        return []
-    at = np.flatnonzero(index.known[(h >> np.uint64(64 - _MAP_BITS)).astype("int64")])
-    slot = np.searchsorted(index.grams, h[at])
-    hit = (slot < len(index.grams)) & (index.grams[np.minimum(slot, len(index.grams) - 1)] == h[at])
-    at, slot = at[hit], slot[hit]
-    if not len(at):
-        return []
-    n = index.last[slot] - index.first[slot]
-    pos = np.repeat(at, n)
-    which = np.repeat(index.first[slot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    owner, place = index.owner[which], index.place[which]
-    diagonal = pos - place + (1 << 20)
-    out = []
-    for offset in (0, index.half_band):  # bands two half-bands wide, overlapping by one
-        band = (diagonal + offset) // (2 * index.half_band)
-        key = owner * (1 << 40) + band
-        order = np.lexsort((pos, key))
-        k, p = key[order], pos[order]
-        fresh = np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1]))
-        k, p = k[fresh], p[fresh]
-        need, span = index.need[k >> 40], index.span[k >> 40]
+def bounds(words: list[str], min_share: float, edits: float) -> tuple[int, int, int, int]:
+    """(least words, shared q-grams that a passage within the budget must have, characters of a document it covers at most, half a band)."""
+    m = max(1, int(np.ceil(min_share * len(words) - 1e-9)))
+    e = int(np.floor(edits * m + 1e-9))
+    sizes = np.array([min(len(w), LONGEST) for w in words])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    lengths = begin[m:] - begin[:-m]
+    widest = int(np.sort(sizes)[::-1][:e].sum()) if e else 0
+    return m, max(1, int(lengths.min()) - Q + 1 - widest - e * (Q - 1)), int(lengths.max()) + LONGEST * e + Q, LONGEST * max(1, e)
+
+
+ITEMS = "item_id bigint, text string, least int, need int, span int, half int, class int"
+
+
+def _items(items: DataFrame, min_share: float, edits: float) -> DataFrame:
+    """The items with their bounds; class is the power of two of the least number of words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch["item_id"], batch["text"]):
+                if w := words_of(text):
+                    least, need, span, half = bounds(w, min_share, edits)
+                    rows.append((item, text, least, need, span, half, least.bit_length()))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ITEMS.split(", ")])
+
+    usable = items.where("item_id IS NOT NULL AND length(text) > 0").select(F.col("item_id").cast("bigint").alias("item_id"), "text").groupBy("item_id").agg(F.min("text").alias("text"))
+    return usable.mapInPandas(run, ITEMS)
+
+
+def _item_grams(items: DataFrame) -> DataFrame:
+    """(gram, item_id, place, class)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text, cls in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), batch.column("class").to_pylist()):
+                h = _grams(_codes(_joined(text))).view("int64")
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), item)), pa.array(np.arange(len(h), dtype="int32")), pa.array(np.full(len(h), cls, "int32"))], names=["gram", "item_id", "place", "class"])
+
+    return items.select("item_id", "text", "class").mapInArrow(run, "gram bigint, item_id bigint, place int, class int")
+
+
+def _dense(documents: DataFrame, known: np.ndarray, classes: list[tuple[int, int, int]], chars: int = 1_000_000) -> DataFrame:
+    """(gram, doc_id, version, pos): the q-grams of the stretches that may hold a passage of some class (class, least need, greatest span)."""
+    handle = documents.sparkSession.sparkContext.broadcast(known)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = handle.value
+
+        def part(ids: list, versions: list, texts: list[str]) -> pa.RecordBatch:
+            lengths = np.array([len(t) for t in texts])
+            doc = np.repeat(np.arange(len(texts)), lengths)
+            start = np.cumsum(lengths) - lengths
+            h = _grams(_codes("".join(texts)))
+            cls = known[(h >> np.uint64(64 - MAP_BITS)).astype("int64")]
+            at = np.flatnonzero(cls)
+            at = at[at + Q <= (start + lengths)[doc[at]]]  # no q-gram reaches into the next text
+            keep = np.zeros(len(at), bool)
+            for c, need, span in classes:
+                own = np.flatnonzero(cls[at] >> np.uint64(c) & np.uint64(1))
+                p = at[own]
+                if len(p) < need:
+                    continue
+                ahead = np.arange(need - 1, len(p))
+                first = np.arange(len(ahead))
+                good = (doc[p[ahead]] == doc[p[first]]) & (p[ahead] - p[first] <= span)
+                change = np.zeros(len(p) + 1, "int64")
+                change[first[good]] += 1
+                change[ahead[good] + 1] -= 1
+                keep[own[np.cumsum(change[:-1]) > 0]] = True
+            at = at[keep]
+            d = doc[at]
+            return pa.RecordBatch.from_arrays([pa.array(h[at].view("int64")), pa.array(np.array(ids, "int64")[d]), pa.array(np.array(versions, "int64")[d]), pa.array((at - start[d]).astype("int64"))], names=["gram", "doc_id", "version", "pos"])
+
+        for batch in batches:
+            ids, versions, texts, size = [], [], [], 0
+            for i, v, t in zip(batch.column("doc_id").to_pylist(), batch.column("version").to_pylist(), batch.column("text")):
+                ids.append(i)
+                versions.append(v)
+                texts.append(_joined(t.as_py()))
+                size += len(texts[-1])
+                if size > chars:
+                    yield part(ids, versions, texts)
+                    ids, versions, texts, size = [], [], [], 0
+            if size:
+                yield part(ids, versions, texts)
+
+    return documents.mapInArrow(run, "gram bigint, doc_id bigint, version bigint, pos bigint")
+
+
+REGIONS = "doc_id bigint, version bigint, item_id bigint, diagonal bigint, low bigint, high bigint"
+
+
+def _regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (doc_id, version, item_id, shift, band, pos), each once: the regions that meet the q-gram bound. A band that a batch cuts is carried on."""
+    keys = ["doc_id", "version", "item_id", "shift", "band"]
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        cols = [t[k].to_numpy() for k in keys]
+        new = np.append(True, np.any([c[1:] != c[:-1] for c in cols], axis=0))
+        k, p = np.cumsum(new), t["pos"].to_numpy()
+        need, span = t["need"].to_numpy(), t["span"].to_numpy()
         ahead = np.arange(len(k)) + need - 1
         inside = ahead < len(k)
         ahead = np.minimum(ahead, len(k) - 1)
-        good = inside & (k[ahead] == k) & (p[ahead] - p <= span)
-        if not good.any():
+        g = np.flatnonzero(inside & (k[ahead] == k) & (p[ahead] - p <= span))
+        if not len(g):
+            return pd.DataFrame({c.split()[0]: pd.Series([], dtype="int64") for c in REGIONS.split(", ")})
+        kk, low, high = k[g], p[g], p[ahead[g]] + Q
+        base = kk * (int(high.max()) + 1)  # so that a running maximum begins anew with each band
+        cut = np.flatnonzero((kk[1:] != kk[:-1]) | (low[1:] + base[1:] > np.maximum.accumulate(high + base)[:-1])) + 1
+        a, b = np.append(0, cut), np.append(cut, len(g))
+        rows, half = t.iloc[g[a]], t["half"].to_numpy()[g[a]]
+        return pd.DataFrame({
+            "doc_id": rows["doc_id"].to_numpy(), "version": rows["version"].to_numpy(), "item_id": rows["item_id"].to_numpy(),
+            "diagonal": rows["band"].to_numpy() * 2 * half - rows["shift"].to_numpy() * half, "low": low[a], "high": np.maximum.reduceat(high, a) if len(b) else high[a],
+        })
+
+    kept: pd.DataFrame | None = None
+    for batch in batches:
+        if batch.empty:
             continue
-        g = np.flatnonzero(good)
-        kk, lo, hi = k[g], p[g], p[ahead[g]] + Q
-        cut = np.flatnonzero((kk[1:] != kk[:-1]) | (lo[1:] > np.maximum.accumulate(hi)[:-1])) + 1
-        for a, b in zip([0, *cut], [*cut, len(g)]):
-            band_no = int(kk[a] & ((1 << 40) - 1))
-            out.append((int(kk[a] >> 40), band_no * 2 * index.half_band - offset - (1 << 20), int(lo[a]), int(hi[a:b].max())))
-    return out
+        t = pd.concat([kept, batch], ignore_index=True) if kept is not None else batch
+        last = t[keys].to_numpy()
+        same = (last == last[-1]).all(axis=1)
+        cut = len(t) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if cut:
+            yield run(t.iloc[:cut])
+        kept = t.iloc[cut:]
+    if kept is not None and len(kept):
+        yield run(kept)
 
 
 def align(item: list[int], doc: list[int], centre: int, width: int) -> list[tuple[int, int, bool]]:
-    """Best local alignment within a band: (item word or -1, doc word or -1, equal) along its path."""
+    """Best local alignment within a band: (item word or -1, doc word or -1, equal) along its path. Only the band is held."""
     n, m = len(item), len(doc)
-    score = [[0] * (m + 1) for _ in range(n + 1)]
+    wide = 2 * width + 1
+    # score[i][j - i - centre + width] is that of item words up to i and doc words up to j
+    score = [[0] * (wide + 2) for _ in range(n + 1)]
     best, end = 0, (0, 0)
     for i in range(1, n + 1):
         row, up, x = score[i], score[i - 1], item[i - 1]
-        for j in range(max(1, i + centre - width), min(m, i + centre + width) + 1):
-            s = up[j - 1] + (2 if x == doc[j - 1] else -1)
-            if up[j] - 1 > s:
-                s = up[j] - 1
-            if row[j - 1] - 1 > s:
-                s = row[j - 1] - 1
+        left = i + centre - width
+        for c in range(max(0, 1 - left), min(wide, m - left + 1)):
+            s = up[c] + (2 if x == doc[left + c - 1] else -1)
+            if up[c + 1] - 1 > s:
+                s = up[c + 1] - 1
+            if c and row[c - 1] - 1 > s:
+                s = row[c - 1] - 1
             if s > 0:
-                row[j] = s
+                row[c] = s
                 if s > best:
-                    best, end = s, (i, j)
+                    best, end = s, (i, left + c)
     i, j = end
     path = []
-    while i and j and score[i][j] > 0:
+    while i and j:
+        c = j - i - centre + width
+        if not 0 <= c < wide or score[i][c] <= 0:
+            break
         same = item[i - 1] == doc[j - 1]
-        if score[i][j] == score[i - 1][j - 1] + (2 if same else -1):
+        if score[i][c] == score[i - 1][c] + (2 if same else -1):
             path.append((i - 1, j - 1, same))
             i, j = i - 1, j - 1
-        elif score[i][j] == score[i - 1][j] - 1:
+        elif score[i][c] == score[i - 1][c + 1] - 1:
             path.append((i - 1, -1, False))
             i -= 1
         else:
@@ -191,80 +254,68 @@ def longest_passage(path: list[tuple[int, int, bool]], edits: float) -> tuple[in
     return best
 
 
-def passages(index: ItemIndex, text: str) -> dict[int, tuple[int, int, int, int, int]]:
-    """Item number -> its longest passage in the text, where it reaches the item's least length."""
-    words = words_of(text)
-    codes = _codes(words)
-    found: dict[int, tuple[int, int, int, int, int]] = {}
-    spots = regions(index, codes)
-    if not spots:
-        return found
-    sizes = np.array([len(w) for w in words])
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    numbered = [index.vocabulary.get(w, -1) for w in words]
-    for item, diagonal, lo, hi in spots:
-        w = index.words[item]
-        starts = index.word_starts[item]
-        reach = 2 * index.half_band + int(starts[-1])
-        a = int(np.searchsorted(begin, max(0, lo - reach), "right")) - 1
-        b = int(np.searchsorted(begin, min(begin[-1], hi + reach), "left"))
-        # The band in words about the place where the region's characters lie.
-        mid_doc = int(np.searchsorted(begin, lo, "right")) - 1
-        mid_item = int(np.searchsorted(starts, max(0, lo - (diagonal + index.half_band)), "right")) - 1
-        width = 8 + index.half_band // 3
-        path = align(w, numbered[max(a, 0) : b], mid_doc - max(a, 0) - mid_item, width)
-        p = longest_passage(path, index.edits)
-        if p[0] >= index.least_words[item] and p[0] > found.get(item, (0,))[0]:
-            found[item] = (p[0], p[1], p[2], p[3] + max(a, 0), p[4] + max(a, 0))
-    return found
-
-
 RESULT = "doc_id bigint, item_id bigint, words int, differing int, item_words int, item_from int, doc_from int, doc_to int"
 
 
-def _blocks(items: DataFrame, block_chars: int) -> list[list[tuple[int, str]]]:
-    """Items in blocks of at most block_chars characters (a longer item stands alone), read one after another."""
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in items.select("item_id", "text").where("item_id IS NOT NULL AND length(text) > 0").dropDuplicates(["item_id"]).toLocalIterator():
-        if size + len(r["text"]) > block_chars and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    return [b for b in blocks if b]
-
-
-def leaks(documents: DataFrame, items: DataFrame, min_share: float = 0.4, edits: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
+def _verified(edits: float):
+    def starts(words: list[str]) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum([min(len(w), LONGEST) for w in words])])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                own, words = words_of(r.item_text), words_of(r.text)
+                at_item, begin = starts(own), starts(words)
+                reach = 2 * r.half + int(at_item[-1])
+                a = max(0, int(np.searchsorted(begin, max(0, r.low - reach), "right")) - 1)
+                b = int(np.searchsorted(begin, min(begin[-1], r.high + reach), "left"))
+                # The band in words about the place where the region's characters lie.
+                mid_doc = int(np.searchsorted(begin, r.low, "right")) - 1
+                mid_item = int(np.searchsorted(at_item, max(0, r.low - (r.diagonal + r.half)), "right")) - 1
+                number: dict[str, int] = {}
+                path = align([number.setdefault(w, len(number)) for w in own], [number.get(w, -1) for w in words[a:b]], mid_doc - a - mid_item, 8 + r.half // 2)
+                p = longest_passage(path, edits)
+                if p[0] >= r.least:
+                    rows.append((r.doc_id, r.item_id, p[0], p[1], len(own), p[2], p[3] + a, p[4] + a))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+
+    return run
+
+
+def leaks(documents: DataFrame, items: DataFrame, min_share: float = 0.4, edits: float = 0.1) -> DataFrame:
     """A row for each document and item of which it holds a passage: (doc_id, item_id, words, differing, item_words, item_from, doc_from, doc_to).
 
     A passage is unbroken, has at least min_share of the item's words in order, and
-    up to ``edits`` of them may differ; of several the longest is given, its place in words. Words are compared by
+    up to ``edits`` of them may differ; of several the longest is given (then the first), its place in words. Words are compared by
     letters and digits alone, in any case. Null or empty texts hold nothing; a repeated
-    doc_id is judged by each of its texts; items without words never occur. Items
-    are held in blocks of bounded size, each compared with all documents.
+    doc_id is judged by each of its texts; of a repeated item_id the smallest text counts; items without words, or of fewer than Q characters, never occur.
     """
     spark = documents.sparkSession
-    out = spark.createDataFrame([], RESULT)
-    for block in _blocks(items, block_chars):
-        index = build_index(block, min_share, edits)
-        handle = spark.sparkContext.broadcast(index)  # bounded by block_chars
-
-        def scan(batches: Iterator[pd.DataFrame], handle=handle) -> Iterator[pd.DataFrame]:
-            index = handle.value
-            for batch in batches:
-                rows = []
-                for doc, text in zip(batch["doc_id"], batch["text"]):
-                    if not text:
-                        continue
-                    for item, p in passages(index, text).items():
-                        rows.append((doc, index.ids[item], p[0], p[1], len(index.words[item]), p[2], p[3], p[4]))
-                if rows:
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
-
-        docs = documents.where("doc_id IS NOT NULL AND length(text) > 0").select("doc_id", "text")
-        out = out.unionByName(spread(docs).mapInPandas(scan, RESULT))
-    return out
+    held = materialize(_items(items, min_share, edits), "items")
+    grams = materialize(_item_grams(held), "item_grams")
+    classes = [(r["class"], r["need"], r["span"]) for r in held.groupBy("class").agg(F.min("need").alias("need"), F.max("span").alias("span")).orderBy("class").collect()]  # a row a power of two
+    if not classes:
+        return spark.createDataFrame([], RESULT)
+    flags = grams.groupBy(F.shiftrightunsigned("gram", 64 - MAP_BITS).cast("int").alias("b")).agg(F.bit_or(F.expr("shiftleft(1L, class)")).alias("c")).toArrow()
+    known = np.zeros(1 << MAP_BITS, "uint64" if classes[-1][0] > 31 else "uint32")
+    known[flags.column("b").to_numpy()] = flags.column("c").to_numpy().astype(known.dtype)
+    docs = documents.where("doc_id IS NOT NULL AND length(text) > 0").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    likely = materialize(_dense(spread(docs), known, classes), "dense")
+    own, numbers = grams.drop("class"), held.select("item_id", "need", "span", "half")
+    # First how many q-grams a document and an item share anywhere: counted before any shuffle, and few pairs have enough.
+    shared = likely.join(own.select("gram", "item_id"), "gram").groupBy("doc_id", "version", "item_id").agg(F.count("*").alias("n"))
+    enough = materialize(shared.join(numbers, "item_id").where("n >= need").drop("n"), "enough")
+    met = likely.join(enough, ["doc_id", "version"]).join(own, ["gram", "item_id"])
+    banded = met.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.floor((F.col("pos") - F.col("place") + F.col("shift") * F.col("half")) / (2 * F.col("half"))))
+    once = banded.select("doc_id", "version", "item_id", "shift", "band", "pos", "need", "span", "half").distinct()
+    found = once.repartition("doc_id", "version", "item_id").sortWithinPartitions("doc_id", "version", "item_id", "shift", "band", "pos").mapInPandas(_regions, REGIONS)
+    found = materialize(found, "regions")
+    texts = docs.join(found.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
+    pairs = found.join(held.select("item_id", "least", "half", F.col("text").alias("item_text")), "item_id").join(texts, ["doc_id", "version"])
+    passages = pairs.repartition("doc_id", "item_id").mapInPandas(_verified(edits), RESULT)
+    best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("words"), "differing", "doc_from", "item_from", "doc_to")
+    return passages.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
 
 
 def spread(df: DataFrame) -> DataFrame:
