@@ -6,8 +6,8 @@ time, mentions and words in common (exact sets, compared only where a bound of t
 leaves a chance); the likeliest becomes the parent, and links form trees. Sessions that are
 broken, empty or lack replies are marked with the reason.
 
-Rows are spread by (session, day). What the day before holds within the longest
-reply gap comes along as context, so even a session of very many rows is split without changing any link.
+Rows are spread by session, those of long sessions by stretches of some thousand turns. As many turns before a stretch as
+a link can span come along as context, so even a session of very many rows is split without changing any link.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from chronoweave.session import materialize
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 MENTION = r"[a-z][a-z0-9_]*(?:[-./][a-z0-9_]+)+"
 WORD = r"[\p{L}\p{N}]{3,}"
-DAY_US = 86_400_000_000
-GAP_US = 7_200_000_000
+MINUTE_US = 60_000_000
+#: Sessions of more turns are cut into stretches of about so many, by minutes.
+STRETCH = 2_048
 #: A best candidate below this is no parent; the turn then begins a tree.
 LEAST_SCORE = 0.9
 #: What a change of speaker, nearness in time, mentions and words add at most, and what each turn further back takes off.
@@ -95,26 +96,26 @@ class _Sets:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (session, day, t, offset), context rows (own = false) among them."""
+    """Rows sorted by (session, stretch, t, offset), context rows (own = false) before the stretch's own."""
     kept: pa.Table | None = None
 
     def run(t: pa.Table) -> pa.RecordBatch:
         n = t.num_rows
         get = lambda c: t.column(c).to_numpy()
         session = np.unique(np.array(t.column("src_session").to_pylist(), dtype=object).astype(str), return_inverse=True)[1]
-        day, at, offset, role, line, own = get("day"), get("t"), get("line_offset"), get("is_user"), get("line_id"), get("own")
+        stretch, at, offset, role, line, own, before = get("stretch"), get("t"), get("line_offset"), get("is_user"), get("line_id"), get("own"), get("before")
         words, men = _Sets(t.column("words")), _Sets(t.column("mentions"))
         size, n_men = words.size.astype("float64"), men.size.astype("float64")
         best, parent = np.full(n, -1.0), np.full(n, -1)
         row = np.arange(n)
         for back in range(1, LOOK_BACK + 1):
             i, j = row[back:], row[:-back]
-            fits = (session[i] == session[j]) & (day[i] == day[j]) & (at[i] - at[j] <= GAP_US)
+            fits = (session[i] == session[j]) & (stretch[i] == stretch[j])
             if not fits.any():
                 break  # nor does any turn further back
-            fits &= own[i]  # a turn of the context has its parent in its own day
+            fits &= own[i]  # a turn of the context has its parent in its own stretch
             i, j = i[fits], j[fits]
-            sure = ROLE * (role[i] != role[j]) + NEAR * np.exp(-np.clip(at[i] - at[j], 0, GAP_US) / 6e8) - PER_TURN * back
+            sure = ROLE * (role[i] != role[j]) + NEAR * np.exp(-(at[i] - at[j]) / 6e8) - PER_TURN * back
             product = np.maximum(1, np.sqrt(size[i] * size[j]))
             most_men = MENTIONS * ((n_men[i] > 0) & (n_men[j] > 0))
             most = sure + most_men + WORDS * np.minimum(size[i], size[j]) / product
@@ -127,7 +128,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             most = sure + by_men + WORDS * np.minimum(size[i], size[j]) / product
             open_ = (most + 1e-9 >= best[i]) & (most + 1e-9 >= LEAST_SCORE)
             i, j = i[open_], j[open_]
-            score = sure[open_] + by_men[open_] + WORDS * words.shared(i, j) / product[open_]
+            score = np.round(sure[open_] + by_men[open_] + WORDS * words.shared(i, j) / product[open_], 9)
             better = (score > best[i]) & (score >= LEAST_SCORE)
             best[i[better]], parent[i[better]] = score[better], j[better]
         root, depth = [0] * n, [0] * n
@@ -136,20 +137,22 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root = np.array(root)
         mine = np.flatnonzero(own)
         same = np.zeros(n, bool)
-        group_first, group_last = np.zeros(n, bool), np.zeros(n, bool)
+        group_first, group_last, turn_no = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, "int64")
         if len(mine):
             a, b = mine[:-1], mine[1:]
-            joined = (session[a] == session[b]) & (day[a] == day[b])
+            joined = (session[a] == session[b]) & (stretch[a] == stretch[b])
             same[b] = joined & role[a] & role[b]
+            opens = np.flatnonzero(np.append(True, ~joined))
+            turn_no[mine] = before[mine] + np.arange(len(mine)) - np.repeat(opens, np.diff(np.append(opens, len(mine)))) + 1
             group_first[mine], group_last[mine] = True, True
             group_first[b[joined]] = False
             group_last[a[joined]] = False
         has = parent[mine] >= 0
         out = {
-            "src_session": t.column("src_session").take(pa.array(mine)).combine_chunks(), "day": pa.array(day[mine]), "t": pa.array(at[mine]), "line_offset": pa.array(offset[mine]),
+            "src_session": t.column("src_session").take(pa.array(mine)).combine_chunks(), "stretch": pa.array(stretch[mine]), "turn_no": pa.array(turn_no[mine]), "t": pa.array(at[mine]), "line_offset": pa.array(offset[mine]),
             "line_id": pa.array(line[mine]), "is_user": pa.array(role[mine]), "parent_line": pa.array(line[np.maximum(parent[mine], 0)], mask=~has),
             "score": pa.array(best[mine], mask=~has), "local_root": pa.array(line[root[mine]]), "crosses": pa.array(~own[root[mine]]), "local_depth": pa.array(np.array(depth)[mine].astype("int32")),
-            "repeats_user": pa.array(same[mine]), "opens_day": pa.array(group_first[mine]), "closes_day": pa.array(group_last[mine]),
+            "repeats_user": pa.array(same[mine]), "opens": pa.array(group_first[mine]), "closes": pa.array(group_last[mine]),
         }
         return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out.values()], names=list(out))
 
@@ -158,10 +161,10 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([kept, table]) if kept is not None else table
-        session, day = table.column("src_session").to_pylist(), table.column("day").to_numpy()
-        cut = len(session)
-        while cut and session[cut - 1] == session[-1] and day[cut - 1] == day[-1]:
-            cut -= 1
+        n = table.num_rows
+        session = pc.equal(table.column("src_session"), table.column("src_session")[n - 1]).to_numpy()
+        last = session & (table.column("stretch").to_numpy() == table.column("stretch")[n - 1].as_py())
+        cut = n - int(np.argmin(last[::-1])) if not last.all() else 0
         if cut:
             yield run(table.slice(0, cut))
         kept = table.slice(cut)
@@ -170,19 +173,28 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 LINKS = (
-    "src_session string, day bigint, t bigint, line_offset bigint, line_id bigint, is_user boolean, parent_line bigint, score double, "
-    "local_root bigint, crosses boolean, local_depth int, repeats_user boolean, opens_day boolean, closes_day boolean"
+    "src_session string, stretch bigint, turn_no bigint, t bigint, line_offset bigint, line_id bigint, is_user boolean, parent_line bigint, score double, "
+    "local_root bigint, crosses boolean, local_depth int, repeats_user boolean, opens boolean, closes boolean"
 )
 
 
 def reply_links(slim: DataFrame) -> DataFrame:
-    """One row a turn (valid line with content) with its likeliest parent; from message_lines."""
-    day = F.floor(F.col("t") / DAY_US).cast("bigint")
-    turns = slim.where("role IS NOT NULL AND ok AND has_content").select("src_session", "t", F.coalesce("line_offset", F.lit(-1)).alias("line_offset"), "line_id", (F.col("role") == "user").alias("is_user"), "words", "mentions", day.alias("day"))
-    near_end = F.col("t") >= (F.col("day") + 1) * DAY_US - GAP_US
-    spread = turns.withColumn("d", F.explode(F.when(near_end, F.array(F.col("day"), F.col("day") + 1)).otherwise(F.array("day"))))
-    spread = spread.withColumn("own", F.col("d") == F.col("day")).drop("day").withColumnRenamed("d", "day")
-    return spread.repartition("src_session", "day").sortWithinPartitions("src_session", "day", "t", "line_offset").mapInArrow(_links, LINKS)
+    """One row a turn (valid line with content) with its place and its likeliest parent; from message_lines, which should be materialised."""
+    turns = slim.where("role IS NOT NULL AND ok AND has_content").select("src_session", "t", F.coalesce("line_offset", F.lit(-1)).alias("line_offset"), "line_id", (F.col("role") == "user").alias("is_user"), "words", "mentions")
+    minute = F.floor(F.col("t") / MINUTE_US).cast("bigint").alias("minute")
+    long = turns.groupBy("src_session").agg(F.count("*").alias("n")).where(F.col("n") > STRETCH).select("src_session")
+    # Only long sessions have minutes here. A stretch begins where the number of turns so far passes a multiple of STRETCH.
+    order = Window.partitionBy("src_session").orderBy("minute")
+    minutes = turns.select("src_session", minute).join(long, "src_session", "left_semi").groupBy("src_session", "minute").agg(F.count("*").alias("n"))
+    upto = minutes.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("upto") - F.col("n"))
+    placed = upto.withColumn("home", F.floor(F.col("begin") / STRETCH)).withColumn("before", F.min("begin").over(Window.partitionBy("src_session", "home")))
+    # Any stretch that begins within LOOK_BACK turns after this minute has it as context.
+    targets = F.array_union(F.array("home"), F.sequence(F.floor(F.col("upto") / STRETCH), F.floor((F.col("upto") + LOOK_BACK) / STRETCH)))
+    placed = placed.select("src_session", "minute", "home", "before", F.explode(targets).alias("stretch"))
+    rows = turns.withColumn("minute", minute).join(placed, ["src_session", "minute"], "left").drop("minute")
+    zero = F.lit(0).cast("bigint")
+    rows = rows.select(*turns.columns, F.coalesce("stretch", zero).alias("stretch"), F.coalesce(F.col("stretch") == F.col("home"), F.lit(True)).alias("own"), F.coalesce("before", zero).alias("before"))
+    return rows.repartition("src_session", "stretch").sortWithinPartitions("src_session", "stretch", "t", "line_offset").mapInArrow(_links, LINKS)
 
 
 def session_verdicts(slim: DataFrame, links: DataFrame, lines: DataFrame | None = None) -> DataFrame:
@@ -192,19 +204,19 @@ def session_verdicts(slim: DataFrame, links: DataFrame, lines: DataFrame | None
     empty (no turn), starts_without_user, ends_without_reply, missing_reply (two user turns in a row).
     """
     lines_of = slim.groupBy("src_session").agg(F.coalesce(F.bool_or(~F.col("ok")), F.lit(False)).alias("broken"))
-    days = links.groupBy("src_session", "day").agg(
+    parts = links.groupBy("src_session", "stretch").agg(
         F.count("*").alias("turns"), F.count_if(F.col("parent_line").isNull()).alias("threads"), F.bool_or("repeats_user").alias("again"),
-        F.bool_or(F.col("opens_day") & F.col("is_user")).alias("first"), F.bool_or(F.col("closes_day") & F.col("is_user")).alias("last"),
+        F.bool_or(F.col("opens") & F.col("is_user")).alias("first"), F.bool_or(F.col("closes") & F.col("is_user")).alias("last"),
     )
-    sessions = days.groupBy("src_session").agg(
+    sessions = parts.groupBy("src_session").agg(
         F.sum("turns").alias("turns"), F.sum("threads").alias("threads"), F.bool_or("again").alias("again"),
-        F.min_by("first", "day").alias("first"), F.max_by("last", "day").alias("last"), F.sort_array(F.collect_list(F.struct("day", "first", "last"))).alias("days"),
+        F.min_by("first", "stretch").alias("first"), F.max_by("last", "stretch").alias("last"), F.sort_array(F.collect_list(F.struct("stretch", "first", "last"))).alias("parts"),
     )
-    between = F.expr("exists(sequence(1, size(days) - 1), i -> i > 0 AND i < size(days) AND days[i - 1].last AND days[i].first)")
+    between = F.expr("exists(sequence(1, size(parts) - 1), i -> i > 0 AND i < size(parts) AND parts[i - 1].last AND parts[i].first)")
     judged = lines_of.join(sessions, "src_session", "left").select(
         "src_session", F.coalesce("turns", F.lit(0)).alias("turns"), F.coalesce("threads", F.lit(0)).alias("threads"),
         F.when(F.col("broken"), "broken").when(F.col("turns").isNull(), "empty").when(~F.col("first"), "starts_without_user").when(F.col("last"), "ends_without_reply")
-        .when(F.col("again") | F.when(F.size("days") > 1, between).otherwise(False), "missing_reply").alias("reason"),
+        .when(F.col("again") | F.when(F.size("parts") > 1, between).otherwise(False), "missing_reply").alias("reason"),
     )
     return judged
 
@@ -220,15 +232,14 @@ def conversations(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     slim = materialize(message_lines(lines, with_text=True), "lines")
     links = materialize(reply_links(slim), "links")
     sessions = session_verdicts(slim, links)
-    # Trees that reach over midnight: the few links whose local root lies in the context are followed to the end.
+    # Trees that reach over a stretch's begin: the few links whose local root lies in the context are followed to the end.
     crossing = links.where("crosses").select("local_root").distinct().join(links.select(F.col("line_id").alias("local_root"), F.col("local_root").alias("up"), "crosses"), "local_root")
     heads = crossing.select(F.col("local_root").alias("id"), F.when(F.col("up") != F.col("local_root"), F.col("up")).alias("parent"))
     tops = heads.select(F.col("parent").alias("id"), F.lit(None).cast("bigint").alias("parent")).where("id IS NOT NULL").join(heads.select("id"), "id", "left_anti")
     trees = hierarchy(heads.unionByName(tops), "id", "parent").select(F.col("node").alias("local_root"), F.col("root").alias("whole"))
     good = sessions.where("reason IS NULL").select("src_session")
-    order = Window.partitionBy("src_session").orderBy("t", "line_offset")
     turns = (
-        links.join(good, "src_session", "left_semi").join(trees, "local_root", "left").withColumn("turn_no", F.row_number().over(order))
+        links.join(good, "src_session", "left_semi").join(trees, "local_root", "left")
         .join(slim.select("src_session", "line_id", "text"), ["src_session", "line_id"])
         .select("src_session", "turn_no", F.when(F.col("is_user"), "user").otherwise("assistant").alias("role"), "text", "line_id", F.timestamp_micros("t").alias("said_at"), "parent_line", "score", F.coalesce("whole", "local_root").alias("thread"))
     )
