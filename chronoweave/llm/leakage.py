@@ -4,10 +4,10 @@ Q-gram lemma filtering: texts are reduced to their letters and digits; q-grams s
 by a document and an item are counted in overlapping diagonal bands, regions
 that meet the edit-budget bound are kept, and a banded word alignment verifies them.
 
-Items are a table of q-grams, never a list on the driver. A map of fixed size says which q-grams
+Items are a table of q-grams. A map of fixed size says which q-grams
 may be an item's; stretches of a document that are dense enough in them
-for the shortest passage of some class of items go on, and meet the items' q-grams in a join. Only documents with
-such a region are read again, for the alignment.
+for the shortest passage of some class of items go on. They meet the items' q-grams in a broadcast table if these are few,
+else in a join, with the same result. Only documents with such a region are read again, for the alignment.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ _DROP = re.compile(r"[^\w\s]+|_+")
 _LONG = re.compile(rf"\w{{{LONGEST + 1},}}")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MAP_BITS = 22
+#: Up to so many q-grams of items are broadcast.
+TABLE_GRAMS = 2_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -106,12 +108,34 @@ def _item_grams(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text", "class").mapInArrow(run, "gram bigint, item_id bigint, place int, class int")
 
 
-def _dense(documents: DataFrame, known: np.ndarray, classes: list[tuple[int, int, int]], chars: int = 1_000_000) -> DataFrame:
-    """(gram, doc_id, version, pos): the q-grams of the stretches that may hold a passage of some class (class, least need, greatest span)."""
-    handle = documents.sparkSession.sparkContext.broadcast(known)  # of fixed size
+def _dense(documents: DataFrame, known: np.ndarray, classes: list[tuple[int, int, int]], table: tuple[np.ndarray, ...] | None = None, chars: int = 1_000_000) -> DataFrame:
+    """(gram, doc_id, version, pos): the q-grams of the stretches that may hold a passage of some class (class, least need, greatest span).
+
+    With a table (grams in order, item and place of each; item_id, need, span and half of the items) the regions themselves, REGIONS.
+    """
+    handle = documents.sparkSession.sparkContext.broadcast((known, table))  # of fixed size, and TABLE_GRAMS rows at most
+
+    def meet(gram: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, versions: np.ndarray, table: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        grams, owner, place, item_id, need, span, half = table
+        first, last = np.searchsorted(grams, gram, "left"), np.searchsorted(grams, gram, "right")
+        n = last - first
+        at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pair = np.repeat(doc, n) * len(item_id) + owner[at]
+        if len(ids) * len(item_id) <= 50_000_000:
+            enough = (np.bincount(pair, minlength=len(ids) * len(item_id)) >= np.tile(need, len(ids)))[pair]
+        else:
+            kinds, back, count = np.unique(pair, return_inverse=True, return_counts=True)
+            enough = (count >= need[kinds % len(item_id)])[back]
+        own, at = np.repeat(np.arange(len(gram)), n)[enough], at[enough]
+        d, p, o = doc[own], pos[own], owner[at]
+        rows = [pd.DataFrame({"doc": d, "item": o, "shift": shift, "band": (p - place[at] + shift * half[o]) // (2 * half[o]), "pos": p}) for shift in (0, 1)]
+        t = pd.concat(rows, ignore_index=True).drop_duplicates().sort_values(["doc", "item", "shift", "band", "pos"], ignore_index=True)
+        o, d = t.pop("item").to_numpy(), t.pop("doc").to_numpy()
+        t = t.assign(doc_id=ids[d], version=versions[d], item_id=item_id[o], need=need[o], span=span[o], half=half[o])
+        return pa.RecordBatch.from_pandas(_region_rows(t), preserve_index=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = handle.value
+        known, table = handle.value
 
         def part(ids: list, versions: list, texts: list[str]) -> pa.RecordBatch:
             lengths = np.array([len(t) for t in texts])
@@ -136,6 +160,8 @@ def _dense(documents: DataFrame, known: np.ndarray, classes: list[tuple[int, int
                 keep[own[np.cumsum(change[:-1]) > 0]] = True
             at = at[keep]
             d = doc[at]
+            if table is not None:
+                return meet(h[at].view("int64"), d, at - start[d], np.array(ids, "int64"), np.array(versions, "int64"), table)
             return pa.RecordBatch.from_arrays([pa.array(h[at].view("int64")), pa.array(np.array(ids, "int64")[d]), pa.array(np.array(versions, "int64")[d]), pa.array((at - start[d]).astype("int64"))], names=["gram", "doc_id", "version", "pos"])
 
         for batch in batches:
@@ -151,50 +177,53 @@ def _dense(documents: DataFrame, known: np.ndarray, classes: list[tuple[int, int
             if size:
                 yield part(ids, versions, texts)
 
-    return documents.mapInArrow(run, "gram bigint, doc_id bigint, version bigint, pos bigint")
+    return documents.mapInArrow(run, REGIONS if table is not None else "gram bigint, doc_id bigint, version bigint, pos bigint")
 
 
 REGIONS = "doc_id bigint, version bigint, item_id bigint, diagonal bigint, low bigint, high bigint"
+BAND = ["doc_id", "version", "item_id", "shift", "band"]
+
+
+def _region_rows(t: pd.DataFrame) -> pd.DataFrame:
+    """REGIONS of whole bands, whose rows are sorted by (*BAND, pos), each once: the stretches that meet the q-gram bound."""
+    if not len(t):
+        return pd.DataFrame({c.split()[0]: pd.Series([], dtype="int64") for c in REGIONS.split(", ")})
+    cols = [t[k].to_numpy() for k in BAND]
+    new = np.append(True, np.any([c[1:] != c[:-1] for c in cols], axis=0))
+    k, p = np.cumsum(new), t["pos"].to_numpy()
+    need, span = t["need"].to_numpy(), t["span"].to_numpy()
+    ahead = np.arange(len(k)) + need - 1
+    inside = ahead < len(k)
+    ahead = np.minimum(ahead, len(k) - 1)
+    g = np.flatnonzero(inside & (k[ahead] == k) & (p[ahead] - p <= span))
+    if not len(g):
+        return _region_rows(t.iloc[:0])
+    kk, low, high = k[g], p[g], p[ahead[g]] + Q
+    base = kk * (int(high.max()) + 1)  # so that a running maximum begins anew with each band
+    cut = np.flatnonzero((kk[1:] != kk[:-1]) | (low[1:] + base[1:] > np.maximum.accumulate(high + base)[:-1])) + 1
+    a = np.append(0, cut)
+    rows, half = t.iloc[g[a]], t["half"].to_numpy()[g[a]].astype("int64")
+    return pd.DataFrame({
+        "doc_id": rows["doc_id"].to_numpy(), "version": rows["version"].to_numpy(), "item_id": rows["item_id"].to_numpy(),
+        "diagonal": rows["band"].to_numpy() * 2 * half - rows["shift"].to_numpy() * half, "low": low[a], "high": np.maximum.reduceat(high, a),
+    })
 
 
 def _regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (doc_id, version, item_id, shift, band, pos), each once: the regions that meet the q-gram bound. A band that a batch cuts is carried on."""
-    keys = ["doc_id", "version", "item_id", "shift", "band"]
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        cols = [t[k].to_numpy() for k in keys]
-        new = np.append(True, np.any([c[1:] != c[:-1] for c in cols], axis=0))
-        k, p = np.cumsum(new), t["pos"].to_numpy()
-        need, span = t["need"].to_numpy(), t["span"].to_numpy()
-        ahead = np.arange(len(k)) + need - 1
-        inside = ahead < len(k)
-        ahead = np.minimum(ahead, len(k) - 1)
-        g = np.flatnonzero(inside & (k[ahead] == k) & (p[ahead] - p <= span))
-        if not len(g):
-            return pd.DataFrame({c.split()[0]: pd.Series([], dtype="int64") for c in REGIONS.split(", ")})
-        kk, low, high = k[g], p[g], p[ahead[g]] + Q
-        base = kk * (int(high.max()) + 1)  # so that a running maximum begins anew with each band
-        cut = np.flatnonzero((kk[1:] != kk[:-1]) | (low[1:] + base[1:] > np.maximum.accumulate(high + base)[:-1])) + 1
-        a, b = np.append(0, cut), np.append(cut, len(g))
-        rows, half = t.iloc[g[a]], t["half"].to_numpy()[g[a]]
-        return pd.DataFrame({
-            "doc_id": rows["doc_id"].to_numpy(), "version": rows["version"].to_numpy(), "item_id": rows["item_id"].to_numpy(),
-            "diagonal": rows["band"].to_numpy() * 2 * half - rows["shift"].to_numpy() * half, "low": low[a], "high": np.maximum.reduceat(high, a) if len(b) else high[a],
-        })
-
+    """REGIONS of rows sorted by (*BAND, pos). A band that a batch cuts is carried on."""
     kept: pd.DataFrame | None = None
     for batch in batches:
         if batch.empty:
             continue
         t = pd.concat([kept, batch], ignore_index=True) if kept is not None else batch
-        last = t[keys].to_numpy()
+        last = t[BAND].to_numpy()
         same = (last == last[-1]).all(axis=1)
         cut = len(t) - int(np.argmin(same[::-1])) if not same.all() else 0
         if cut:
-            yield run(t.iloc[:cut])
+            yield _region_rows(t.iloc[:cut])
         kept = t.iloc[cut:]
     if kept is not None and len(kept):
-        yield run(kept)
+        yield _region_rows(kept)
 
 
 def align(item: list[int], doc: list[int], centre: int, width: int) -> list[tuple[int, int, bool]]:
@@ -301,16 +330,15 @@ def leaks(documents: DataFrame, items: DataFrame, min_share: float = 0.4, edits:
     known = np.zeros(1 << MAP_BITS, "uint64" if classes[-1][0] > 31 else "uint32")
     known[flags.column("b").to_numpy()] = flags.column("c").to_numpy().astype(known.dtype)
     docs = documents.where("doc_id IS NOT NULL AND length(text) > 0").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    likely = materialize(_dense(spread(docs), known, classes), "dense")
-    own, numbers = grams.drop("class"), held.select("item_id", "need", "span", "half")
-    # First how many q-grams a document and an item share anywhere: counted before any shuffle, and few pairs have enough.
-    shared = likely.join(own.select("gram", "item_id"), "gram").groupBy("doc_id", "version", "item_id").agg(F.count("*").alias("n"))
-    enough = materialize(shared.join(numbers, "item_id").where("n >= need").drop("n"), "enough")
-    met = likely.join(enough, ["doc_id", "version"]).join(own, ["gram", "item_id"])
-    banded = met.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.floor((F.col("pos") - F.col("place") + F.col("shift") * F.col("half")) / (2 * F.col("half"))))
-    once = banded.select("doc_id", "version", "item_id", "shift", "band", "pos", "need", "span", "half").distinct()
-    found = once.repartition("doc_id", "version", "item_id").sortWithinPartitions("doc_id", "version", "item_id", "shift", "band", "pos").mapInPandas(_regions, REGIONS)
-    found = materialize(found, "regions")
+    numbers = held.select("item_id", "need", "span", "half")
+    if grams.count() <= TABLE_GRAMS:
+        order = grams.orderBy("gram", "item_id", "place").toArrow()  # its size was checked
+        items_ = numbers.orderBy("item_id").toArrow()
+        column = lambda t, c: t.column(c).to_numpy()
+        table = (column(order, "gram"), np.searchsorted(column(items_, "item_id"), column(order, "item_id")), column(order, "place").astype("int64"), *(column(items_, c).astype("int64") for c in ("item_id", "need", "span", "half")))
+        found = materialize(_dense(spread(docs), known, classes, table), "regions")
+    else:
+        found = materialize(_joined_regions(materialize(_dense(spread(docs), known, classes), "dense"), grams.drop("class"), numbers), "regions")
     texts = docs.join(found.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
     pairs = found.join(held.select("item_id", "least", "half", F.col("text").alias("item_text")), "item_id").join(texts, ["doc_id", "version"])
     passages = pairs.repartition("doc_id", "item_id").mapInPandas(_verified(edits), RESULT)
@@ -318,6 +346,16 @@ def leaks(documents: DataFrame, items: DataFrame, min_share: float = 0.4, edits:
     return passages.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
 
 
+def _joined_regions(likely: DataFrame, grams: DataFrame, numbers: DataFrame) -> DataFrame:
+    # First how many q-grams a document and an item share anywhere: counted before any shuffle, and few pairs have enough.
+    shared = likely.join(grams.select("gram", "item_id"), "gram").groupBy("doc_id", "version", "item_id").agg(F.count("*").alias("n"))
+    enough = materialize(shared.join(numbers, "item_id").where("n >= need").drop("n"), "enough")
+    met = likely.join(enough, ["doc_id", "version"]).join(grams, ["gram", "item_id"])
+    banded = met.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.floor((F.col("pos") - F.col("place") + F.col("shift") * F.col("half")) / (2 * F.col("half"))))
+    once = banded.select(*BAND, "pos", "need", "span", "half").distinct()
+    return once.repartition("doc_id", "version", "item_id").sortWithinPartitions(*BAND, "pos").mapInPandas(_regions, REGIONS)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores, where a few files would leave most of them idle."""
     cores = df.sparkSession.sparkContext.defaultParallelism

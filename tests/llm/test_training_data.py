@@ -313,7 +313,9 @@ def test_cuts_fall_between_turns(spark):
 # --- 8. Leaks.
 
 
-def test_leaks_with_edits(spark):
+@pytest.mark.parametrize("table", [10**6, 0])
+def test_leaks_with_edits(spark, monkeypatch, table):
+    monkeypatch.setattr(leakage, "TABLE_GRAMS", table)
     rnd = random.Random(1)
     vocab = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9))) for _ in range(900)]
     items = [(i, " ".join(rnd.choice(vocab) for _ in range(60))) for i in range(30)]
@@ -389,6 +391,9 @@ def test_fit_budget_is_exact(seed):
             assert spent == budget
     small = mixing.fit_budget(np.array([3, 5]), np.array([1, 1]), 7)
     assert list(small) == [0, 1]
+    assert list(mixing.fit_budget(np.array([150_000]), np.array([1]), 149_999)) == [0]
+    assert list(mixing.fit_budget(np.array([150_000]), np.array([3]), 310_000)) == [2]
+    assert list(mixing.fit_budget(np.array([7, 150_000, 400_000]), np.array([4, 3, 2]), 560_021)) == [3, 1, 1]
 
 
 def test_mix_reaches_shares_and_caps(spark):
