@@ -57,7 +57,7 @@ def message_lines(lines: DataFrame, with_text: bool = False) -> DataFrame:
         F.when(chat, v).alias("v"),
     )
     src = src.select("*", F.expr("try_variant_get(v, '$.content', 'array<variant>')").alias("items"), F.expr("CASE WHEN schema_of_variant(try_variant_get(v, '$.content', 'variant')) = 'STRING' THEN try_variant_get(v, '$.content', 'string') END").alias("plain"))
-    item_text = "CASE WHEN try_variant_get(x, '$.type', 'string') = 'text' THEN try_variant_get(x, '$.text', 'string') WHEN try_variant_get(x, '$.type', 'string') = 'tool_result' THEN try_variant_get(x, '$.content', 'string') END"
+    item_text = "CASE WHEN try_variant_get(x, '$.type', 'string') = 'text' THEN try_variant_get(x, '$.text', 'string') WHEN try_variant_get(x, '$.type', 'string') = 'tool_result' THEN coalesce(array_join(transform(try_variant_get(x, '$.content', 'array<variant>'), y -> try_variant_get(y, '$.text', 'string')), '\n'), try_variant_get(x, '$.content', 'string')) END"
     src = src.select("*", F.coalesce("plain", F.expr(f"array_join(transform(items, x -> {item_text}), '\n')")).alias("text"))
     tool = F.expr("coalesce(exists(items, x -> try_variant_get(x, '$.type', 'string') IN ('tool_use', 'tool_result')), false)")
     said = F.expr(r"coalesce(exists(items, x -> try_variant_get(x, '$.type', 'string') = 'text' AND coalesce(try_variant_get(x, '$.text', 'string') rlike '(?U)\\S', false)), false)")

@@ -37,6 +37,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return talk.session_verdicts(slim, talk.reply_links(slim)).where("reason IS NOT NULL").select("src_session")
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn of each session, usable or not: its place, and the turn it most likely replies to."""
+    slim = materialize(talk.message_lines(table(spark, d, "session_lines")), "lines")
+    return talk.reply_links(slim).select("line_id", "turn_no", "parent_line")
+
+
 def p4_turns(spark: SparkSession, d: str) -> DataFrame:
     """The ordered turns of the usable sessions, with reply links and threads."""
     return talk.conversations(table(spark, d, "session_lines"))[0]
@@ -103,4 +109,4 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_turns, p6_found, p6_top, p7_found, p7_pieces, p8_found, p8_report, p9_mix, p9_report, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_links, p4_turns, p6_found, p6_top, p7_found, p7_pieces, p8_found, p8_report, p9_mix, p9_report, p10_found, p10_composition)}
