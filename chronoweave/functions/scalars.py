@@ -175,6 +175,11 @@ def margin(v: Column) -> Column:
 # --- Text.
 
 
+def stripped(c: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def tokens(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(r"[A-Za-z0-9_.-]{2,}"), F.lit(0))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as S
 from chronoweave.operators import temporal
+from chronoweave.session import numbered
 
 
 def resolve(names: DataFrame, entities: DataFrame, aliases: DataFrame, prefix: bool = False) -> DataFrame:
@@ -82,15 +83,30 @@ def remap(df: DataFrame, mapping: DataFrame, *columns: str) -> DataFrame:
     return df.select(*order)
 
 
-def merge(mapping: DataFrame, entities: DataFrame, links: DataFrame, edges: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
+def merge(
+    mapping: DataFrame, entities: DataFrame, links: DataFrame, edges: DataFrame, aliases: DataFrame, triples: DataFrame | None = None, observations: DataFrame | None = None, now: float | None = None
+) -> dict[str, DataFrame]:
     """The tables after a merge: links repointed and distinct, edges folded (self-edges dropped, an existing edge's last_seen kept),
-    aliases repointed, losers' seen counts added to the winner and their rows removed."""
+    triples (both ends) and metric observations repointed, aliases repointed and, if ``now`` is given, each loser's name made a live alias of its
+    winner; losers' seen counts added to the winner and their rows removed."""
     moved = remap(edges.withColumn("old_pair", F.struct("a", "b")), mapping, "a", "b").where("a <> b")
     own = (F.least("a", "b") == F.col("old_pair.a")) & (F.greatest("a", "b") == F.col("old_pair.b"))
     folded = moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("count").alias("count"), F.coalesce(F.max(F.when(own, F.col("last_seen"))), F.max("last_seen")).alias("last_seen"))
     gained = entities.join(mapping.withColumnRenamed("old", "id"), "id").groupBy(F.col("new").alias("id")).agg(F.sum("seen_count").alias("more"))
     kept = entities.join(mapping.select(F.col("old").alias("id")), "id", "left_anti").join(gained, "id", "left")
+    more = {}
+    if triples is not None:
+        more["triples"] = remap(triples, mapping, "subject_id", "object_id")
+    if observations is not None:
+        more["observations"] = remap(observations, mapping, "entity_id")
+    if now is not None:
+        known = aliases.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        names = entities.join(mapping.withColumnRenamed("old", "id"), "id").select(F.col("new").alias("entity_id"), F.col("name").alias("alias"), F.col("id").alias("old"))
+        stamp = {"valid_from": F.lit(now), "valid_to": F.lit(None).cast("double"), "recorded_at": F.lit(now), "confidence": F.lit(1.0)}
+        said = numbered(names, ["old"], "id", known + 1).withColumns(stamp).select("id", "entity_id", "alias", *stamp)
+        aliases = aliases.select("id", "entity_id", "alias", *stamp).unionByName(said)
     return {
+        **more,
         "entities": kept.withColumn("seen_count", F.col("seen_count") + F.coalesce("more", F.lit(0))).drop("more"),
         "links": remap(links, mapping, "entity_id").distinct(),
         "edges": folded,
@@ -105,19 +121,18 @@ def unused(entities: DataFrame, links: DataFrame, edges: DataFrame, aliases: Dat
     return entities.select("id").join(used, "id", "left_anti")
 
 
-def resolve_or_create(names: list[str], entities: DataFrame, aliases: DataFrame, next_id: int) -> tuple[DataFrame, DataFrame]:
-    """(assignments, new entities) for an ordered batch of names: exact, alias, then a unique variant key; else a new entity.
+def resolve_or_create(names: DataFrame, entities: DataFrame, aliases: DataFrame, next_id: int) -> tuple[DataFrame, DataFrame]:
+    """(assignments, new entities) for names(pos, name) in order of pos: exact, alias, then a unique variant key; else a new entity.
 
-    A batch is bounded by its caller (a chunk's names). Names that agree by variant key within the batch share the entity the first of them makes.
+    assignments: (pos, name, entity_id, how). Names that agree by variant key within the batch share the entity the first of them makes;
+    names that aren't valid and unknown get none. New entities (id, name, display) are numbered from next_id in order of their first mention.
     """
-    spark = entities.sparkSession
-    batch = spark.createDataFrame(list(enumerate(names)), "pos int, name string")
-    known = resolve(batch, entities, aliases)
+    known = resolve(names, entities, aliases)
     keys = entities.groupBy(S.variant_key(F.col("name")).alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("entity_id")).where("n = 1 AND key <> ''")
-    by_key = batch.join(known, "name", "left_anti").where(S.entity_name_ok(F.trim("name"))).select("pos", "name", S.variant_key(F.col("name")).alias("key"))
+    by_key = names.join(known, "name", "left_anti").where(S.entity_name_ok(F.trim("name"))).select("pos", "name", S.variant_key(F.col("name")).alias("key"))
     folded = by_key.join(keys.select("key", "entity_id"), "key")
     rest = by_key.join(folded.select("pos"), "pos", "left_anti")
-    first = rest.groupBy("key").agg(F.min_by("name", "pos").alias("display"), F.min("pos").alias("pos")).withColumn("entity_id", F.lit(next_id - 1) + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pos")))
+    first = numbered(rest.groupBy("key").agg(F.min(F.struct("pos", "name")).alias("f")).select("key", "f.pos", F.col("f.name").alias("display")), ["pos"], "entity_id", next_id)
     made = rest.join(first.select("key", "entity_id"), "key")
-    done = batch.join(known, "name").select("pos", "name", "entity_id", "how").unionByName(folded.select("pos", "name", "entity_id", F.lit("variant").alias("how"))).unionByName(made.select("pos", "name", "entity_id", F.lit("new").alias("how")))
+    done = names.join(known, "name").select("pos", "name", "entity_id", "how").unionByName(folded.select("pos", "name", "entity_id", F.lit("variant").alias("how"))).unionByName(made.select("pos", "name", "entity_id", F.lit("new").alias("how")))
     return done, first.select(F.col("entity_id").alias("id"), S.canonical_name(F.col("display")).alias("name"), "display")

@@ -28,22 +28,22 @@ def decode_items(lines: DataFrame) -> DataFrame:
         f"WHEN {t} = 'tool_result' THEN concat('[result] ', left(coalesce(try_variant_get(x, '$.content', 'string'), ''), {TOOL_BYTES})) END"
     )
     # A string as content isn't an array; get_json_object gives it unquoted.
-    text = F.coalesce(F.expr(f"array_join(filter(transform(__items, x -> {one}), s -> length(trim(s)) > 0), '\\n')"), F.get_json_object("message", "$.content"))
+    text = F.coalesce(F.expr(f"array_join(filter(transform(__items, x -> {one}), s -> s rlike '(?U)\\\\S'), '\\n')"), F.get_json_object("message", "$.content"))
     role = F.concat(F.when(F.coalesce(F.col("is_sidechain"), F.lit(False)), "SUBAGENT-").otherwise(""), F.upper("rec_type"), F.lit(": "))
-    ok = F.col("rec_type").isin("user", "assistant") & (F.length(F.trim("__text")) > 0)
-    return v.withColumn("__text", text).withColumn("piece", F.when(ok, F.concat(role, S.redacted(F.trim("__text"))))).drop("__v", "__items", "__text")
+    ok = F.col("rec_type").isin("user", "assistant") & (F.length(S.stripped(F.col("__text"))) > 0)
+    return v.withColumn("__text", text).withColumn("piece", F.when(ok, F.concat(role, S.redacted(S.stripped(F.col("__text")))))).drop("__v", "__items", "__text")
 
 
-def decode_payloads(lines: DataFrame) -> DataFrame:
-    """Lines(value) of the second format as (t, kind, cwd, piece): session_meta gives the folder, messages and function calls a piece."""
+def decode_payloads(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines(value) of the second format as (t, kind, cwd, piece): session_meta gives the folder, messages and function calls a piece. Columns in ``keep`` come along."""
     schema = "timestamp string, type string, payload struct<type:string,cwd:string,role:string,name:string,arguments:string,content:array<struct<text:string>>>"
-    j = lines.select(F.from_json("value", schema).alias("j")).select("j.*")
+    j = lines.select(*keep, F.from_json("value", schema).alias("j")).select(*keep, "j.*")
     said = F.array_join(F.transform("payload.content", lambda c: c["text"]), "\n")
     piece = (
-        F.when((F.col("type") == "response_item") & (F.col("payload.type") == "message") & (F.length(F.trim(said)) > 0), F.concat(F.upper("payload.role"), F.lit(": "), S.redacted(F.trim(said))))
+        F.when((F.col("type") == "response_item") & (F.col("payload.type") == "message") & (F.length(S.stripped(said)) > 0), F.concat(F.upper("payload.role"), F.lit(": "), S.redacted(S.stripped(said))))
         .when((F.col("type") == "response_item") & (F.col("payload.type") == "function_call"), F.concat(F.lit("ASSISTANT: [tool:"), F.col("payload.name"), F.lit("] "), F.left(F.coalesce("payload.arguments", F.lit("")), F.lit(TOOL_BYTES))))
     )
-    return j.select(S.rfc3339_epoch(F.col("timestamp")).alias("t"), "type", F.when(F.col("type") == "session_meta", F.col("payload.cwd")).alias("cwd"), piece.alias("piece"))
+    return j.select(*keep, S.rfc3339_epoch(F.col("timestamp")).alias("t"), "type", F.when(F.col("type") == "session_meta", F.col("payload.cwd")).alias("cwd"), piece.alias("piece"))
 
 
 class Chunker:
@@ -106,24 +106,34 @@ def deduplicate(new: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]
     """(to insert, to corroborate) for a batch new(pos, statement, repo, src_session, confidence, ...).
 
     By statement hash and repo: the first of the batch is inserted unless a live fact says the same. A restatement from
-    another session adds one corroboration, one from the same session nothing. to corroborate: (id or pos of the batch, times).
+    another session adds one corroboration, one from the same session nothing. to corroborate: (id or pos of the batch, times, and if the
+    batch has valid_from and evidence, last and verified: the latest time it was said to be true, and whether as verified).
     """
     h = new.withColumn("h", S.statement_hash(F.col("statement"))).withColumn("r", F.coalesce("repo", F.lit("")))
     known = facts.where("superseded_at IS NULL").select(S.statement_hash(F.col("statement")).alias("h"), F.coalesce("repo", F.lit("")).alias("r"), "id", F.col("src_session").alias("own"))
     known = known.groupBy("h", "r").agg(F.min(F.struct("id", "own")).alias("k")).select("h", "r", "k.*")
     j = h.join(known, ["h", "r"], "left")
-    first = Window.partitionBy("h", "r").orderBy("pos")
-    j = j.withColumn("first_pos", F.first("pos").over(first)).withColumn("first_session", F.coalesce("own", F.first("src_session").over(first)))
+    first = h.groupBy("h", "r").agg(F.min(F.struct("pos", "src_session")).alias("f")).select("h", "r", F.col("f.pos").alias("first_pos"), F.col("f.src_session").alias("first_said"))
+    j = j.join(first, ["h", "r"]).withColumn("first_session", F.coalesce("own", "first_said")).drop("first_said")
     insert = j.where("id IS NULL AND pos = first_pos").drop("h", "r", "id", "own", "first_pos", "first_session")
     again = j.where("(id IS NOT NULL OR pos <> first_pos) AND NOT (src_session <=> first_session)")
-    return insert, again.groupBy(F.col("id"), F.when(F.col("id").isNull(), F.col("first_pos")).alias("pos")).agg(F.count("*").alias("times"))
+    said = [F.max("valid_from").alias("last")] if "valid_from" in new.columns else []
+    said += [F.bool_or(F.col("evidence") == "verified").alias("verified")] if "evidence" in new.columns else []
+    return insert, again.groupBy(F.col("id"), F.when(F.col("id").isNull(), F.col("first_pos")).alias("pos")).agg(F.count("*").alias("times"), *said)
 
 
 def corroborate(facts: DataFrame, times: DataFrame) -> DataFrame:
-    """facts after times(id, times) independent restatements."""
-    j = facts.join(times.select("id", F.col("times").alias("__n")), "id", "left")
+    """facts after times(id, times, and maybe last, verified) independent restatements: what is said again is more certain, true at the latest time
+    it was said to be, and verified once any of them was."""
+    extra = [c for c in ("last", "verified") if c in times.columns]
+    j = facts.join(times.select("id", F.col("times").alias("__n"), *[F.col(c).alias(f"__{c}") for c in extra]), "id", "left")
     n = F.coalesce("__n", F.lit(0))
-    return j.withColumns({"confidence": S.corroborated(F.col("confidence"), n), "corroborations": (F.col("corroborations") + n).cast("int")}).drop("__n").select(*facts.columns)
+    new = {"confidence": S.corroborated(F.col("confidence"), n), "corroborations": (F.col("corroborations") + n).cast("int")}
+    if "last" in extra:
+        new["valid_from"] = F.greatest("valid_from", "__last")
+    if "verified" in extra:
+        new["evidence"] = F.when(F.col("__verified"), "verified").otherwise(F.col("evidence"))
+    return j.withColumns(new).select(*facts.columns)
 
 
 def canary(statements: DataFrame, expected: DataFrame) -> DataFrame:

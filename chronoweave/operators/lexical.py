@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.session import materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Queries that are scored in one pass over the documents, and documents whose postings are held at a time.
+BLOCK_QUERIES, BLOCK_DOCUMENTS = 20_000, 20_000
 
 
 def terms(c: Column) -> Column:
@@ -19,7 +26,13 @@ def terms(c: Column) -> Column:
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame  # id, term, tf (weighted), weight (idf * saturation, the term's part of the score)
+    postings: DataFrame  # id, term, weight (idf * saturation, the term's part of the score)
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        """(id, terms, weights): a row a document."""
+        rows = self.postings.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("p"))
+        return materialize(rows.select("id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights")), "documents")
 
 
 def _weighted(w: float):
@@ -56,3 +69,85 @@ def top(scored: DataFrame, k: int, by: str = "bm25") -> DataFrame:
     """(qid, id, by, rank), rank from 0, the k best of each query; ties to the smaller id."""
     w = Window.partitionBy("qid").orderBy(F.desc(by), "id")
     return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+
+
+def best(index: LexicalIndex, queries: DataFrame, pools: DataFrame, keep: dict[int, int]) -> DataFrame:
+    """(qid, pool, id, bm25, rank), rank from 0: for queries(qid, q) the keep[pool] best matches among the ids of each pool, from pools(id, pool).
+
+    Each partition of the documents scores a block of queries at once and passes on no more than each query can keep, so what is
+    shuffled is bounded by queries x keep x partitions, however common a term is. Ties go to the smaller id.
+    """
+    spark = queries.sparkSession
+    asked = queries.select("qid", F.array_distinct(terms("q")).alias("terms")).where(F.size("terms") > 0)
+    docs = index.documents.join(pools, "id")
+    out = spark.createDataFrame([], "qid bigint, pool int, id bigint, bm25 double")
+    for block in query_blocks(asked, BLOCK_QUERIES):
+        out = out.unionByName(docs.mapInArrow(_scorer(spark.sparkContext.broadcast(_grouped(block)), keep), "qid bigint, pool int, id bigint, bm25 double"))  # at most BLOCK_QUERIES queries
+    w = Window.partitionBy("qid", "pool").orderBy(F.desc("bm25"), "id")
+    most = F.create_map(*[F.lit(x) for kv in keep.items() for x in kv])
+    return out.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < most[F.col("pool")])
+
+
+def query_blocks(queries: DataFrame, size: int) -> Iterator[pa.Table]:
+    """The queries in tables of about ``size`` rows, one at a time on the driver: the parts of a hash of qid."""
+    held = materialize(queries, "queries")
+    parts = -(-held.count() // size)
+    for part in range(parts):
+        yield held.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part).toArrow() if parts > 1 else held.toArrow()
+
+
+def _grouped(block: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(qids, their distinct terms, the terms' numbers query by query, where each query begins)."""
+    lists = block.column("terms").combine_chunks()
+    coded = pc.dictionary_encode(lists.flatten())
+    n = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return block.column("qid").to_numpy(), coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.append(0, np.cumsum(n))
+
+
+def _scorer(handle, keep: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, vocabulary, wanted, begin = handle.value
+
+        def score(t: pa.Table) -> pa.RecordBatch:
+            ids, pool = t.column("id").to_numpy(), t.column("pool").to_numpy()
+            lists = t.column("terms").combine_chunks()
+            doc = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            term = pc.index_in(lists.flatten(), value_set=vocabulary)
+            hit = pc.is_valid(term).to_numpy(zero_copy_only=False)
+            term = term.drop_null().to_numpy()
+            doc, weight = doc[hit], t.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)[hit]
+            order = np.lexsort((doc, term))
+            doc, weight = doc[order], weight[order]
+            at = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+            found: list[tuple] = []
+            for q in range(len(qids)):
+                mine = wanted[begin[q] : begin[q + 1]]
+                d = np.concatenate([doc[at[x] : at[x + 1]] for x in mine])
+                if not len(d):
+                    continue
+                s = np.bincount(d, np.concatenate([weight[at[x] : at[x + 1]] for x in mine]), len(ids))
+                d = np.flatnonzero(s)
+                s = np.round(s[d], 9)
+                for p, k in keep.items():
+                    own = np.flatnonzero(pool[d] == p)
+                    if len(own) > k:  # equals of the last are kept until ids decide
+                        own = own[s[own] >= np.partition(s[own], len(own) - k)[len(own) - k]]
+                        own = own[np.lexsort((ids[d[own]], -s[own]))[:k]]
+                    found.append((q, p, d[own], s[own]))
+            n = [len(x[2]) for x in found]
+            cat = lambda i, kind: np.concatenate([x[i] for x in found]) if found else np.zeros(0, kind)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(qids[[x[0] for x in found]], n) if found else np.zeros(0, "int64")), pa.array(np.repeat([x[1] for x in found], n).astype("int32")), pa.array(ids[cat(2, "int64")]), pa.array(cat(3, "float64"))],
+                names=["qid", "pool", "id", "bm25"],
+            )
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BLOCK_DOCUMENTS:
+                yield score(pa.Table.from_batches(held))
+                held = []
+        if sum(b.num_rows for b in held):
+            yield score(pa.Table.from_batches(held))
+
+    return run

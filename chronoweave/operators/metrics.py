@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as S
+from chronoweave.session import materialize
 
 
-def series(obs: DataFrame, metric: str, entity: int | None = None) -> DataFrame:
-    """Observations of one metric (and entity) in order of time."""
+def series(obs: DataFrame, metric: str, entity: int | None = None, entities: DataFrame | None = None) -> DataFrame:
+    """Observations of one metric (and entity) in order of time; with entities also their display names, empty where there is none."""
     rows = obs.where(F.col("metric") == S.snake_name(F.lit(metric)))
-    return (rows if entity is None else rows.where(F.col("entity_id") == entity)).select("id", "entity_id", "occurred_at", "value").orderBy("occurred_at", "id")
+    rows = (rows if entity is None else rows.where(F.col("entity_id") == entity)).select("id", "entity_id", "occurred_at", "value")
+    if entities is not None:
+        rows = rows.join(entities.select(F.col("id").alias("entity_id"), "display"), "entity_id", "left").withColumn("display", F.coalesce("display", F.lit("")))
+    return rows.orderBy("occurred_at", "id")
 
 
 def metric_list(metrics: DataFrame, obs: DataFrame, k: int = 40) -> DataFrame:
@@ -30,10 +34,17 @@ def latency(samples: DataFrame, ring: int = 2048) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """The element at n / 2 of each group's sorted values, by ranks, so that no group is gathered."""
-    w = Window.partitionBy(group).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(group))
-    return rows.select(group, value).withColumn("rn", F.row_number().over(w) - 1).withColumn("n", n).where(F.col("rn") == F.floor(F.col("n") / 2)).select(group, F.col(value).alias("upper_median"))
+    """The element at n / 2 of each group's sorted values: equal values are counted first, then value ranges of a group, so that no group is gathered in a task."""
+    counted = materialize(rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c")), "values")
+    ends = counted.groupBy(group).agg(F.sum("c").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1024), F.lit(1023))).otherwise(0).cast("int")
+    placed = counted.join(ends, group).withColumn("b", bucket)
+    sizes = placed.groupBy(group, "n", "b").agg(F.sum("c").alias("c"))  # at most 1,024 rows a group
+    upto = sizes.withColumn("upto", F.sum("c").over(Window.partitionBy(group).orderBy("b")))
+    mid = F.floor(F.col("n") / 2)
+    at = upto.where((F.col("upto") > mid) & (F.col("upto") - F.col("c") <= mid)).select(group, "b", (mid - F.col("upto") + F.col("c")).alias("rest"))
+    inside = placed.join(at, [group, "b"]).withColumn("to", F.sum("c").over(Window.partitionBy(group).orderBy(value)))
+    return inside.where((F.col("to") > F.col("rest")) & (F.col("to") - F.col("c") <= F.col("rest"))).select(group, F.col(value).alias("upper_median"))
 
 
 def agreement_by_margin(log: DataFrame) -> DataFrame:
@@ -71,6 +82,12 @@ def threshold_sweep(rows: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*[f"s{s}" for s in steps])))
 
 
+def metric_counts(metrics: DataFrame, new: DataFrame) -> DataFrame:
+    """(metric, seen_count) after new(metric): every mention counts one, unknown metrics are added."""
+    said = new.where("metric <> ''").groupBy(S.snake_name(F.col("metric")).alias("metric")).agg(F.count("*").alias("seen_count"))
+    return metrics.select("metric", "seen_count").unionByName(said).groupBy("metric").agg(F.sum("seen_count").alias("seen_count"))
+
+
 def store_observations(obs: DataFrame, new: DataFrame) -> DataFrame:
     """obs after new(metric, entity_id, value, day, valid_from): snake-case names, the day said or else the fact's time; equal rows count once."""
     rows = new.where("metric <> '' AND value IS NOT NULL").select(S.snake_name(F.col("metric")).alias("metric"), "entity_id", "value", S.observation_time(F.col("day"), F.col("valid_from")).alias("occurred_at"))

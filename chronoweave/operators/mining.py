@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as S
@@ -28,21 +31,50 @@ def rare_patterns(facts: DataFrame, df: DataFrame, most: int = 3, max_df: int =
     return g.where((F.col("least") <= max_df) & (F.size("ts") >= 2)).select("id", F.array_join(F.transform("ts", lambda x: x["t"]), ".*").alias("pattern"))
 
 
-def narrow(patterns: DataFrame, facts: DataFrame, df: DataFrame, most: int = 20) -> DataFrame:
-    """Patterns that match at most ``most`` live facts. A pattern is tried only on facts that hold its first token, found by join."""
-    probe = patterns.select("id", "pattern", F.lower(F.replace(F.get(F.split("pattern", r"\.\*"), 0), F.lit("\\."), F.lit("."))).alias("token"))
-    holds = temporal.live(facts).select(F.col("id").alias("fid"), "statement", F.explode(F.array_distinct(F.transform(S.tokens(F.col("statement")), F.lower))).alias("token"))
-    hits = probe.join(holds, "token").where(F.expr("statement rlike concat('(?i)', pattern)")).groupBy("id").agg(F.count("*").alias("n"))
-    return patterns.join(hits, "id", "left").where(F.coalesce("n", F.lit(0)) <= most).select("id", "pattern", F.coalesce("n", F.lit(0)).alias("matches"))
+def _is_regex(pattern: Column) -> Column:
+    def check(patterns: pd.Series) -> pd.Series:
+        def ok(p: str | None) -> bool:
+            try:
+                return p is not None and re.compile(p) is not None
+            except re.error:
+                return False
+
+        return patterns.map(ok)
+
+    return F.pandas_udf(check, "boolean")(pattern)
+
+
+_PIECE = r"(?:\\.|[a-z0-9_-]){3,}"
+
+
+def narrow(patterns: DataFrame, facts: DataFrame, most: int = 20) -> DataFrame:
+    """(id, pattern, matches) of the patterns that match at most ``most`` live statements, anywhere and in any case. Patterns that are no regular
+    expression, or have no three literal characters in a row, are left out.
+
+    A pattern is a sequence of literal pieces. Any statement it matches holds each piece as a substring, so the rarest trigram of the
+    pieces finds all candidates by a join, and the expression is tried on them alone.
+    """
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
+    valid = patterns.where(_is_regex(F.col("pattern"))).select("id", "pattern")
+    literal = F.transform(F.regexp_extract_all(F.lower("pattern"), F.lit(_PIECE), F.lit(0)), lambda p: F.regexp_replace(p, r"\\(.)", "$1"))
+    keyed = valid.select("id", "pattern", F.explode(F.filter(F.flatten(F.transform(literal, grams)), lambda g: F.length(g) == 3)).alias("gram")).distinct()
+    live = temporal.live(facts).select(F.col("id").alias("fid"), F.lower("statement").alias("low"), "statement")
+    held = live.where(F.length("low") >= 3).select("fid", F.explode(grams(F.col("low"))).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = keyed.join(counts, "gram", "left").groupBy("id", "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).select("id", "pattern", F.col("k.gram").alias("gram"))
+    test = F.expr("statement rlike concat('(?i)', pattern)")
+    hits = rarest.join(held, "gram").join(live.select("fid", "statement"), "fid").where(test).groupBy("id").agg(F.count("*").alias("n"))
+    return valid.join(rarest.select("id"), "id", "left_semi").join(hits, "id", "left").where(F.coalesce("n", F.lit(0)) <= most).select("id", "pattern", F.coalesce("n", F.lit(0)).alias("matches"))
 
 
 def quota_sample(rows: DataFrame, group: str, n: int, seed: int = 7) -> DataFrame:
     """About n rows, each group in proportion: ceil(n * its size / all), in seeded order, then the first n."""
-    total = rows.count()
-    size = F.count("*").over(Window.partitionBy(group))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("__n")).withColumn("__all", F.sum("__n").over(Window.partitionBy(F.lit(0))))  # over a row a group
+    shares = sizes.select(group, F.ceil(F.lit(n) * F.col("__n") / F.col("__all")).alias("__k"))
     w = Window.partitionBy(group).orderBy(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed)))), "id")
-    cut = rows.withColumn("__n", size).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= F.ceil(F.lit(n) * F.col("__n") / max(1, total)))
-    return cut.orderBy(group, "__rn").limit(n).drop("__n", "__rn")
+    # No group gives more than n: that limit applies before the shuffle, so no group comes whole to a task.
+    cut = rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).join(F.broadcast(shares), group).where(F.col("__rn") <= F.col("__k"))
+    return cut.orderBy(group, "__rn").limit(n).drop("__k", "__rn")
 
 
 def chain_probes(facts: DataFrame, heads: DataFrame, patterns: DataFrame) -> DataFrame:

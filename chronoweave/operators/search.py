@@ -13,6 +13,8 @@ from chronoweave.operators import lexical, temporal, vector
 from chronoweave.session import materialize
 
 ARM, DEAD_ARM = 60, 10
+LIVE, DEAD = 0, 1
+REINFORCEMENT, MOST_MASS = 0.15, 3.0
 
 
 def live_contradictions(facts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -45,20 +47,27 @@ def _score(ref: float, with_para: bool) -> Column:
 
 def hybrid_search(
     queries: DataFrame, facts: DataFrame, edges: DataFrame, index: lexical.LexicalIndex, vectors: DataFrame, now: float, k: int = 5,
-    as_of: float | None = None, paraphrases: DataFrame | None = None, para_vectors: DataFrame | None = None,
+    as_of: float | None = None, paraphrases: DataFrame | None = None, para_vectors: DataFrame | None = None, features: bool = False,
 ) -> DataFrame:
     """Ranked facts for queries(qid, q, repo, vec): qid, rank (from 1), score, via_history and the fact's fields.
 
     Live facts answer, or those visible at ``as_of``, which makes every query historical and leaves out
     dead facts and paraphrases (texts in ``paraphrases``, their vectors in ``para_vectors``). A query without vector has no vector arm. Ties go to the smaller id.
+    With ``features`` the result is (qid, rank, id, feat) of all candidates instead, see trace_log.
     """
     pool = temporal.live(facts) if as_of is None else temporal.as_of(facts, as_of)
-    alive = materialize(pool.select("id"), "pool")
+    pools = pool.select("id", F.lit(LIVE).alias("pool"))
+    if as_of is None:
+        pools = pools.unionByName(temporal.dead(facts).select("id", F.lit(DEAD).alias("pool")))
+    pools = materialize(pools, "pools")
+    keep = {LIVE: ARM} if as_of is not None else {LIVE: ARM, DEAD: DEAD_ARM}
+    alive = pools.where(F.col("pool") == LIVE).select("id")
     asked = queries.select("qid", "q")
     with_vec = queries.where("vec IS NOT NULL").select("qid", "vec")
-    every = lexical.scores(index, asked)
-    lex = lexical.top(every.join(alive, "id", "left_semi"), ARM).select("qid", "id", F.col("rank").alias("lex_rank"))
-    cos = vector.cosine_top(with_vec, vectors.join(alive, "id", "left_semi"), ARM).select("qid", "id", "sim")
+    matches = materialize(lexical.best(index, asked, pools, keep), "matches")
+    lex = matches.where(F.col("pool") == LIVE).select("qid", "id", F.col("rank").alias("lex_rank"))
+    nearest = materialize(vector.cosine_best(with_vec, vectors.join(pools, "id"), keep), "nearest")
+    cos = nearest.where(F.col("pool") == LIVE).select("qid", "id", "sim")
     if para_vectors is not None and as_of is None:
         # A fact counts by its nearest wording; several vectors (fact_id, vec) a fact are allowed.
         numbered = para_vectors.select(F.col("fact_id").alias("id"), "vec").where("vec IS NOT NULL").join(alive, "id", "left_semi")
@@ -71,14 +80,13 @@ def hybrid_search(
         heads = temporal.chain_heads(facts).select(F.col("id").alias("next"), "head")
         ends = materialize(gone.join(heads, "next", "left").select("id", F.coalesce("head", "next").alias("head")), "ends")
         # A dead hit stands for the head of its chain; each further head is appended behind the direct hits.
-        all_dead = temporal.dead(facts).select("id")
-        dead_lex = lexical.top(every.join(all_dead, "id", "left_semi"), DEAD_ARM).join(ends, "id").groupBy("qid", "head").agg(F.min("rank").alias("dead_rank"))
+        dead_lex = matches.where(F.col("pool") == DEAD).join(ends, "id").groupBy("qid", "head").agg(F.min("rank").alias("dead_rank"))
         size = lex.groupBy("qid").agg(F.count("*").alias("l0"))
         fresh = dead_lex.withColumnRenamed("head", "id").join(lex.select("qid", "id"), ["qid", "id"], "left_anti").join(size, "qid", "left")
         order = Window.partitionBy("qid").orderBy("dead_rank", "id")
         fresh = fresh.select("qid", "id", (F.coalesce("l0", F.lit(0)) + F.row_number().over(order) - 1 + F.col("dead_rank") + 2).alias("lex_rank"))
         lex_all = lex.unionByName(fresh)
-        dead_cos = vector.cosine_top(with_vec, vectors.join(all_dead, "id", "left_semi"), DEAD_ARM).join(ends, "id").where("sim > 0")
+        dead_cos = nearest.where(F.col("pool") == DEAD).join(ends, "id").where("sim > 0")
         dead_sims = dead_cos.groupBy("qid", F.col("head").alias("id")).agg(F.max("sim").alias("dead_sim"))
         both = cos.withColumn("own", F.lit(True)).unionByName(dead_sims.select("qid", "id", F.round(F.col("dead_sim") * 0.9, 9).alias("sim"), F.lit(False).alias("own")))
         best = both.groupBy("qid", "id").agg(F.max("sim").alias("sim"), F.max_by("own", F.struct("sim", "own")).alias("own"))
@@ -90,7 +98,7 @@ def hybrid_search(
     joined = lex_all.join(cos, ["qid", "id"], "full")
     if paraphrases is not None and as_of is None:
         pidx = lexical.build(paraphrases.groupBy("fact_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text")), "fact_id", {"text": 1.0})
-        para = lexical.top(lexical.scores(pidx, asked, alive), ARM).select("qid", "id", F.col("rank").alias("para_rank"))
+        para = lexical.best(pidx, asked, alive.withColumn("pool", F.lit(LIVE)), {LIVE: ARM}).select("qid", "id", F.col("rank").alias("para_rank"))
         joined = joined.join(para, ["qid", "id"], "full")
     if dead_sims is not None:
         joined = joined.join(dead_sims, ["qid", "id"], "left").join(via, ["qid", "id"], "left")
@@ -105,8 +113,37 @@ def hybrid_search(
     ref = as_of if as_of is not None else now
     scored = rows.withColumn("score", F.round(_score(ref, paraphrases is not None and as_of is None), 9)).withColumn("via_history", F.coalesce("via_history", F.lit(False)))
     rank = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    top = scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-    return fact_out(top, now)
+    ranked = scored.withColumn("rank", F.row_number().over(rank))
+    if features:
+        none, double = F.lit(-1.0), lambda c: F.col(c).cast("double")
+        same = F.when(F.col("want_repo") == F.col("repo"), 1.0).otherwise(0.0)
+        mass = F.round(S.decayed_mass(F.col("kind"), F.col("mass"), F.col("valid_from"), ref), 3)
+        feat = F.array(F.coalesce(double("lex_rank"), none), F.coalesce(double("cos_rank"), none), F.round(F.coalesce("sim", F.lit(0.0)), 3), mass, F.col("confidence"), same)
+        return ranked.select("qid", "rank", "id", feat.alias("feat"))
+    return fact_out(ranked.where(F.col("rank") <= k), now)
+
+
+def reinforce(facts: DataFrame, hits: DataFrame, now: float, top: int = 3) -> DataFrame:
+    """facts after searches whose hits(qid, rank, id) people saw: each of the first ``top`` gains mass (up to a limit) and counts one use a search."""
+    n = hits.where(F.col("rank") <= top).groupBy("id").agg(F.count("*").alias("__n"))
+    used = F.col("__n").isNotNull()
+    new = {
+        "mass": F.when(used, F.least(F.col("mass") + REINFORCEMENT * F.col("__n"), F.lit(MOST_MASS))).otherwise(F.col("mass")),
+        "use_count": (F.col("use_count") + F.coalesce("__n", F.lit(0))).cast("int"), "last_used_at": F.when(used, F.lit(now)).otherwise(F.col("last_used_at")),
+    }
+    return facts.join(n, "id", "left").withColumns(new).select(*facts.columns)
+
+
+def trace_log(found: DataFrame, queries: DataFrame, ts: float, k: int = 5) -> DataFrame:
+    """(qid, ts, kind, q, results): one trace a query from hybrid_search(..., features=True) with every candidate.
+
+    results is JSON: ids, the first k hits in order, and feat, by id the evidence they were ranked by:
+    [lexical rank, cosine rank, cosine, decayed mass, confidence, same repository], ranks -1 where there is none.
+    """
+    hits = F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "id")))), lambda x: x["id"])
+    feats = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("id").cast("string"), "feat"))))
+    rows = found.groupBy("qid").agg(F.to_json(F.struct(hits.alias("ids"), feats.alias("feat"))).alias("results"))
+    return queries.select("qid", "q").join(rows, "qid", "left").select("qid", F.lit(ts).alias("ts"), F.lit("query").alias("kind"), "q", F.coalesce("results", F.lit('{"ids":[],"feat":{}}')).alias("results"))
 
 
 def brief(facts: DataFrame, now: float, k: int = 10, repo: str | None = None, per: tuple[str, ...] = ()) -> DataFrame:

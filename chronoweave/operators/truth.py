@@ -95,6 +95,13 @@ def close(facts: DataFrame, verdicts: DataFrame, at: float) -> DataFrame:
     return j.withColumns({"superseded_by": F.when(ok, F.col("__new")).otherwise(F.col("superseded_by")), "superseded_at": F.when(ok, F.lit(at)).otherwise(F.col("superseded_at"))}).drop("__new", "__t").select(*facts.columns)
 
 
+def decided(log: DataFrame, mode: str) -> DataFrame:
+    """log(llm_verdict, local_verdict, ...) with the verdict that counts: with the local judge 'off' or in 'shadow', where it is only logged, the other's; when 'active' its own."""
+    if mode not in ("off", "shadow", "active"):
+        raise ValueError(mode)
+    return log.withColumn("verdict", F.col("local_verdict" if mode == "active" else "llm_verdict"))
+
+
 def repair_pairs(facts: DataFrame, done: DataFrame) -> DataFrame:
     """(old_id, new_id): closed facts whose superseder exists and that were never re-audited (done(old_id))."""
     return temporal.supersession_pairs(temporal.dead(facts).select("id", "superseded_by", "valid_from").unionByName(facts.where("superseded_at IS NULL").select("id", F.lit(None).cast("bigint").alias("superseded_by"), "valid_from"))).select("old_id", "new_id").join(done, "old_id", "left_anti")

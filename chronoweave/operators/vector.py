@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.lexical import query_blocks
+
 BLOCK_VALUES = 4_000_000
 
 
@@ -20,40 +22,51 @@ def usable(vectors: DataFrame, id_col: str = "fact_id", vec_col: str = "vec") ->
 
 
 def cosine_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(qid, id, sim, rank) for queries(qid, vec) against vectors(id, vec): exact cosine in double, rounded to nine places, rank from 0.
+    """(qid, id, sim, rank) for queries(qid, vec) against vectors(id, vec): exact cosine in double, rounded to nine places, rank from 0."""
+    return cosine_best(queries, vectors.select("id", "vec", F.lit(0).alias("pool")), {0: k}).drop("pool")
+
 
-    Each block of queries goes to all partitions, which keep their own k best before anything is shuffled.
+def cosine_best(queries: DataFrame, vectors: DataFrame, keep: dict[int, int]) -> DataFrame:
+    """(qid, pool, id, sim, rank): the keep[pool] nearest vectors(id, vec, pool) of each pool.
+
+    Each block of queries goes to all partitions, which pass on no more than each query can keep. An id with several vectors counts by the nearest, if asked for as one pool.
     """
     spark = vectors.sparkSession
-    blocks: list[tuple[list, list]] = [([], [])]
-    for r in queries.select("qid", "vec").toLocalIterator():
-        if len(blocks[-1][0]) * len(r["vec"]) > BLOCK_VALUES:
-            blocks.append(([], []))
-        blocks[-1][0].append(r["qid"])
-        blocks[-1][1].append(r["vec"])
-    out = spark.createDataFrame([], "qid bigint, id bigint, sim double")
-    for qids, rows in blocks:
-        if not qids:
-            continue
-        q = np.asarray(rows, "float64")
-        handle = spark.sparkContext.broadcast((np.asarray(qids, "int64"), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))  # at most BLOCK_VALUES
+    out = spark.createDataFrame([], "qid bigint, pool int, id bigint, sim double")
+    dims = vectors.select(F.size("vec").alias("d")).limit(1).collect()
+    for block in query_blocks(queries.select("qid", "vec"), BLOCK_VALUES // max(1, dims[0]["d"] if dims else 1)):
+        q = block.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(block.num_rows, -1)
+        handle = spark.sparkContext.broadcast((block.column("qid").to_numpy(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))  # at most BLOCK_VALUES
 
         def run(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
             qid, q = handle.value
-            best_s, best_i = np.full((len(qid), 0), -np.inf), np.zeros((len(qid), 0), "int64")
+            held = {p: (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)) for p in keep}
+            least = {p: np.full(len(qid), -np.inf) for p in keep}
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype("float64")
-                ids = batch.column("id").to_numpy(zero_copy_only=False)
-                s = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
-                best_s = np.concatenate([best_s, s], 1)
-                best_i = np.concatenate([best_i, np.broadcast_to(ids, s.shape)], 1)
-                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            if best_s.size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["qid", "id", "sim"])
-
-        out = out.unionByName(vectors.select("id", "vec").mapInArrow(run, "qid bigint, id bigint, sim double"))
-    w = Window.partitionBy("qid").orderBy(F.desc("sim"), "id")
-    return out.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+                ids, pool = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "pool"))
+                x = (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                for p, k in keep.items():
+                    own = np.flatnonzero(pool == p)
+                    for a in range(0, len(own), 4096):
+                        part = own[a : a + 4096]
+                        s = np.round(q @ x[:, part], 9)
+                        floor = least[p] if s.shape[1] <= k else np.maximum(least[p], np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+                        r, c = np.nonzero(s >= floor[:, None])  # equals of the last are kept until ids decide
+                        row, best_i, best_s = (np.concatenate(z) for z in zip(held[p], (r, ids[part[c]], s[r, c])))
+                        order = np.lexsort((best_i, -best_s, row))
+                        row, best_i, best_s = row[order], best_i[order], best_s[order]
+                        first = np.searchsorted(row, np.arange(len(qid) + 1))
+                        place = np.arange(len(row)) - first[row]
+                        full = np.flatnonzero(np.diff(first) >= k)
+                        least[p][full] = best_s[first[full] + k - 1]
+                        held[p] = row[place < k], best_i[place < k], best_s[place < k]
+            for p, (row, best_i, best_s) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(np.full(len(row), p, "int32")), pa.array(best_i), pa.array(best_s)], names=["qid", "pool", "id", "sim"])
+
+        out = out.unionByName(vectors.select("id", "vec", "pool").mapInArrow(run, "qid bigint, pool int, id bigint, sim double"))
+    w = Window.partitionBy("qid", "pool").orderBy(F.desc("sim"), "id")
+    most = F.create_map(*[F.lit(x) for kv in keep.items() for x in kv])
+    return out.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < most[F.col("pool")])

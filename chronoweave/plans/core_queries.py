@@ -181,12 +181,12 @@ def cited_ids(spark, d):
     return t.select("id", F.array_join(S.citations(text).cast("array<string>"), ",").alias("cited"))
 
 
-@query(f"""WITH l AS (SELECT line_id, rec_timestamp, coalesce(floor(epoch(TRY_CAST(rec_timestamp AS TIMESTAMPTZ))), 0e0) AS t FROM session_lines WHERE rec_timestamp IS NULL OR regexp_matches(rec_timestamp, '^\\d{{4}}-'))
+@query(f"""WITH l AS (SELECT line_id, CASE WHEN regexp_matches(rec_timestamp, '^\\d{{4}}-\\d{{2}}-\\d{{2}}[Tt ]\\d{{2}}:\\d{{2}}:\\d{{2}}(\\.\\d+)?([Zz]|[+-]\\d{{2}}:\\d{{2}})$') THEN coalesce(floor(epoch(TRY_CAST(rec_timestamp AS TIMESTAMPTZ))), 0e0) ELSE 0e0 END AS t FROM session_lines)
 SELECT line_id, t, {DATE.format(x='t')} AS day, (floor(t / 86400) + 1) * 86400 AS midnight, (t + {NOW_SQL}) / 2 AS era FROM l""")
 def line_times(spark, d):
-    """RFC 3339 times as whole epoch seconds, their date, the midnight after, and a midpoint."""
+    """RFC 3339 times as whole epoch seconds (0 where the text is no such time), their date, the midnight after, and a midpoint."""
     t = S.rfc3339_epoch(F.col("rec_timestamp"))
-    rows = table(spark, d, "session_lines").where(F.col("rec_timestamp").isNull() | F.col("rec_timestamp").rlike(r"^\d{4}-")).select("line_id", t.alias("t"))
+    rows = table(spark, d, "session_lines").select("line_id", t.alias("t"))
     return rows.select("line_id", "t", S.epoch_date(F.col("t")).alias("day"), S.next_midnight(F.col("t")).alias("midnight"), S.era_midpoint(F.col("t"), F.lit(NOW)).alias("era"))
 
 
@@ -239,7 +239,15 @@ def chain_heads(spark, d):
     return temporal.chain_heads(_facts(spark, d), 20)
 
 
-@query()
+#: (id, path): where parents lead from each fact, until a fact without one or the first that was met before.
+WALKS = """n AS (SELECT f.id, p.id AS p FROM (SELECT DISTINCT ON (id) id, superseded_by FROM facts) f LEFT JOIN (SELECT DISTINCT id FROM facts) p ON p.id = f.superseded_by),
+w AS (SELECT id, id AS node, [id] AS path FROM n UNION ALL SELECT w.id, n.p, list_append(w.path, n.p) FROM w JOIN n ON n.id = w.node WHERE n.p IS NOT NULL AND NOT list_contains(w.path, n.p)),
+e AS (SELECT id, arg_max(path, len(path)) AS path FROM w GROUP BY 1),
+c AS (SELECT e.id, e.path, n.p AS back, CASE WHEN n.p IS NOT NULL THEN list_slice(e.path, list_position(e.path, n.p), len(e.path)) END AS ring FROM e JOIN n ON n.id = e.path[len(e.path)]),
+tr AS (SELECT id, CASE WHEN ring IS NULL THEN path[len(path)] ELSE list_min(ring) END AS root, path, ring FROM c), td AS (SELECT *, list_position(path, root) - 1 AS depth FROM tr)"""
+
+
+@query(f"WITH RECURSIVE {WALKS} SELECT root, count(*) AS members, CAST(max(depth) AS INT) AS depth FROM td GROUP BY 1")
 def chain_members(spark, d):
     """Members of each supersession chain, in both directions."""
     t = hierarchy.hierarchy(table(spark, d, "facts"), "id", "superseded_by")
@@ -286,13 +294,13 @@ def scope_candidates(spark, d):
     return same_repo.unionByName(shared).where("qid <> id").distinct().groupBy("qid").agg(F.count("*").alias("candidates"))
 
 
-@query(f"""WITH {FACTS}, h AS (SELECT id FROM f WHERE superseded_at IS NULL ORDER BY round({mass_sql(NOW_SQL)}, 9) DESC, id LIMIT 1), {LINKS}
-SELECT e.id, e.name FROM fe JOIN entities e ON e.id = fe.entity_id WHERE fe.fact_id IN (SELECT id FROM h) ORDER BY e.seen_count DESC, e.id LIMIT 1""")
+@query(f"""WITH {FACTS}, {LINKS} SELECT fact_id, id, name FROM (SELECT fe.fact_id, e.id, e.name, row_number() OVER (PARTITION BY fe.fact_id ORDER BY e.seen_count DESC, e.id) AS rn FROM fe JOIN f ON f.id = fe.fact_id AND f.superseded_at IS NULL JOIN entities e ON e.id = fe.entity_id) WHERE rn = 1""")
 def top_entity(spark, d):
-    """The most seen entity of the heaviest fact."""
-    f = temporal.live(_facts(spark, d)).withColumn("w", F.round(S.decayed_mass(F.col("kind"), F.col("mass"), F.col("valid_from"), NOW), 9)).orderBy(F.desc("w"), "id").limit(1).select(F.col("id").alias("fact_id"))
-    e = table(spark, d, "entities")
-    return _links(spark, d).join(f, "fact_id", "left_semi").join(e, e.id == F.col("entity_id")).orderBy(F.desc("seen_count"), "id").select("id", "name").limit(1)
+    """The most seen entity of each live fact."""
+    e = table(spark, d, "entities").select(F.col("id").alias("entity_id"), "name", "seen_count")
+    rows = _links(spark, d).join(temporal.live(_facts(spark, d)).select(F.col("id").alias("fact_id")), "fact_id", "left_semi").join(e, "entity_id")
+    best = rows.groupBy("fact_id").agg(F.min(F.struct(-F.col("seen_count"), F.col("entity_id").alias("id"), "name")).alias("b"))
+    return best.select("fact_id", "b.id", "b.name")
 
 
 # --- Aggregates.
@@ -378,11 +386,12 @@ def threshold_sweep(spark, d):
     return metrics.threshold_sweep(_facts(spark, d).select("confidence", F.col("superseded_at").isNull().alias("hit")))
 
 
-@query("""WITH e AS (SELECT id, translate(lower(name), '-_. ', '') AS key, seen_count FROM entities), g AS (SELECT key, first(id ORDER BY seen_count DESC, id) AS winner, list_sort(list(DISTINCT id)) AS ids, sum(seen_count) AS seen FROM e WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT id) > 1)
+@query("""WITH e AS (SELECT id, translate(lower(name), '-_. ', '') AS key, seen_count FROM (SELECT id, name, seen_count FROM entities UNION ALL SELECT DISTINCT a.id + 10000000, upper(alias), CAST(round(a.confidence * 100) AS BIGINT) FROM entity_aliases a)), g AS (SELECT key, first(id ORDER BY seen_count DESC, id) AS winner, list_sort(list(DISTINCT id)) AS ids, sum(seen_count) AS seen FROM e WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT id) > 1)
 SELECT key, winner, array_to_string(list_filter(ids, lambda x: x <> winner), ',') AS losers, seen FROM g""")
 def variant_groups(spark, d):
-    """Entities whose names differ in form alone."""
-    return E.variant_groups(table(spark, d, "entities")).withColumn("losers", F.array_join(F.col("losers").cast("array<string>"), ","))
+    """Names, of entities and their aliases, that differ in form alone."""
+    said = table(spark, d, "entity_aliases").select((F.col("id") + 10_000_000).alias("id"), F.upper("alias").alias("name"), F.round(F.col("confidence") * 100).cast("bigint").alias("seen_count")).distinct()
+    return E.variant_groups(table(spark, d, "entities").select("id", "name", "seen_count").unionByName(said)).withColumn("losers", F.array_join(F.col("losers").cast("array<string>"), ","))
 
 
 @query(f"WITH {FACTS} SELECT coalesce(repo, '') AS old, CASE WHEN repo IS NULL OR repo = 'unknown' THEN coalesce(nullif(split_part(files[1], '/', 1), ''), 'unknown') ELSE repo END AS new, count(*) AS n FROM f GROUP BY 1, 2")

@@ -9,6 +9,7 @@ from chronoweave.functions import scalars as S
 from chronoweave.operators.asof_lookup import as_known_at
 from chronoweave.operators.hierarchy import hierarchy, hierarchy_blocks, loops
 from chronoweave.operators.orphans import orphan_report, orphans
+from chronoweave.plans.core_queries import WALKS
 from chronoweave.sources.tables import table
 
 
@@ -113,7 +114,12 @@ UNION
 SELECT 'entity_aliases', a.id, a.entity_id, strftime(make_timestamp(CAST(a.recorded_at * 1000000 AS BIGINT)), '%Y-%m')
 FROM entity_aliases a LEFT JOIN entities e ON e.id = a.entity_id WHERE a.entity_id IS NOT NULL AND e.id IS NULL""",
 }
-SQL["p2_tree"] = None
+SQL["p2_tree"] = f"""
+WITH RECURSIVE {WALKS}, an AS (SELECT id, unnest(list_slice(path, 2, len(path))) AS a FROM td UNION SELECT id, unnest(ring) FROM td WHERE ring IS NOT NULL),
+de AS (SELECT a AS id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ds FROM an WHERE a <> id GROUP BY 1)
+SELECT td.id AS node, root, CAST(depth AS INT) AS depth, array_to_string(list_reverse(list_slice(path, 1, depth + 1)), '>') AS path, coalesce(de.n, 0) AS n_descendants, coalesce(de.ds, '') AS descendants, 0 AS block,
+  coalesce(list_contains(ring, td.id), false) AS in_loop, ring IS NOT NULL AS loop_reached, s.id IS NULL AND f.superseded_by IS NOT NULL AS dangling
+FROM td LEFT JOIN de ON de.id = td.id JOIN (SELECT DISTINCT ON (id) id, superseded_by FROM facts) f ON f.id = td.id LEFT JOIN (SELECT DISTINCT id FROM facts) s ON s.id = f.superseded_by"""
 SQL["p3_coverage"] = f"SELECT (SELECT count(DISTINCT lookup_id) FROM lookups) AS lookups, count(*) AS answered FROM ({SQL['p3_found']}) x"
 SQL["p5_report"] = f"""
 SELECT ref_table, period, reason, count(*) AS orphans, count(DISTINCT ref_id) AS keys FROM (

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronoweave.plans import core_queries, general_queries, graph_queries
+from chronoweave.plans import core_queries, general_queries, graph_queries, table_queries
 
-MODULES = [core_queries, graph_queries, general_queries]
+MODULES = [core_queries, graph_queries, general_queries, table_queries]
 
 
 def queries() -> dict:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -23,12 +26,15 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests only) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, and the master is local, one of our own."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
         known = spark.conf.get("chronoweave.scratch", None)
     if not known:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="chronoweave-")
+        atexit.register(shutil.rmtree, known.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("chronoweave.scratch", known)
     return known.rstrip("/")
 
@@ -54,7 +60,13 @@ def drop_materialized(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def is_smaller_than(df: DataFrame, max_bytes: int) -> bool:
-    """Whether the optimizer's size estimate of df is under max_bytes."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) < max_bytes
+def numbered(df: DataFrame, by: list[str], into: str = "n", start: int = 1) -> DataFrame:
+    """df with the places of its rows in the order of ``by``, from ``start``: sorted range partitions, each moved on by the rows before it. No row passes through a single task."""
+    placed = materialize(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33)
+    before, total = [], start
+    for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("c")).orderBy("p").collect():  # a row a partition
+        before += [F.lit(r["p"]), F.lit(total)]
+        total += r["c"]
+    offset = F.create_map(*before)[part] if before else F.lit(start)
+    return placed.withColumn(into, (offset + F.col("__at").bitwiseAND((1 << 33) - 1)).cast("bigint")).drop("__at")

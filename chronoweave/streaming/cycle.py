@@ -1,4 +1,4 @@
-"""The ingest cycle: a batch of pieces becomes chunks, facts, links and closures, published as one new version of the tables."""
+"""The ingest cycle: a batch of pieces becomes chunks, facts, entities, links, co-mentions, closures, edges and offsets, published as one new version of all tables."""
 
 from __future__ import annotations
 
@@ -6,15 +6,23 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronoweave.functions import scalars as S
-from chronoweave.operators import ingest, lexical, search, truth
+from chronoweave.operators import ingest, lexical, search, upsert
 from chronoweave.protocols import Extractor, Judge, extract_facts, gate, judge_pairs
-from chronoweave.session import materialize
+from chronoweave.session import materialize, numbered
 from chronoweave.sources import snapshot
 
 FACT = "id bigint, statement string, kind string, repo string, entities array<string>, files array<string>, confidence double, mass double, recorded_at double, valid_from double, superseded_at double, superseded_by bigint, src_session string, corroborations int, evidence string, stmt_hash string"
+TABLES = {
+    "facts": FACT,
+    "entities": "id bigint, name string, display string, etype string, vkey string, seen_count bigint, last_seen double",
+    "aliases": "id bigint, entity_id bigint, alias string, valid_from double, valid_to double, recorded_at double, confidence double",
+    "links": "fact_id bigint, entity_id bigint",
+    "co_mentions": "a bigint, b bigint, count bigint, last_seen double",
+    "edges": "src bigint, dst bigint, edge_type string, recorded_at double",
+    "offsets": "src_session string, end_offset bigint, last_seen double",
+}
 WAITING = "arrived bigint, src_session string, chunk_no int, text string, repo string, t double"
 
 
@@ -35,10 +43,15 @@ class Cycle:
     max_chunks: int | None = None
     keep: int = 7
 
+    def table(self, name: str) -> DataFrame:
+        """The newest version of one of TABLES."""
+        done = snapshot.versions(self.spark, self.root)
+        if not done or not snapshot.has(self.spark, self.root, done[-1], name):
+            return self.spark.createDataFrame([], TABLES[name])
+        return snapshot.latest(self.spark, self.root, name)
+
     def facts(self) -> DataFrame:
-        if not snapshot.versions(self.spark, self.root):
-            return self.spark.createDataFrame([], FACT)
-        return snapshot.latest(self.spark, self.root, "facts")
+        return self.table("facts")
 
     def waiting(self) -> DataFrame:
         """The chunks left over by the batches so far."""
@@ -60,24 +73,24 @@ class Cycle:
         queue = self.waiting().select(*names).unionByName(cut.select(*names))
         queue = materialize(queue, "queue")
         keys = ["arrived", "src_session", "chunk_no"]
-        queue = queue.join(queue.select(*keys).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys))), keys)
+        queue = numbered(queue, keys, "place")
         taken = queue if self.max_chunks is None else queue.where(F.col("place") <= self.max_chunks)
         left = queue.select(*names).limit(0) if self.max_chunks is None else queue.where(F.col("place") > self.max_chunks).select(*names)
         now = max((x for x in (about.agg(F.max("t")).first()[0], taken.agg(F.max("t")).first()[0]) if x is not None), default=0.0)
         said = extract_facts(taken.select("src_session", F.col("place").alias("chunk_no"), "repo", "text"), self.extractor)
         clean = materialize(S.clean_fact(said).join(taken.select(F.col("place").alias("chunk_no"), "t"), "chunk_no"), "extracted")
-        # The order of a batch is total: time, session, chunk, fact. Ranks come from range partitions' sorted rows.
-        ranked = clean.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("t", "src_session", "chunk_no", "fact_no")).cast("bigint"))
-        insert, again = ingest.deduplicate(materialize(ranked, "ranked"), old)
+        # The order of a batch is total: time, session, chunk, fact; numbers follow the facts known so far.
         top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        fresh = materialize(insert.select(
-            (F.lit(top) + F.col("pos")).alias("id"), "statement", "kind", "repo", "entities", "files", "confidence", F.lit(1.0).alias("mass"), F.col("t").alias("recorded_at"), F.col("t").alias("valid_from"),
-            F.lit(None).cast("double").alias("superseded_at"), F.lit(None).cast("bigint").alias("superseded_by"), "src_session", F.lit(0).alias("corroborations"), "evidence", S.statement_hash(F.col("statement")).alias("stmt_hash"),
-        ), "fresh")
-        times = again.select(F.coalesce("id", F.lit(top) + F.col("pos")).alias("id"), "times").groupBy("id").agg(F.sum("times").alias("times"))
-        everything = materialize(ingest.corroborate(old.unionByName(fresh), times), "everything")
-        closed = truth.close(everything, self._verdicts(old, everything, fresh), float(now))
-        snapshot.publish({"facts": closed, "waiting": left}, self.root, version)
+        ranked = numbered(clean, ["t", "src_session", "chunk_no", "fact_no"], "pos", top + 1)
+        batch = ranked.withColumns({"mass": F.lit(1.0), "recorded_at": F.col("t"), "valid_from": F.col("t"), "stmt_hash": S.statement_hash(F.col("statement"))})
+        everything, fresh = upsert.facts(old, materialize(batch, "ranked"))
+        everything = materialize(everything, "everything")
+        graph = upsert.links(fresh, self.table("entities"), self.table("aliases"), self.table("links"), self.table("co_mentions"), float(now))
+        closed, edges = upsert.closures(everything, self.table("edges"), self._verdicts(old, everything, fresh), float(now))
+        read = pieces.groupBy("src_session").agg(F.max("line_offset").alias("end_offset"), F.max("t").alias("last_seen"))
+        offsets = ingest.keyed_merge(self.table("offsets"), read, ["src_session"], new_wins=True)
+        tables = {"facts": closed, "entities": graph["entities"], "aliases": self.table("aliases"), "links": graph["links"], "co_mentions": graph["edges"], "edges": edges, "offsets": offsets, "waiting": left}
+        snapshot.publish(tables, self.root, version)
         snapshot.retain(self.spark, self.root, self.keep)
 
     def _verdicts(self, old: DataFrame, everything: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -88,4 +101,4 @@ class Cycle:
         pairs = search.supersede_candidates(new, old, names, index).select(F.col("id").alias("old_id"), F.col("qid").alias("new_id"))
         side = lambda p: everything.select(F.col("id").alias(f"{p}_id"), S.prompt_side(F.col("valid_from"), F.col("evidence"), F.col("kind"), F.col("statement")).alias(f"{p}_side"))
         judged = gate(judge_pairs(pairs.join(side("old"), "old_id").join(side("new"), "new_id"), self.judge), self.least_margin)
-        return judged.where("verdict = 'supersedes'").select(F.col("old_id").alias("old"), F.col("new_id").alias("new"))
+        return judged.select(F.col("old_id").alias("old"), F.col("new_id").alias("new"), "verdict")

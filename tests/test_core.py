@@ -123,7 +123,7 @@ def test_resolution_ladder(spark):
     al = spark.createDataFrame([(1, 3, "Bee", None, 0.5), (2, 1, "bee", None, 0.9), (3, 1, "old", 5.0, 0.9), (4, 99, "ghost", None, 0.9)], "id bigint, entity_id bigint, alias string, valid_to double, confidence double")
     n = spark.createDataFrame([(" ALPHA ",), ("BEE",), ("alphab",), ("old",), ("ghost",), ("zzz",), (None,)], "name string")
     assert {(r.name, r.entity_id, r.how) for r in E.resolve(n, ent, al, prefix=True).collect()} == {(" ALPHA ", 1, "exact"), ("BEE", 1, "alias"), ("alphab", 2, "prefix")}
-    done, new = E.resolve_or_create(["alpha", "be-ta", "New Thing", "new-thing"], ent, al, 50)
+    done, new = E.resolve_or_create(spark.createDataFrame(list(enumerate(["alpha", "be-ta", "New Thing", "new-thing"])), "pos int, name string"), ent, al, 50)
     assert [(r.name, r.entity_id, r.how) for r in done.orderBy("pos").collect()] == [("alpha", 1, "exact"), ("be-ta", 3, "variant"), ("New Thing", 50, "new"), ("new-thing", 50, "new")] and new.count() == 1
 
 
@@ -223,7 +223,9 @@ def test_mining(spark):
     df = mining.document_frequency(f)
     pats = mining.rare_patterns(f, df)
     assert [(r.id, r.pattern) for r in pats.collect()] == [(3, "usual.*number3.*zebra\\.x")]
-    assert [r.matches for r in mining.narrow(pats, f, df).collect()] == [1]
+    assert [r.matches for r in mining.narrow(pats, f).collect()] == [1]
+    odd = spark.createDataFrame([(1, "("), (2, None), (3, "again.*here"), (4, "sual w"), (5, ".*")], "id int, pattern string")
+    assert {(r.id, r.matches) for r in mining.narrow(odd, f, 100).collect()} == {(3, 58), (4, 59)} and not mining.narrow(odd, f, 20).count()
     res = spark.createDataFrame([(1, 1, "Alpha beta"), (1, 6, "gamma"), (2, 1, "nope")], "qid bigint, rank int, statement string")
     probes = spark.createDataFrame([(1, "alpha.*beta", "m"), (2, "gamma", "m"), (3, "x", "n")], "qid bigint, pattern string, miner string")
     assert {tuple(r) for r in mining.hit_rates(res, probes).collect()} == {("m", 2, 1), ("n", 1, 0)}
