@@ -29,6 +29,8 @@ WORD = r"[\p{L}\p{N}]{3,}"
 MINUTE_US = 60_000_000
 #: Sessions of more turns are cut into stretches of about so many, by minutes.
 STRETCH = 2_048
+#: Up to so many minutes of long sessions are broadcast.
+BROADCAST_ROWS = 200_000
 #: A best candidate below this is no parent; the turn then begins a tree.
 LEAST_SCORE = 0.9
 #: What a change of speaker, nearness in time, mentions and words add at most, and what each turn further back takes off.
@@ -190,9 +192,13 @@ def reply_links(slim: DataFrame) -> DataFrame:
     placed = upto.withColumn("home", F.floor(F.col("begin") / STRETCH)).withColumn("before", F.min("begin").over(Window.partitionBy("src_session", "home")))
     # Any stretch that begins within LOOK_BACK turns after this minute has it as context.
     targets = F.array_union(F.array("home"), F.sequence(F.floor(F.col("upto") / STRETCH), F.floor((F.col("upto") + LOOK_BACK) / STRETCH)))
-    placed = placed.select("src_session", "minute", "home", "before", F.explode(targets).alias("stretch"))
-    rows = turns.withColumn("minute", minute).join(placed, ["src_session", "minute"], "left").drop("minute")
+    placed = materialize(placed.select("src_session", "minute", "home", "before", F.explode(targets).alias("stretch")), "stretches")
     zero = F.lit(0).cast("bigint")
+    n = placed.limit(BROADCAST_ROWS + 1).count()
+    if n:
+        rows = turns.withColumn("minute", minute).join(F.broadcast(placed) if n <= BROADCAST_ROWS else placed, ["src_session", "minute"], "left").drop("minute")
+    else:  # no session is long
+        rows = turns.withColumns({"stretch": zero, "home": zero, "before": zero})
     rows = rows.select(*turns.columns, F.coalesce("stretch", zero).alias("stretch"), F.coalesce(F.col("stretch") == F.col("home"), F.lit(True)).alias("own"), F.coalesce("before", zero).alias("before"))
     return rows.repartition("src_session", "stretch").sortWithinPartitions("src_session", "stretch", "t", "line_offset").mapInArrow(_links, LINKS)
 

@@ -6,6 +6,10 @@ it stays in its nearest cell, whole: a code of a few bytes is copied, never
 a vector. Where queries are few, they are copied instead. In a cell, asymmetric distance tables give q.c + q.r~ for each query and
 code; with the norm of what the code leaves out, that is a bound on the exact cosine.
 What passes the bound (or is among the best, for top-k) is reranked exactly.
+
+Cells grow in number with the square root of the rows, beyond some hundred thousand. How many a query of top_k searches is
+measured on the sample, by the recall asked for. In a crowd of near copies a query keeps a bounded number of candidates a cell, with
+a bound on those left out; where that bound doesn't settle the first k, they are found exactly.
 """
 
 from __future__ import annotations
@@ -18,7 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.vector import cosine_best
+from chronoweave.session import materialize
+
 CODE, QUERY = 0, 1
+#: Candidates that a query keeps in a cell when pairs above a cosine are sought.
+CROWD = 256
 
 
 @dataclass
@@ -55,12 +64,16 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spheri
     return c
 
 
-def fit(sample: np.ndarray, rows: int, rows_per_cell: int = 400, max_cells: int = 2048, probes: int = 12, part_dims: int = 4, codes: int = 256, seed: int = 11) -> Index:
+def cells_for(rows: int, rows_per_cell: int = 400, max_cells: int = 32_768) -> int:
+    """A cell for each rows_per_cell rows, and beyond twice the root of the rows that many, so that neither cells nor their rows grow in proportion."""
+    return int(np.clip(min(rows / rows_per_cell, 2 * np.sqrt(rows)), 1, max_cells))
+
+
+def fit(sample: np.ndarray, cells: int, probes: int = 12, part_dims: int = 4, codes: int = 256, seed: int = 11) -> Index:
     rng = np.random.default_rng(seed)
     x = sample.astype("float32")
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    cells = int(np.clip(rows // rows_per_cell, 1, min(max_cells, max(1, len(x) // 8))))
-    c = _kmeans(x, cells, 8, rng, spherical=True)
+    c = _kmeans(x, min(cells, max(1, len(x) // 4)), 8, rng, spherical=True)
     near = (x @ c.T).argmax(1)
     residual = x - c[near]
     dim = x.shape[1]
@@ -81,6 +94,22 @@ def fit(sample: np.ndarray, rows: int, rows_per_cell: int = 400, max_cells: int
     return Index(c, books[0], books[1], min(probes, len(c)), salts)
 
 
+def probes_for(index: Index, sample: np.ndarray, k: int, recall: float) -> int:
+    """The fewest cells a query has to search so that ``recall`` of the k nearest within the sample lie in them: measured on up to 400 rows of the sample as queries."""
+    x = sample.astype("float32")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ index.centroids.T).argmax(1)
+    q = np.arange(min(400, len(x)))
+    sim = x[q] @ x.T
+    sim[q, q] = -2
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return len(index.centroids)
+    best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+    order = np.argsort(np.argsort(-(x[q] @ index.centroids.T), axis=1), axis=1)  # the rank of each cell for each query
+    return int(np.quantile(np.take_along_axis(order, near[best], axis=1), recall, method="higher")) + 1
+
+
 def _matrix(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     ids = batch.column("id").to_numpy(zero_copy_only=False)
     lists = batch.column("vec")
@@ -160,6 +189,7 @@ def _scan(index: Index, min_cos: float | None, keep: int):
                 # table[m]: codes x queries, so that a lookup copies a row of queries
                 table = [np.ascontiguousarray((padded[:, m * width : (m + 1) * width] @ index.codebooks[m].T).T) for m in range(parts)]
                 coarse = np.ascontiguousarray((block @ cents.T).T)
+                seen: list[tuple[np.ndarray, ...]] = []
                 for b in range(0, len(owner), 8192):
                     part = slice(b, b + 8192)
                     score = coarse[place[part]]
@@ -176,13 +206,26 @@ def _scan(index: Index, min_cos: float | None, keep: int):
                         value += (index.finer[m][code2[part][x, m]] * padded[y, m * width : (m + 1) * width]).sum(1)
                     if min_cos is not None:
                         near = value >= min_cos - 1e-4 - left2[part][x]
-                        x, y, value = x[near], y[near], value[near]
-                    other, own = owner[part][x], ids[y]
-                    ok = other != own
-                    if ok.any():
-                        vec = np.ascontiguousarray(block[y[ok]])
-                        payload = pa.Array.from_buffers(pa.binary(4 * index.dim), len(vec), [None, pa.py_buffer(vec.tobytes())]).cast(pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(other[ok]), pa.array(value[ok].astype("float32")), payload], names=["query", "id", "score", "q"])
+                        x, y, value = x[near], y[near], value[near] + left2[part][x[near]]
+                    other = owner[part][x]
+                    ok = other != ids[y]
+                    seen.append((y[ok], other[ok], value[ok]))
+                y, other, value = (np.concatenate(z) for z in zip(*seen))
+                if not len(y):
+                    continue
+                # A query keeps its best over the whole cell; what a crowd leaves out is told by its greatest bound, under id -1.
+                order = np.lexsort((other, -value, y))
+                y, other, value = y[order], other[order], value[order]
+                first = np.searchsorted(y, np.arange(len(ids) + 1))
+                rank = np.arange(len(y)) - first[y]
+                most = keep if min_cos is None else CROWD
+                own = rank < most if min_cos is None else rank <= most
+                y, other, value = y[own], np.where(rank[own] < most, other[own], -1), value[own]
+                columns = [pa.array(ids[y]), pa.array(other), pa.array(value.astype("float32"))]
+                if min_cos is not None:
+                    vec = np.ascontiguousarray(block[y])
+                    columns.append(pa.Array.from_buffers(pa.binary(4 * index.dim), len(vec), [None, pa.py_buffer(vec.tobytes())]).cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["query", "id", "score", "q"][: len(columns)])
 
         for batch in batches:
             if not batch.num_rows:
@@ -225,17 +268,19 @@ def _clean(vectors: DataFrame, id_col: str, vec_col: str, copies: int | None) ->
     return usable.withColumn("h", h).join(crowds, "h", "left_anti").select("id", "vec").unionByName(ranked.distinct()), dim
 
 
-def _index_for(usable: DataFrame, dim: int, sample_rows: int, **params) -> Index | None:
-    """Fitted on the sample_rows rows of smallest hash: a bounded sample."""
+def _index_for(usable: DataFrame, dim: int, sample_rows: int, rows_per_cell: int = 400, max_cells: int = 32_768, **params) -> tuple[Index, np.ndarray] | None:
+    """The index and its sample: the rows of smallest hash, sample_rows of them, or eight a cell where there are more cells (max_cells bounds it)."""
     rows = usable.count()
     if not rows or not dim:
         return None
+    cells = cells_for(rows, rows_per_cell, max_cells)
+    sample_rows = max(sample_rows, 8 * cells)
     # About twice as many pass by their hash, so that no task sends the driver a whole sample of its own.
     part = min(1.0, 2 * sample_rows / rows)
     likely = usable.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(np.ceil(part * (1 << 20))))
     sample = likely.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample_rows).select("vec").toArrow()
     x = sample.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-    return fit(x, rows, **params)
+    return fit(x, cells, **params), x
 
 
 def _candidates(usable: DataFrame, index: Index, as_query, min_cos: float | None, keep: int) -> DataFrame:
@@ -243,7 +288,7 @@ def _candidates(usable: DataFrame, index: Index, as_query, min_cos: float | None
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     placed = usable.select("id", "vec", as_query.alias("as_query")).mapInArrow(_assign(index, min_cos is not None), "spot bigint, id bigint, payload binary")
     cells = placed.repartition(tasks, F.shiftright("spot", 1)).sortWithinPartitions("spot")
-    return cells.mapInArrow(_scan(index, min_cos, keep), "query bigint, id bigint, score float, q binary")
+    return cells.mapInArrow(_scan(index, min_cos, keep), "query bigint, id bigint, score float" + (", q binary" if min_cos is not None else ""))
 
 
 def _cosine(dim: int):
@@ -252,34 +297,46 @@ def _cosine(dim: int):
             if not batch.num_rows:
                 continue
             x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype("float64")
-            q = np.frombuffer(b"".join(batch.column("q").to_pylist()), "float32").reshape(-1, dim).astype("float64")
+            q = batch.column("q")
+            q = q.flatten().to_numpy(zero_copy_only=False) if pa.types.is_list(q.type) else np.frombuffer(b"".join(q.to_pylist()), "float32")
+            q = q.reshape(-1, dim).astype("float64")
             cos = (x * q).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(q, axis=1))
             yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("id"), pa.array(cos)], names=["query", "id", "cosine"])
 
     return run
 
 
-def top_k(vectors: DataFrame, id_col: str = "fact_id", vec_col: str = "vec", k: int = 10, queries=None, sample_rows: int = 20_000, keep: int = 100, probe_share: float = 0.3, **params) -> DataFrame:
+def top_k(
+    vectors: DataFrame, id_col: str = "fact_id", vec_col: str = "vec", k: int = 10, queries=None, sample_rows: int = 20_000, keep: int = 100, recall: float = 0.97, exact: bool = False, **params
+) -> DataFrame:
     """(query, rank, id, cosine): the k most similar others of each query vector, exact cosine, ties to the smaller id.
 
     queries: a condition on the column ``id`` that says which rows are queries (all by
-    default). The cells searched are ``probe_share`` of all; the ``keep`` best by table
+    default). As many cells are searched as give ``recall`` on the sample, all with ``exact``, when also no candidate is
+    left to the tables; else the ``keep`` best by table
     distance are reranked. Vectors that are null, all zero, not finite or of another length than
     the most frequent one take no part; an id counts once. Fewer than k others give fewer rows.
     """
     usable, dim = _clean(vectors, id_col, vec_col, None)
     usable = usable.dropDuplicates(["id"])
-    index = _index_for(usable, dim, sample_rows, **params)
-    if index is None:
-        return vectors.sparkSession.createDataFrame([], "query bigint, rank int, id bigint, cosine double")
-    index.probes = min(len(index.centroids), max(index.probes, int(probe_share * len(index.centroids))))
     as_query = queries if queries is not None else F.lit(True)
+    asked = usable.where(as_query).select(F.col("id").alias("query"), F.col("vec").alias("own"))
+    rank = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
+    if exact:
+        near = cosine_best(asked.select(F.col("query").alias("qid"), F.col("own").alias("vec")), usable.select("id", "vec", F.lit(0).alias("pool")), {0: k + 1})
+        others = near.where("id <> qid").select(F.col("qid").alias("query"), "id", F.col("sim").alias("cosine"))
+        return others.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query", "rank", "id", "cosine")
+    fitted = _index_for(usable, dim, sample_rows, **params)
+    if fitted is None:
+        return vectors.sparkSession.createDataFrame([], "query bigint, rank int, id bigint, cosine double")
+    index, sample = fitted
+    index.probes = min(len(index.centroids), max(index.probes, probes_for(index, sample, k, recall)))
     found = _candidates(usable, index, as_query, None, max(keep, k))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    near = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max(keep, k)).drop("n", "score")
-    exact = near.join(usable, "id").select("query", "id", "vec", "q").mapInArrow(_cosine(dim), "query bigint, id bigint, cosine double")
-    rank = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
-    return exact.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query", "rank", "id", "cosine")
+    near = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max(keep, k)).select("query", "id")
+    q = F.transform("own", lambda x: x.cast("float")).alias("q")
+    cosines = near.join(asked.select("query", q), "query").join(usable, "id").select("query", "id", "vec", "q").mapInArrow(_cosine(dim), "query bigint, id bigint, cosine double")
+    return cosines.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query", "rank", "id", "cosine")
 
 
 def mutual_pairs(vectors: DataFrame, id_col: str = "fact_id", vec_col: str = "vec", min_cos: float = 0.9, k: int = 10, sample_rows: int = 20_000, **params) -> DataFrame:
@@ -291,13 +348,24 @@ def mutual_pairs(vectors: DataFrame, id_col: str = "fact_id", vec_col: str = "ve
     Vectors that take no part: see top_k.
     """
     usable, dim = _clean(vectors, id_col, vec_col, k + 1)
-    index = _index_for(usable, dim, sample_rows, **params)
-    if index is None:
+    fitted = _index_for(usable, dim, sample_rows, **params)
+    if fitted is None:
         return vectors.sparkSession.createDataFrame([], "a bigint, b bigint, cosine double")
-    found = _candidates(usable, index, F.lit(True), min_cos, 0)
-    exact = found.join(usable, "id").select("query", "id", "vec", "q").mapInArrow(_cosine(dim), "query bigint, id bigint, cosine double")
+    found = materialize(_candidates(usable, fitted[0], F.lit(True), min_cos, 0), "candidates")
+    exact = found.where("id >= 0").join(usable, "id").select("query", "id", "vec", "q").mapInArrow(_cosine(dim), "query bigint, id bigint, cosine double")
+    exact = exact.where(F.col("cosine") >= min_cos)
+    # Queries in a crowd, whose k-th best isn't above all that was left out, are searched exactly.
+    left_out = found.where("id < 0").groupBy("query").agg(F.max("score").alias("bound"))
+    if left_out.limit(1).count():
+        place = Window.partitionBy("query").orderBy(F.desc("cosine"))
+        exact = materialize(exact, "reranked")
+        kth = exact.dropDuplicates(["query", "id"]).withColumn("n", F.row_number().over(place)).where(F.col("n") == k).select("query", F.col("cosine").alias("kth"))
+        unsure = materialize(left_out.join(kth, "query", "left").where(F.coalesce(F.col("kth") <= F.col("bound") + 1e-6, F.lit(True))).select(F.col("query").alias("id")), "unsure")
+        asked = usable.join(unsure, "id").select(F.col("id").alias("qid"), "vec")
+        near = cosine_best(asked, usable.select("id", "vec", F.lit(0).alias("pool")), {0: k + 1}).where(F.col("sim") >= min_cos).where("qid <> id")
+        exact = exact.unionByName(near.select(F.col("qid").alias("query"), "id", F.col("sim").alias("cosine")))
     # A pair may be found from either end, and in more than one cell.
-    pairs = exact.where(F.col("cosine") >= min_cos).groupBy(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b")).agg(F.max("cosine").alias("cosine"))
+    pairs = exact.groupBy(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b")).agg(F.max("cosine").alias("cosine"))
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "cosine").select("p.*", "cosine")
     rank = Window.partitionBy("x").orderBy(F.desc("cosine"), "y")
     top = both.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
