@@ -80,6 +80,14 @@ def _bucket(versions: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"event_id": joined["event_id"].astype("int64"), "version_id": joined["version_id"].astype("Int64")})
 
 
+def _dyadic(low: str, end: str, slices: int) -> str:
+    """SQL for the disjoint intervals [at * 2^level, (at + 1) * 2^level) that make up [low, end), two a level at most."""
+    lo, hi = f"shiftright({low} + shiftleft(1, j) - 1, j)", f"shiftright({end}, j)"
+    left = f"CASE WHEN {lo} % 2 = 1 AND {lo} < {hi} THEN struct(j AS level, {lo} AS at) END"
+    right = f"CASE WHEN {hi} % 2 = 1 AND {lo} < {hi} THEN struct(j AS level, {hi} - 1 AS at) END"
+    return f"filter(flatten(transform(sequence(0, {slices.bit_length()}), j -> array({left}, {right}))), x -> x IS NOT NULL)"
+
+
 def as_known_at(
     events: DataFrame,
     versions: DataFrame,
@@ -139,8 +147,10 @@ def as_known_at(
             "b": F.when(F.col("bounds").isNotNull(), place(F.col("e"))).otherwise(0),
         }).drop("bounds")
         ends = ver.withColumn("slice", F.explode(F.array_distinct(F.array("a", "b")))).drop("a", "b")
-        filling = ver.where("b > a + 1").withColumn("slice", F.explode(F.expr("sequence(a + 1, b - 1)")))
-        best = filling.groupBy("k", "slice").agg(F.max(F.struct("vf", "ra", "vid")).alias("x"))
+        # The slices between are covered by intervals of a power of two of slices, sixteen at most; the best of each interval, one row, then goes to its slices.
+        filling = ver.where("b > a + 1").withColumn("n", F.explode(F.expr(_dyadic("a + 1", "b", slices))))
+        inside = filling.groupBy("k", "n").agg(F.max(F.struct("vf", "ra", "vid")).alias("x")).withColumn("slice", F.explode(F.expr("sequence(shiftleft(n.at, n.level), shiftleft(n.at + 1, n.level) - 1)")))
+        best = inside.groupBy("k", "slice").agg(F.max("x").alias("x"))
         best = best.select(F.col("x.vid").alias("vid"), "k", F.col("x.vf").alias("vf"), F.col("x.ra").alias("ra"), F.lit(float("inf")).alias("e"), F.lit(float("-inf")).alias("s"), "slice")
         ver = ends.unionByName(best)
     else:

@@ -25,6 +25,8 @@ SCHEMA = (
 )
 
 WHITE, GREY, BLACK = 0, 1, 2
+#: Path nodes that a task holds before it passes its rows on, beside one component.
+HELD_NODES = 500_000
 
 
 def _nodes(links: DataFrame, id_col: str, parent_col: str) -> DataFrame:
@@ -139,7 +141,7 @@ def _walk(node: np.ndarray, parent: list, dangling: np.ndarray) -> dict[str, lis
 def _traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by comp; a component that a batch cuts is carried into the next."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    def run(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
         comp = part["comp"].to_numpy()
         cuts = np.flatnonzero(np.diff(comp)) + 1
         bounds = [0, *cuts.tolist(), len(part)]
@@ -147,13 +149,17 @@ def _traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parents = [None if top else p for p, top in zip(part["parent"].tolist(), part["top"].tolist())]
         dangling = part["dangling"].to_numpy(bool)
         out: dict[str, list] = {}
+        held = 0
         for a, b in zip(bounds, bounds[1:]):
             for k, v in _walk(node[a:b], parents[a:b], dangling[a:b]).items():
                 out.setdefault(k, []).extend(v)
-        frame = pd.DataFrame(out)
-        for c in ("parent", "back_edge_to"):
-            frame[c] = frame[c].astype("Int64")
-        return frame
+            held += b - a + sum(out["depth"][-(b - a) :])
+            if held > HELD_NODES or b == bounds[-1]:  # paths take the most room, so few components go out together
+                frame = pd.DataFrame(out)
+                for c in ("parent", "back_edge_to"):
+                    frame[c] = frame[c].astype("Int64")
+                yield frame
+                out, held = {}, 0
 
     kept: list[pd.DataFrame] = []
     for batch in batches:
@@ -162,14 +168,14 @@ def _traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         comp = batch["comp"].to_numpy()
         head = int(np.searchsorted(comp != comp[-1], False)) if comp[0] == comp[-1] else int(np.flatnonzero(comp != comp[-1])[-1] + 1)
         if head:
-            yield run(pd.concat([*kept, batch.iloc[:head]], ignore_index=True))
+            yield from run(pd.concat([*kept, batch.iloc[:head]], ignore_index=True))
             kept = []
         elif kept and kept[-1]["comp"].iloc[-1] != comp[0]:
-            yield run(pd.concat(kept, ignore_index=True))
+            yield from run(pd.concat(kept, ignore_index=True))
             kept = []
         kept.append(batch.iloc[head:])
     if kept:
-        yield run(pd.concat(kept, ignore_index=True))
+        yield from run(pd.concat(kept, ignore_index=True))
 
 
 def _large(rows: DataFrame) -> DataFrame:
@@ -212,7 +218,7 @@ def descendant_pairs(tree: DataFrame) -> DataFrame:
     return pairs.unionByName(around).distinct()
 
 
-def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent", max_component: int = 5_000) -> DataFrame:
+def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent", max_component: int = 1_000) -> DataFrame:
     """One row a node: its parent, root, depth, path from the root, descendants, and where a loop closes.
 
     Repeated rows count once (of differing parents the smallest); null ids are
@@ -229,7 +235,7 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent",
     return walked.unionByName(large) if large is not None else walked
 
 
-def hierarchy_blocks(links: DataFrame, id_col: str = "id", parent_col: str = "parent", max_component: int = 5_000) -> DataFrame:
+def hierarchy_blocks(links: DataFrame, id_col: str = "id", parent_col: str = "parent", max_component: int = 1_000) -> DataFrame:
     """hierarchy with all descendants of every node, at every size: one row a node and ``block``, ``descendants`` never null.
 
     A node of at most ``max_component`` descendants has one row, block 0. One of more has them spread by hash over

@@ -1,4 +1,4 @@
-"""Lexical ranking: postings once, BM25 for any number of queries in one join."""
+"""Lexical ranking by stems and phrases: postings once, BM25 for any number of queries."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.functions.porter import stem
 from chronoweave.session import materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -19,50 +21,84 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BLOCK_QUERIES, BLOCK_DOCUMENTS = 20_000, 20_000
 
 
-def terms(c: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+def words(c: Column) -> Column:
+    """Lower-case runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def _stemmed(c: Column) -> Column:
+    """The stems of the words of a text, in order; equal words are stemmed once a task."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            yield pd.Series([None if t is None else [stem(w) for w in t] for t in lists])
+
+    return F.pandas_udf(run, "array<string>")(words(c))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(qid, terms) of queries(qid, q): a term for each blank-separated token; one of several words is a phrase, its stems joined by blanks."""
+    each = queries.select("qid", F.explode(F.split("q", r"\s+")).alias("token")).select("qid", F.array_join(_stemmed(F.col("token")), " ").alias("term")).where("term <> ''")
+    return each.groupBy("qid").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
 @dataclass
 class LexicalIndex:
     postings: DataFrame  # id, term, weight (idf * saturation, the term's part of the score)
+    sequences: DataFrame  # id, dl, texts (array of struct: words in order, w)
+    n: int
+    avgdl: float
 
     @cached_property
     def documents(self) -> DataFrame:
         """(id, terms, weights): a row a document."""
-        rows = self.postings.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("p"))
+        rows = self.postings.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("p"))
         return materialize(rows.select("id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights")), "documents")
 
+    def weigh(self, tf: DataFrame) -> DataFrame:
+        """(id, term, weight) of tf(id, dl, term, tf)."""
+        idf = F.greatest(F.log((self.n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+        scored = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf)
+        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / self.avgdl))
+        return tf.join(scored, "term").select("id", "term", part.alias("weight"))
+
+    def phrases(self, asked: DataFrame) -> DataFrame | None:
+        """(id, term, weight) of the phrases in asked(qid, terms): where their stems follow each other in one text. None if there are none."""
+        said = materialize(asked.select(F.explode("terms").alias("term")).where(F.instr("term", " ") > 0).distinct(), "phrases")
+        lengths = sorted(r["n"] for r in said.select((F.size(F.split("term", " "))).alias("n")).distinct().collect())  # few
+        if not lengths:
+            return None
+        grams = F.flatten(F.array(*[_ngrams("x.words", n) for n in lengths]))
+        each = self.sequences.select("id", "dl", F.explode("texts").alias("x")).select("id", "dl", F.explode(grams).alias("term"), F.col("x.w").alias("w")).join(said, "term")
+        return self.weigh(each.groupBy("id", "dl", "term").agg(F.sum("w").alias("tf")))
+
 
-def _weighted(w: float):
-    return lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
+def _ngrams(c: str, n: int) -> Column:
+    return F.expr(f"CASE WHEN size({c}) >= {n} THEN transform(sequence(1, size({c}) - {n - 1}), i -> array_join(slice({c}, i, {n}), ' ')) ELSE array() END")
 
 
 def build(df: DataFrame, id_col: str, columns: dict[str, float]) -> LexicalIndex:
-    """Index df's text columns, each with its weight. Statistics cover all rows, whatever a search filters later.
+    """Index df's text columns, each with its weight, by Porter stems. Statistics cover all rows, whatever a search filters later.
 
     A posting holds its final share of the score, so that a query only adds up.
     Null texts count as empty; repeated ids must be removed before.
     """
-    docs = df.select(F.col(id_col).alias("id"), *[F.coalesce(terms(F.col(c)), F.array().cast("array<string>")).alias(f"t{i}") for i, c in enumerate(columns)])
-    names = [f"t{i}" for i in range(len(columns))]
-    stats = docs.select(F.count("*").alias("n"), F.avg(sum((F.size(c) for c in names), F.lit(0))).alias("avgdl")).first()  # one row
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    weigh = [F.transform(c, _weighted(float(w))) for c, w in zip(names, columns.values())]
-    each = docs.select("id", sum((F.size(c) for c in names), F.lit(0)).alias("dl"), F.explode(F.concat(*weigh)).alias("x"))
-    tf = each.groupBy("id", "dl", "x.term").agg(F.sum("x.w").alias("tf"))
-    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    scored = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf)
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return LexicalIndex(materialize(tf.join(scored, "term").select("id", "term", part.alias("weight")), "postings"))
+    texts = F.array(*[F.struct(F.coalesce(_stemmed(F.col(c)), F.array().cast("array<string>")).alias("words"), F.lit(float(w)).alias("w")) for c, w in columns.items()])
+    docs = materialize(df.select(F.col(id_col).alias("id"), texts.alias("texts")).withColumn("dl", F.aggregate("texts", F.lit(0), lambda a, x: a + F.size(x["words"]))), "sequences")
+    stats = docs.select(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()  # one row
+    index = LexicalIndex(None, docs, stats["n"], stats["avgdl"] or 1.0)
+    each = docs.select("id", "dl", F.explode("texts").alias("x")).select("id", "dl", F.explode("x.words").alias("term"), F.col("x.w").alias("w"))
+    index.postings = materialize(index.weigh(each.groupBy("id", "dl", "term").agg(F.sum("w").alias("tf"))), "postings")
+    return index
 
 
 def scores(index: LexicalIndex, queries: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(qid, id, bm25) of all matches for queries(qid, q), or of the ids in ``only``. Scores are rounded to nine places, for ties."""
-    asked = queries.select("qid", F.explode(F.array_distinct(terms("q"))).alias("term"))
-    found = index.postings if only is None else index.postings.join(only.select("id"), "id", "left_semi")
-    return asked.join(found, "term").groupBy("qid", "id").agg(F.round(F.sum("weight"), 9).alias("bm25"))
+    asked = materialize(query_terms(queries), "asked")
+    phrases = index.phrases(asked)
+    found = index.postings if phrases is None else index.postings.unionByName(phrases)
+    found = found if only is None else found.join(only.select("id"), "id", "left_semi")
+    return asked.select("qid", F.explode("terms").alias("term")).join(found, "term").groupBy("qid", "id").agg(F.round(F.sum("weight"), 9).alias("bm25"))
 
 
 def top(scored: DataFrame, k: int, by: str = "bm25") -> DataFrame:
@@ -78,8 +114,12 @@ def best(index: LexicalIndex, queries: DataFrame, pools: DataFrame, keep: dict[i
     shuffled is bounded by queries x keep x partitions, however common a term is. Ties go to the smaller id.
     """
     spark = queries.sparkSession
-    asked = queries.select("qid", F.array_distinct(terms("q")).alias("terms")).where(F.size("terms") > 0)
+    asked = materialize(query_terms(queries), "asked")
     docs = index.documents.join(pools, "id")
+    if (phrases := index.phrases(asked)) is not None:
+        more = phrases.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("p"))
+        both = lambda c, f: F.when(F.col("p").isNull(), F.col(c)).otherwise(F.concat(c, F.col(f"p.{f}"))).alias(c)
+        docs = docs.join(more, "id", "left").select("id", "pool", both("terms", "term"), both("weights", "weight"))
     out = spark.createDataFrame([], "qid bigint, pool int, id bigint, bm25 double")
     for block in query_blocks(asked, BLOCK_QUERIES):
         out = out.unionByName(docs.mapInArrow(_scorer(spark.sparkContext.broadcast(_grouped(block)), keep), "qid bigint, pool int, id bigint, bm25 double"))  # at most BLOCK_QUERIES queries

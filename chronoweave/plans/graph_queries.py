@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as S
+from chronoweave.functions.porter import stems_sql
 from chronoweave.operators import entities as E
 from chronoweave.operators import graph, ingest, lexical, metrics, mining, search, temporal, topics, truth, vector
 from chronoweave.plans.core_queries import _TRACE, AS_OF_SQL, DATE, EDGES, FACTS, LINKS, NOW_SQL, VISIBLE, _edges, _facts, _links, mass_sql
@@ -50,12 +51,27 @@ _DFREQ = "dq AS (SELECT token, count(*) AS df FROM (SELECT id, unnest(list_disti
 _RARE = f"""{_DFREQ}, ps AS (SELECT id, t, i, lower(t) AS token FROM (SELECT id, unnest(r) AS t, generate_subscripts(r, 1) AS i FROM (SELECT id, regexp_extract_all(statement, '[A-Za-z0-9_.-]{{2,}}') AS r FROM f)) WHERE octet_length(encode(t)) >= 4 AND lower(t) NOT IN ({_STOPS})),
 pu AS (SELECT id, token, min(i) AS i, arg_min(t, i) AS t FROM ps GROUP BY 1, 2), pr AS (SELECT pu.*, df, row_number() OVER (PARTITION BY id ORDER BY df, i) AS rn FROM pu JOIN dq USING (token)),
 rp AS (SELECT id, string_agg(replace(t, '.', '\\.'), '.*' ORDER BY i) AS pattern FROM pr WHERE rn <= 3 GROUP BY 1 HAVING min(df) <= 40 AND count(*) >= 2)"""
-_BM25 = f"""tk AS (SELECT id, 2e0 AS w, unnest(regexp_extract_all(lower(statement), '[a-z0-9]+')) AS term FROM f UNION ALL SELECT id, 1e0, unnest(regexp_extract_all(lower(array_to_string(entities, ' ')), '[a-z0-9]+')) FROM f),
-dl AS (SELECT f.id, count(tk.term) AS dl FROM f LEFT JOIN tk ON tk.id = f.id GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-tf AS (SELECT id, term, sum(w) AS tf FROM tk GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-qterm AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(q), '[a-z0-9]+')) AS term FROM q),
-bm AS (SELECT qid, tf.id, round(sum(greatest(ln((st.n - df.df + 0.5e0) / (df.df + 0.5e0)), 1e-6) * tf.tf * 2.2e0 / (tf.tf + 1.2e0 * (0.25e0 + 0.75e0 * dl.dl / st.avgdl))), 9) AS bm25
-  FROM qterm JOIN tf USING (term) JOIN df USING (term) JOIN dl ON dl.id = tf.id, st GROUP BY 1, 2)"""
+def _bm25_sql(statement: float = 2, names: bool = True, pre: str = "", text: str = "statement", out: str = "bm", asked: bool = True) -> str:
+    """CTEs that end in {out}(qid, id, bm25): a query's tokens are stems, or phrases of stems, each counted by text and weight."""
+    other = " UNION ALL SELECT id, 2, 1e0, regexp_extract_all(lower(array_to_string(entities, ' ')), '[\\p{L}\\p{N}]+') FROM f" if names else ""
+    rows = "" if text == "statement" else f" WHERE {text} IS NOT NULL"
+    question = """qtok AS (SELECT DISTINCT qid, unnest(string_split(q, ' ')) AS token FROM q), qwl AS (SELECT qid, token, regexp_extract_all(lower(token), '[\\p{L}\\p{N}]+') AS ws FROM qtok),
+qws AS (SELECT DISTINCT token, unnest(ws) AS term, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM qwl),
+""" if asked else ""
+    phrase = """qst AS (SELECT token, n, i, stem FROM qws JOIN st USING (term)), qit AS (SELECT token, n, string_agg(stem, ' ' ORDER BY i) AS item FROM qst GROUP BY 1, 2), qitem AS (SELECT DISTINCT qid, item FROM qtok JOIN qit USING (token)), ii AS (SELECT DISTINCT item, string_split(item, ' ') AS ss FROM qit), iw AS (SELECT item, unnest(ss) AS stem, generate_subscripts(ss, 1) AS i, len(ss) AS n FROM ii),
+""" if asked else ""
+    words = f"SELECT id, 1 AS c, {statement}e0 AS w, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS ws FROM f{rows}{other}"
+    vocabulary = f"{pre}vo AS (SELECT DISTINCT term FROM {pre}po" + (" UNION SELECT term FROM qws" if asked else "") + ")"
+    stems = stems_sql(f"{pre}vo", f"{pre}st")
+    return question + f"""{pre}tl AS ({words}), {pre}po AS (SELECT id, c, w, unnest(ws) AS term, generate_subscripts(ws, 1) AS pos FROM {pre}tl), {vocabulary}, {stems},
+{phrase}{pre}sq AS (SELECT id, c, w, pos, stem FROM {pre}po JOIN {pre}st USING (term)), {pre}dl AS (SELECT id, sum(len(ws)) AS dl FROM {pre}tl GROUP BY 1), {pre}sn AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM {pre}dl),
+{pre}oc AS (SELECT iw.item, sq.id, sq.c, sq.w, sq.pos - iw.i AS start FROM iw JOIN {pre}sq sq ON sq.stem = iw.stem GROUP BY 1, 2, 3, 4, 5, iw.n HAVING count(*) = iw.n),
+{pre}tf AS (SELECT id, item, sum(w) AS tf FROM {pre}oc GROUP BY 1, 2), {pre}df AS (SELECT item, count(*) AS df FROM {pre}tf GROUP BY 1),
+{out} AS (SELECT qid, tf.id, round(sum(greatest(ln((sn.n - df.df + 0.5e0) / (df.df + 0.5e0)), 1e-6) * tf.tf * 2.2e0 / (tf.tf + 1.2e0 * (0.25e0 + 0.75e0 * dl.dl / sn.avgdl))), 9) AS bm25
+  FROM qitem JOIN {pre}tf tf USING (item) JOIN {pre}df df USING (item) JOIN {pre}dl dl ON dl.id = tf.id, {pre}sn sn GROUP BY 1, 2)"""
+
+
+_BM25 = _bm25_sql()
 _VECS = """vd AS (SELECT len(vec) AS d FROM (SELECT DISTINCT ON (fact_id) vec FROM fact_vecs WHERE vec IS NOT NULL) GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1),
 vx AS (SELECT DISTINCT ON (fact_id) fact_id AS id, CAST(vec AS DOUBLE[]) AS vec FROM fact_vecs WHERE len(vec) = (SELECT d FROM vd) AND list_max(list_transform(vec, lambda x: abs(x))) > 0)"""
 _SCORE = """1e0 * coalesce(1e0 / (60 + lex_rank), 0e0) + coalesce(1.2e0 / (60 + cos_rank), 0e0) + coalesce(CASE WHEN cos_rank IS NOT NULL THEN 0.004e0 * sim END, 0e0)
@@ -104,10 +120,8 @@ def _hits(spark, d, as_of):
 _HIST, _CURR = S.HISTORICAL, S.CURRENT
 
 
-_PARA = """pt AS (SELECT id, unnest(regexp_extract_all(lower(quote), '[a-z0-9]+')) AS term FROM f WHERE quote IS NOT NULL), pl AS (SELECT f.id, count(pt.term) AS dl FROM f LEFT JOIN pt ON pt.id = f.id WHERE quote IS NOT NULL GROUP BY 1), pn AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM pl),
-pf AS (SELECT id, term, count(*) * 1e0 AS tf FROM pt GROUP BY 1, 2), pd AS (SELECT term, count(*) AS df FROM pf GROUP BY 1),
-ps AS (SELECT qid, pf.id, round(sum(greatest(ln((pn.n - pd.df + 0.5e0) / (pd.df + 0.5e0)), 1e-6) * pf.tf * 2.2e0 / (pf.tf + 1.2e0 * (0.25e0 + 0.75e0 * pl.dl / pn.avgdl))), 9) AS bm FROM qterm JOIN pf USING (term) JOIN pd USING (term) JOIN pl ON pl.id = pf.id, pn GROUP BY 1, 2),
-pa AS (SELECT * FROM (SELECT qid, ps.id, row_number() OVER (PARTITION BY qid ORDER BY bm DESC, ps.id) - 1 AS para_rank FROM ps JOIN f ON f.id = ps.id AND f.superseded_at IS NULL) WHERE para_rank < 60),
+_PARA = _bm25_sql(1, False, "p", "quote", "pb", False) + """,
+pa AS (SELECT * FROM (SELECT qid, pb.id, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, pb.id) - 1 AS para_rank FROM pb JOIN f ON f.id = pb.id AND f.superseded_at IS NULL) WHERE para_rank < 60),
 j0 AS (SELECT coalesce(ja.qid, pa.qid) AS qid, coalesce(ja.id, pa.id) AS id, lex_rank, cos_rank, sim, para_rank FROM ja FULL JOIN pa ON ja.qid = pa.qid AND ja.id = pa.id),"""
 
 
@@ -172,7 +186,7 @@ def similar_questions(spark, d):
     return mining.similar_questions(t.select(F.col("id").alias("qid"), "q"), t)
 
 
-@query(f"""WITH {FACTS}, {LINKS}, {_ASK}, {_BM25.replace('2e0 AS w', '1e0 AS w')}, s AS (SELECT bm.qid, bm.id, bm25 FROM bm JOIN f a ON a.id = bm.qid JOIN f b ON b.id = bm.id AND b.superseded_at IS NULL AND b.kind = a.kind WHERE bm.qid <> bm.id
+@query(f"""WITH {FACTS}, {LINKS}, {_ASK}, {_bm25_sql(1)}, s AS (SELECT bm.qid, bm.id, bm25 FROM bm JOIN f a ON a.id = bm.qid JOIN f b ON b.id = bm.id AND b.superseded_at IS NULL AND b.kind = a.kind WHERE bm.qid <> bm.id
 AND (coalesce(a.repo = b.repo, false) OR EXISTS (SELECT 1 FROM fe x JOIN fe y ON x.entity_id = y.entity_id WHERE x.fact_id = bm.qid AND y.fact_id = bm.id)))
 SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id) - 1 AS rank FROM s) WHERE rank < 3""")
 def supersede_candidates(spark, d):
