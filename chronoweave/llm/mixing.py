@@ -67,17 +67,18 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
     take = np.floor(counts * share).astype("int64")
     rest = budget - int((lengths * take).sum())
     order = np.random.default_rng(seed).permutation(len(lengths))
+    for i in np.argsort(-lengths, kind="stable"):  # items longer than the exact part's range fill what they can, the longest first
+        if lengths[i] <= exact_below // 2:
+            break
+        more = min(int(counts[i] - take[i]), rest // int(lengths[i]))
+        take[i] += more
+        rest -= more * int(lengths[i])
     for i in order:  # towards the range of the exact part
         if rest <= exact_below:
             break
         more = min(int(counts[i] - take[i]), max(0, (rest - exact_below // 2) // int(lengths[i])))
         take[i] += more
         rest -= more * int(lengths[i])
-    if rest > 4 * exact_below:  # only items longer than the exact part's range are left to fill it: the longest that fit come first
-        for i in np.argsort(-lengths, kind="stable"):
-            more = min(int(counts[i] - take[i]), rest // int(lengths[i]))
-            take[i] += more
-            rest -= more * int(lengths[i])
     size = int(min(rest, exact_below * 4))
     reached = np.zeros(size + 1, bool)
     reached[0] = True

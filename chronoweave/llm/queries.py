@@ -71,6 +71,14 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).select("chunk_id", "end_offset", "piece_no", "n_pieces", "start_byte", "end_byte", "overlap_bytes", "start_char", "piece")
 
 
+def p7_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of each chunk without their overlap, joined again: a hash of the text, and whether every piece is within the limit."""
+    body = F.expr("substring(encode(piece, 'UTF-8'), overlap_bytes + 1)")
+    rows = _pieces(spark, d).select("chunk_id", "piece_no", body.alias("body"), (F.octet_length("piece") <= 6000).alias("fits"))
+    whole = rows.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("piece_no", "body"))).alias("x"), F.bool_and("fits").alias("fits"))
+    return whole.select("chunk_id", F.md5(F.aggregate("x", F.lit(b""), lambda a, y: F.concat(a, y["body"]))).alias("hash"), "fits")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -109,4 +117,4 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_links, p4_turns, p6_found, p6_top, p7_found, p7_pieces, p8_found, p8_report, p9_mix, p9_report, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_links, p4_turns, p6_found, p6_top, p7_found, p7_pieces, p7_joined, p8_found, p8_report, p9_mix, p9_report, p10_found, p10_composition)}

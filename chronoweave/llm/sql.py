@@ -50,5 +50,6 @@ SQL = {
     "p4_links": _LINKS,
     "p6_found": " UNION ALL ".join(_PAIRS.replace("{t}", t) for t in ("fact_vecs", "fact_vecs_local")),
     "p4_found": _SESSIONS,
+    "p7_joined": "SELECT chunk_id, md5(text) AS hash, true AS fits FROM chunks WHERE length(text) > 0",
     "p7_found": "SELECT chunk_id FROM chunks WHERE octet_length(encode(text)) > 6000",
 }

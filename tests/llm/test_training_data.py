@@ -423,7 +423,7 @@ def test_fit_budget_is_exact(seed):
     assert list(small) == [0, 1]
     assert list(mixing.fit_budget(np.array([150_000]), np.array([1]), 149_999)) == [0]
     assert list(mixing.fit_budget(np.array([150_000]), np.array([3]), 310_000)) == [2]
-    assert list(mixing.fit_budget(np.array([7, 150_000, 400_000]), np.array([4, 3, 2]), 560_021)) == [3, 1, 1]
+    assert list(mixing.fit_budget(np.array([7, 150_000, 400_000]), np.array([4, 3, 2]), 560_021)) == [4, 1, 1]
 
 
 def test_mix_reaches_shares_and_caps(spark):
