@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronoweave.functions import scalars as S
 from chronoweave.operators import entities as E
 from chronoweave.operators import graph, lexical, metrics, search, temporal, topics, vector
-from chronoweave.protocols import Reasoner, ask
+from chronoweave.protocols import Reasoner, ask, ask_local
 from chronoweave.session import materialize
 from chronoweave.sources import adapters as A
 
@@ -72,8 +72,9 @@ class FactGraph:
     def fact(self, fact_id: int) -> DataFrame:
         """A fact with what replaced it and what it replaced."""
         f = self.facts.where(F.col("id") == fact_id)
-        old = self.facts.where(F.col("superseded_by") == fact_id).agg(F.sort_array(F.collect_list("id")).alias("supersedes"))
-        return search.fact_out(f, self.now).join(f.select("id", "superseded_by", "superseded_at", "evidence"), "id").join(old)
+        old = self.facts.where(F.col("superseded_by") == fact_id).groupBy(F.col("superseded_by").alias("id")).agg(F.sort_array(F.collect_list("id")).alias("supersedes"))
+        rows = search.fact_out(f, self.now).join(f.select("id", "superseded_by", "superseded_at", "evidence"), "id").join(old, "id", "left")
+        return rows.withColumn("supersedes", F.coalesce("supersedes", F.array().cast("array<bigint>")))
 
     def graph(self, entity_id: int, hops: int = 2, limit: int = 200) -> DataFrame:
         return graph.traverse(entity_id, graph.link_stream(A.triples(self.spark, self.sf_dir), E.neighbours(self.edges)), hops, 20, limit)
@@ -85,18 +86,42 @@ class FactGraph:
     def narrative(self, repo: str) -> DataFrame:
         return topics.evidence(self.facts.where(F.col("repo") == repo))
 
-    def ask(self, question: str, reasoner: Reasoner) -> dict:
-        """The reasoner's answer over search, with its confidence, abstaining below the threshold."""
-        tops: list[float] = []
-        seen: dict[int, tuple] = {}
+    def tools(self, tops: list[float], seen: dict[int, tuple], k: int = 8) -> dict:
+        """What a reasoner may call, each with one argument: search, entity, graph and metric. Best scores and facts met are collected."""
 
-        def run(text: str) -> list[str]:
-            hits = self.query(text).collect()
+        def run(text: str, k: int = k) -> list[str]:
+            hits = self.query(text, k=k).collect()
             tops.append(round(hits[0]["score"], 3) if hits else 0.0)
             seen.update({h["id"]: h for h in hits})
             return [f"[{h['id']}] {h['statement']}" for h in hits]
 
-        out = ask(question, reasoner, {"search": run})
+        def entity(name: str) -> list[str]:
+            views = self.entity(name)
+            facts = views["facts"].collect()
+            seen.update({r["fact_id"]: r for r in facts})
+            return [f"[{r['fact_id']}] {r['statement']}" for r in facts] + [f"mentioned with {r['other']} ({r['count']})" for r in views["co_mentions"].collect()]
+
+        def relations(name: str) -> list[str]:
+            who = E.resolve(self.spark.createDataFrame([(name,)], "name string"), self.table("entities"), self.table("entity_aliases"), prefix=True).first()
+            if who is None:
+                raise LookupError(f"{name} is unknown")
+            return [f"{r['id']} {r['predicate']} {r['other']}" for r in self.graph(who["entity_id"]).collect()]
+
+        def metric(name: str) -> list[str]:
+            return [" ".join(map(str, r)) for r in self.metrics(name).limit(40).collect()]
+
+        return {"search": run, "entity": entity, "graph": relations, "metric": metric}
+
+    def ask(self, question: str, reasoner: Reasoner, local: bool = False) -> dict:
+        """The reasoner's answer over the tools, with its confidence, abstaining below the threshold. ``local``: by one plan, widened if retrieval is weak."""
+        tops: list[float] = []
+        seen: dict[int, tuple] = {}
+        tools = self.tools(tops, seen)
+        if local:
+            strength = lambda: sum(min(t / 0.03, 1.0) for t in tops) / len(tops) if tops else 0.0
+            out = ask_local(question, reasoner, tools, strength, lambda q: tools["search"](q, 20))
+        else:
+            out = ask(question, reasoner, tools)
         row = self.spark.createDataFrame([(out["answer"], tops)], "answer string, tops array<double>")
         cited = [i for i in row.select(S.citations(F.col("answer"))).first()[0] if i in seen]
         rows = self.facts.where(F.col("id").isin(cited or [-1])).join(search.live_contradictions(self.facts, self.table("edges")), "id", "left")

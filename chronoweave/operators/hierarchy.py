@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.session import materialize
+from chronoweave.session import drop, materialize
 
 SCHEMA = (
     "node bigint, parent bigint, root bigint, depth int, path array<bigint>, descendants array<bigint>, "
@@ -57,7 +57,8 @@ def component_labels(nodes: DataFrame) -> DataFrame:
     while waiting:
         target = jumps.select(F.col("node").alias("f"), F.col("f").alias("ff"), F.col("done").alias("arrived"))
         open_ = jumps.where(~F.col("done")).join(target, "f").select("node", F.col("ff").alias("f"), F.col("arrived").alias("done"))
-        jumps = materialize(jumps.where("done").unionByName(open_), f"jump{rounds + 1}")
+        old, jumps = jumps, materialize(jumps.where("done").unionByName(open_), f"jump{rounds + 1}")
+        drop(old)
         now = jumps.where(~F.col("done")).count()
         rounds += 1
         if now == waiting:
@@ -71,7 +72,8 @@ def component_labels(nodes: DataFrame) -> DataFrame:
     steps = 1
     while steps < waiting:
         t = walk.select(F.col("node").alias("f"), F.col("f").alias("ff"), F.col("low").alias("flow"))
-        walk = materialize(walk.join(t, "f").select("node", F.col("ff").alias("f"), F.least("low", "flow").alias("low")), f"loop{steps}")
+        old, walk = walk, materialize(walk.join(t, "f").select("node", F.col("ff").alias("f"), F.least("low", "flow").alias("low")), f"loop{steps}")
+        drop(old)
         steps *= 2
     lows = walk.select(F.col("node").alias("f"), F.col("low").alias("comp"))
     looped = walk.select("node", "f").join(lows, "f").select("node", "comp")
@@ -188,7 +190,8 @@ def _large(rows: DataFrame) -> DataFrame:
     while state.where(F.col("at").isNotNull()).limit(1).count():
         t = state.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("path").alias("above"))
         open_ = state.where(F.col("at").isNotNull()).join(t, "at").select("node", F.col("next").alias("at"), F.concat("above", "path").alias("path"))
-        state = materialize(state.where(F.col("at").isNull()).unionByName(open_), f"large{k}")
+        old, state = state, materialize(state.where(F.col("at").isNull()).unionByName(open_), f"large{k}")
+        drop(old)
         k += 1
     # The ring: follow the parent of comp, whose path runs down from comp around the loop.
     tops = rows.where((F.col("node") == F.col("comp")) & F.col("parent").isNotNull()).select("comp", F.col("parent").alias("node"))

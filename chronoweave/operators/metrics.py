@@ -110,6 +110,12 @@ def recall_at(results: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame
     return per.agg(F.count("*").alias("queries"), F.round(F.avg("r"), 6).alias("recall"), F.round(F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)), 6).alias("hit_rate"))
 
 
+def recall_of(hits: DataFrame, relevant: DataFrame) -> DataFrame:
+    """recall_at where the relevant ids of a query are too many to list: from hits(qid, id), the relevant ones among the first k, and relevant(qid, n), how many there are."""
+    per = relevant.join(hits.distinct().groupBy("qid").agg(F.count("*").alias("h")), "qid", "left").select((F.coalesce("h", F.lit(0)) / F.col("n")).alias("r"))
+    return per.agg(F.count("*").alias("queries"), F.round(F.avg("r"), 6).alias("recall"), F.round(F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)), 6).alias("hit_rate"))
+
+
 def first_appearance(seen: DataFrame, cap: int = 15) -> DataFrame:
     """(qid, id, score, pos): each fact a question met once, the best first, equals by first appearance, at most cap; from seen(qid, pos, id, score)."""
     once = seen.groupBy("qid", "id").agg(F.max("score").alias("score"), F.min("pos").alias("pos"))

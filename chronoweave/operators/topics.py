@@ -48,11 +48,11 @@ def kmeans(vectors: DataFrame, k: int, rounds: int = 12) -> DataFrame:
                     count += np.bincount(near, minlength=len(c))
             yield pd.DataFrame({"cluster": np.arange(len(c), dtype="int32"), "n": count, "total": list(total)})
 
-        parts = v.mapInPandas(sums, "cluster int, n bigint, total array<double>").toPandas()  # k rows a partition
+        parts = v.mapInPandas(sums, "cluster int, n bigint, total array<double>").where("n > 0").select("cluster", "n", F.posexplode("total").alias("place", "x"))
+        # Summed in Spark in an order of their own, so that no sum depends on the partitions' order; k x dimensions rows come to the driver.
+        whole = parts.groupBy("cluster", "place").agg(F.sum("n").alias("n"), F.aggregate(F.sort_array(F.collect_list("x")), F.lit(0.0), lambda a, y: a + y).alias("x")).toPandas()
         c = c.copy()
-        for cl, g in parts.groupby("cluster"):
-            if g["n"].sum():
-                c[cl] = np.sum(np.stack(g["total"].to_numpy()), 0) / g["n"].sum()
+        c[whole["cluster"], whole["place"]] = whole["x"] / whole["n"]
 
     def assign(batches: Iterator[pd.DataFrame], c=c) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -65,8 +65,9 @@ def kmeans(vectors: DataFrame, k: int, rounds: int = 12) -> DataFrame:
 def topic_table(clusters: DataFrame, facts: DataFrame, samples: int = 3) -> DataFrame:
     """(cluster, size, samples): statements of the first members stand for a topic's label."""
     w = Window.partitionBy("cluster").orderBy("id")
-    j = clusters.join(facts.select("id", "statement"), "id").withColumn("rn", F.row_number().over(w))
-    return j.groupBy("cluster").agg(F.count("*").alias("size"), F.transform(F.sort_array(F.collect_list(F.when(F.col("rn") <= samples, F.struct("rn", "statement")))), lambda x: x["statement"]).alias("samples"))
+    first = clusters.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= samples).join(facts.select("id", "statement"), "id")  # the limit applies before the shuffle
+    said = first.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "statement"))), lambda x: x["statement"]).alias("samples"))
+    return clusters.join(facts.select("id"), "id", "left_semi").groupBy("cluster").agg(F.count("*").alias("size")).join(said, "cluster")
 
 
 def evidence(facts: DataFrame, limit: int = 250) -> DataFrame:

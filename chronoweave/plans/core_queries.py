@@ -289,9 +289,11 @@ def scope_candidates(spark, d):
     f, fe = temporal.live(_facts(spark, d)), _links(spark, d)
     q = f.where("id % 50 = 0").select(F.col("id").alias("qid"), "repo", "kind")
     mine = f.select("id", "repo", "kind")
-    same_repo = q.join(mine, ["repo", "kind"]).select("qid", "id")
-    shared = q.join(fe.select(F.col("fact_id").alias("qid"), "entity_id"), "qid").select("qid", "kind", "entity_id").join(fe, "entity_id").select("qid", "kind", F.col("fact_id").alias("id")).distinct().join(mine.drop("repo"), ["id", "kind"]).select("qid", "id")
-    return same_repo.unionByName(shared).where("qid <> id").distinct().groupBy("qid").agg(F.count("*").alias("candidates"))
+    # Those of the same repository are counted by group; only what shares an entity elsewhere is paired.
+    of_repo = q.join(mine.where("repo IS NOT NULL").groupBy("repo", "kind").agg((F.count("*") - 1).alias("n")), ["repo", "kind"]).select("qid", "n")
+    shared = q.join(fe.select(F.col("fact_id").alias("qid"), "entity_id"), "qid").select("qid", "kind", "entity_id").join(fe, "entity_id").select("qid", "kind", F.col("fact_id").alias("id")).distinct().join(mine.withColumnRenamed("repo", "own"), ["id", "kind"])
+    elsewhere = shared.join(q.select("qid", "repo"), "qid").where("qid <> id AND NOT coalesce(own = repo, false)").groupBy("qid").agg(F.count("*").alias("n"))
+    return of_repo.unionByName(elsewhere).groupBy("qid").agg(F.sum("n").alias("candidates")).where("candidates > 0")
 
 
 @query(f"""WITH {FACTS}, {LINKS} SELECT fact_id, id, name FROM (SELECT fe.fact_id, e.id, e.name, row_number() OVER (PARTITION BY fe.fact_id ORDER BY e.seen_count DESC, e.id) AS rn FROM fe JOIN f ON f.id = fe.fact_id AND f.superseded_at IS NULL JOIN entities e ON e.id = fe.entity_id) WHERE rn = 1""")

@@ -430,8 +430,10 @@ def retrieval_recall(spark, d):
     f = _facts(spark, d)
     v = vector.usable(table(spark, d, "fact_vecs"))
     top = vector.cosine_top(v.where("id % 50 = 0").select(F.col("id").alias("qid"), "vec"), v.join(temporal.live(f).select("id"), "id", "left_semi"), 10).withColumn("rank", F.col("rank") + 1)
-    want = f.where("id % 50 = 0").select(F.col("id").alias("qid"), "repo", "kind").join(temporal.live(f).select("id", "repo", "kind"), ["repo", "kind"]).select("qid", "id")
-    return metrics.recall_at(top, want)
+    mine = temporal.live(f).select("id", "repo", "kind").where("repo IS NOT NULL")
+    sizes = f.where("id % 50 = 0").select(F.col("id").alias("qid"), "repo", "kind").join(mine.groupBy("repo", "kind").agg(F.count("*").alias("n")), ["repo", "kind"])
+    near = top.select("qid", "id").join(mine.withColumnsRenamed({"repo": "r", "kind": "k"}), "id").join(sizes, "qid").where("r = repo AND k = kind").select("qid", "id")
+    return metrics.recall_of(near, sizes.select("qid", "n"))
 
 
 @query(f"""WITH {FACTS} SELECT kind AS split, count(*) AS n, count(*) FILTER (WHERE a AND h) AS hits, count(*) FILTER (WHERE a AND NOT h AND NOT b) AS wrong, count(*) FILTER (WHERE NOT a AND NOT b) AS confidently_wrong, count(*) FILTER (WHERE NOT a AND b) AS rightly_abstained, count(*) FILTER (WHERE a AND b) AS needlessly_abstained

@@ -11,5 +11,5 @@ def queries() -> dict:
     return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
+def sql() -> dict:
     return {k: s for m in MODULES for k, s in m.SQL.items()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -147,19 +148,58 @@ def plan_steps(text: str, tools: set[str], most: int = 4) -> list[tuple[str, str
     return out[:most]
 
 
-def ask(question: str, reasoner: Reasoner, tools: dict[str, Callable[[str], list[str]]], rounds: int = 8) -> dict:
-    """The tool loop: each round the reasoner names a tool call or stops; its answer is returned with the notes and steps."""
+#: What is put among the notes when an answer cites nothing, and when the rounds are used up.
+NUDGE, FINISH = "(cite facts by their ids, or look further)", "(answer now with what is known)"
+WIDEN_BELOW = 0.5
+
+
+def _run(steps: list[tuple[str, str]], plan: str, tools: dict[str, Callable[[str], list[str]]], notes: list[str]) -> bool:
+    """Run the calls of a plan that weren't made before; whether there were any. A tool that fails leaves a note of it."""
+    fresh = [s for s in plan_steps(plan, set(tools)) if s not in steps]
+    for name, arg in fresh:
+        steps.append((name, arg))
+        try:
+            notes += tools[name](arg) or [f"({name} found nothing for {arg})"]
+        except LookupError as e:
+            notes.append(f"({name}: {e})")
+    return bool(fresh)
+
+
+def ask(question: str, reasoner: Reasoner, tools: dict[str, Callable[[str], list[str]]], rounds: int = 8, seed: str | None = "search") -> dict:
+    """The tool loop: the question itself is searched first; then each round the reasoner names tool calls or stops.
+
+    An answer that cites nothing, though there were notes, is sent back once with a nudge. When the rounds are used up the reasoner must answer.
+    """
     notes: list[str] = []
     steps: list[tuple[str, str]] = []
+    if seed in tools:
+        _run(steps, f"{seed}({question})", tools, notes)
+    nudged = False
+    answer = None
     for _ in range(rounds):
-        plan = plan_steps(reasoner.next_step(question, notes), set(tools))
-        fresh = [s for s in plan if s not in steps]
-        if not fresh:
+        if _run(steps, reasoner.next_step(question, notes), tools, notes):
+            continue
+        answer = reasoner.answer(question, notes)
+        if nudged or not notes or re.search(r"\[\d+\]", answer):
             break
-        for name, arg in fresh:
-            steps.append((name, arg))
-            notes += tools[name](arg)
-    return {"question": question, "answer": reasoner.answer(question, notes), "steps": steps, "notes": notes}
+        nudged, answer = True, None
+        notes.append(NUDGE)
+    if answer is None:
+        notes.append(FINISH)
+        answer = reasoner.answer(question, notes)
+    return {"question": question, "answer": answer, "steps": steps, "notes": notes, "nudged": nudged}
+
+
+def ask_local(question: str, reasoner: Reasoner, tools: dict[str, Callable[[str], list[str]]], strength: Callable[[], float], widen: Callable[[str], list[str]]) -> dict:
+    """One plan instead of a loop: its calls are run (the question is searched if it names none), a weak retrieval is widened once, then the answer is written."""
+    notes: list[str] = []
+    steps: list[tuple[str, str]] = []
+    if not _run(steps, reasoner.next_step(question, notes), tools, notes):
+        _run(steps, f"search({question})", tools, notes)
+    widened = strength() < WIDEN_BELOW
+    if widened:
+        notes += [n for n in widen(question) if n not in notes]
+    return {"question": question, "answer": reasoner.answer(question, notes), "steps": steps, "notes": notes, "widened": widened}
 
 
 def first_json_object(text: str) -> dict | None:

@@ -39,25 +39,42 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+_written: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     Cuts the lineage, and survives the loss of executors since the files are in
-    the folder that all of them share.
+    the folder that all of them share. clear() deletes what a session wrote, drop() one table that nothing reads any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cw-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_at = path
+    return out
 
 
-def drop_materialized(df: DataFrame) -> None:
-    """Delete the files behind a frame returned by materialize (no later read of it may follow)."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, address: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(address)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a frame that materialize returned; no later read of it may follow."""
+    if at := getattr(df, "_table_at", None):
+        _delete(df.sparkSession, at)
+        _written[df.sparkSession.sparkContext.applicationId].remove(at)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all tables that materialize wrote in this application, once their results were used; gives their number."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def numbered(df: DataFrame, by: list[str], into: str = "n", start: int = 1) -> DataFrame:

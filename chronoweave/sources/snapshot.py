@@ -7,6 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.hierarchy import hierarchy
+from chronoweave.session import materialize
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -63,18 +66,29 @@ def backup_if_due(tables: dict[str, DataFrame], root: str, now: dt.datetime, eve
     return path
 
 
-def fixture(facts: DataFrame, edges: DataFrame, traces: DataFrame, per_repo: int = 50) -> dict[str, DataFrame]:
-    """A small closed copy: the best-supported facts of each repository, what cited traces refer to, the superseders of all these, and edges among them."""
+def fixture(facts: DataFrame, edges: DataFrame, traces: DataFrame, per_repo: int = 50, chains: int = 100, seed: int = 7, **others: DataFrame) -> dict[str, DataFrame]:
+    """A small closed copy: the best-supported facts of each repository, whole supersession chains in seeded order, what cited traces refer to, all that these lead to along
+    superseded_by, and edges among them. Of others, frames with fact_id (links, vectors) are cut to these facts, ``entities`` to those linked, ``aliases`` to those entities."""
     w = Window.partitionBy(F.coalesce("repo", F.lit(""))).orderBy(F.desc("corroborations"), F.desc("recorded_at"), F.desc("id"))
     top = facts.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= per_repo).select("id")
     cited = traces.where(F.contains("results", F.lit('"cited"'))).select("id", F.explode(F.from_json("results", "cited array<bigint>")["cited"]).alias("fact"))
-    seed = top.unionByName(cited.select(F.col("fact").alias("id"))).distinct()
-    own = facts.join(seed, "id", "left_semi")
-    after = own.where("superseded_by IS NOT NULL").select(F.col("superseded_by").alias("id"))
-    ids = seed.unionByName(after).distinct()
+    tree = materialize(hierarchy(facts, "id", "superseded_by").select("node", "root", "path"), "chains")
+    long = tree.groupBy("root").count().where("count > 1").orderBy(F.md5(F.concat_ws("-", F.col("root").cast("string"), F.lit(str(seed)))), "root").limit(chains).select("root")
+    chosen = top.unionByName(cited.select(F.col("fact").alias("id"))).unionByName(tree.join(F.broadcast(long), "root", "left_semi").select(F.col("node").alias("id"))).distinct()
+    ids = materialize(tree.join(chosen.withColumnRenamed("id", "node"), "node", "left_semi").select(F.explode("path").alias("id")).distinct(), "fixture")
     kept = facts.join(ids, "id", "left_semi")
     inner = edges.join(kept.select(F.col("id").alias("src")), "src", "left_semi").join(kept.select(F.col("id").alias("dst")), "dst", "left_semi")
-    return {"facts": kept, "edges": inner, "traces": traces.join(cited.select("id").distinct(), "id", "left_semi")}
+    out = {"facts": kept, "edges": inner, "traces": traces.join(cited.select("id").distinct(), "id", "left_semi")}
+    for name, df in others.items():
+        if "fact_id" in df.columns:
+            out[name] = df.join(ids.withColumnRenamed("id", "fact_id"), "fact_id", "left_semi")
+    if "links" in out:
+        linked = out["links"].select(F.col("entity_id")).distinct()
+        if "entities" in others:
+            out["entities"] = others["entities"].join(linked.withColumnRenamed("entity_id", "id"), "id", "left_semi")
+        if "aliases" in others:
+            out["aliases"] = others["aliases"].join(linked, "entity_id", "left_semi")
+    return out
 
 
 def write_probes(probes: DataFrame, path: str) -> None:

@@ -6,11 +6,12 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SKIPPED_PROJECTS = ("-private-tmp", "-tmp-", "-var-")
-LISTING = "path string, modificationTime timestamp, length bigint"
+BLOCK_BYTES = 8 << 20
 
 
 def discover(spark: SparkSession, root: str, since: dt.datetime | None = None, recursive: bool = False, pattern: str = "*.jsonl") -> DataFrame:
@@ -28,7 +29,7 @@ def discover(spark: SparkSession, root: str, since: dt.datetime | None = None, r
     skipped = F.lit(False)
     for p in SKIPPED_PROJECTS:
         skipped = skipped | F.startswith(project, F.lit(p))
-    return files.where(~skipped)
+    return files.where(~skipped).orderBy(F.desc("mtime"), "path")
 
 
 def due(files: DataFrame, state: DataFrame, now: float) -> DataFrame:
@@ -42,21 +43,23 @@ def due(files: DataFrame, state: DataFrame, now: float) -> DataFrame:
 def read_new(files: DataFrame) -> DataFrame:
     """(path, line_offset, next_offset, value): the complete lines of each file from its offset on; a last line without end waits.
 
-    Files are spread over the executors, each is read forward from its offset; the folder must be one that all of them see.
+    Files are spread over the executors, each is read forward from its offset, in blocks, from whatever file system its address names
+    (file, object stores, Hadoop).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, offset in zip(b["path"], b["offset"]):
-                rows, at = [], int(offset)
-                with open(path.removeprefix("file:").replace("///", "/"), "rb") as f:
+                rows, at, rest = [], int(offset), b""
+                system, place = FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+                with system.open_input_file(place) as f:
                     f.seek(at)
-                    for line in f:
-                        if not line.endswith(b"\n"):
-                            break
-                        rows.append((path, at, at + len(line), line.rstrip(b"\r\n").decode("utf-8", "replace")))
-                        at += len(line)
-                        if len(rows) == 10_000:
+                    while block := f.read(BLOCK_BYTES):
+                        *lines, rest = (rest + block).split(b"\n")  # a last line without end waits
+                        for line in lines:
+                            rows.append((path, at, at + len(line) + 1, line.rstrip(b"\r").decode("utf-8", "replace")))
+                            at += len(line) + 1
+                        if len(rows) >= 10_000:
                             yield pd.DataFrame(rows, columns=["path", "line_offset", "next_offset", "value"])
                             rows = []
                 if rows:

@@ -51,8 +51,13 @@ def test_fixture_is_closed(spark):
     f = spark.createDataFrame([(i, "r" if i % 2 else None, 0, 1.0, i + 1 if i < 9 else None) for i in range(10)], "id bigint, repo string, corroborations int, recorded_at double, superseded_by bigint")
     e = spark.createDataFrame([(9, 8, "supersedes"), (0, 5, "contradicts")], "src bigint, dst bigint, edge_type string")
     t = spark.createDataFrame([(1, '{"cited":[3,77]}'), (2, "{}")], "id bigint, results string")
-    out = snapshot.fixture(f, e, t, 1)
-    assert {r.id for r in out["facts"].collect()} == {3, 4, 8, 9} and out["edges"].count() == 1 and out["traces"].count() == 1
+    links = spark.createDataFrame([(3, 70), (0, 71), (9, 70)], "fact_id bigint, entity_id bigint")
+    who = spark.createDataFrame([(70, "a"), (71, "b")], "id bigint, name string")
+    out = snapshot.fixture(f, e, t, 1, chains=1)
+    assert {r.id for r in out["facts"].collect()} == set(range(10)) and out["edges"].count() == 2
+    out = snapshot.fixture(f, e, t, 1, chains=0, links=links, entities=who)
+    assert {r.entity_id for r in out["links"].collect()} == {70} and {r.name for r in out["entities"].collect()} == {"a"}
+    assert {r.id for r in out["facts"].collect()} == {3, 4, 5, 6, 7, 8, 9} and out["edges"].count() == 1 and out["traces"].count() == 1
 
 
 def drain(query):
