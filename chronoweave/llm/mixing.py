@@ -114,7 +114,7 @@ def mix(
     chosen has doc_id, source, n_tokens and uses (how often the document is in the
     mixture, max_repeats at most). report has a row for each target: target_share,
     fill_share (the share aimed at: targets of which there are documents, scaled to 1),
-    tokens, actual_share, documents and uses. total_tokens defaults to the largest
+    tokens, actual_share, documents, uses, and sets_size, which marks the source whose scarcity set a default size. total_tokens defaults to the largest
     mixture in which every source with documents reaches its share; with a larger one
     sources at their cap fall short, as the report shows. A repeated doc_id counts once,
     documents without text, id or target aren't used, and rows of targets that
@@ -125,7 +125,7 @@ def mix(
     spark = documents.sparkSession
     if not goals:
         none = spark.createDataFrame([], "doc_id bigint, source string, n_tokens bigint, uses int")
-        return none, spark.createDataFrame([], "source string, target_share double, fill_share double, tokens bigint, actual_share double, documents bigint, uses bigint")
+        return none, spark.createDataFrame([], "source string, target_share double, fill_share double, tokens bigint, actual_share double, documents bigint, uses bigint, sets_size boolean")
     own = documents.where(F.length("text") > 0).select("doc_id", unify_source(F.col("source")).alias("source"), "text").where(F.col("source").isin(*goals) & F.col("doc_id").isNotNull())
     counted = count_tokens(own, "text", tokenizer).drop("text").where("n_tokens > 0")
     counted = counted.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("x")).select("doc_id", "x.*")
@@ -135,6 +135,7 @@ def mix(
     totals = {r["source"]: int(r["t"]) for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # a row a target
     shares = {s: goals[s][0] for s in totals}
     fill = {s: x / sum(shares.values()) for s, x in shares.items()}
+    scarcest = min(sorted(totals), key=lambda s: totals[s] * goals[s][1] / fill[s], default=None) if total_tokens is None else None
     if total_tokens is None:
         total_tokens = int(min((totals[s] * goals[s][1] / fill[s] for s in totals), default=0))
     budgets = {s: min(int(round(fill[s] * total_tokens)), totals[s] * goals[s][1]) for s in totals}
@@ -157,10 +158,10 @@ def mix(
     uses = (base[F.col("source")] + F.when(F.col("rn") <= F.col("take"), 1).otherwise(0)).cast("int")
     chosen = materialize(ranked.select("doc_id", "source", "n_tokens", uses.alias("uses")).where("uses > 0"), "mix")
     reached = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("documents"), F.sum("uses").alias("uses"))
-    aims = spark.createDataFrame([(s, float(g[0]), float(fill.get(s, 0.0))) for s, g in sorted(goals.items())], "source string, target_share double, fill_share double")
+    aims = spark.createDataFrame([(s, float(g[0]), float(fill.get(s, 0.0)), s == scarcest) for s, g in sorted(goals.items())], "source string, target_share double, fill_share double, sets_size boolean")
     whole = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # over a row a target
     report = aims.join(reached, "source", "left").withColumn("all", whole).select(
         "source", "target_share", "fill_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)).alias("actual_share"),
-        F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("uses", F.lit(0)).alias("uses"),
+        F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("uses", F.lit(0)).alias("uses"), "sets_size",
     )
     return chosen, report

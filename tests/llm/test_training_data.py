@@ -434,6 +434,7 @@ def test_mix_reaches_shares_and_caps(spark):
     chosen, report = mixing.mix(df, t)
     r = {x.source: x for x in report.collect()}
     assert abs(r["big"].actual_share - 0.625) < 0.01 and abs(r["small"].actual_share - 0.375) < 0.01 and r["absent"].tokens == 0
+    assert [s for s, x in r.items() if x.sets_size] == ["small"]
     rows = chosen.collect()
     assert len({x.doc_id for x in rows}) == len(rows) and all(1 <= x.uses <= {"big": 2, "small": 3}[x.source] for x in rows)
     over = {x.source: x for x in mixing.mix(df, t, total_tokens=10**7)[1].collect()}
