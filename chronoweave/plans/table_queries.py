@@ -9,7 +9,7 @@ from chronoweave.functions import scalars as S
 from chronoweave.operators import entities as E
 from chronoweave.operators import ingest, metrics, search, temporal, truth, upsert, vector
 from chronoweave.plans.core_queries import _TRACE, AS_OF_SQL, DATE, EDGES, FACTS, LINKS, NOW_SQL, _edges, _facts, _links, mass_sql
-from chronoweave.plans.graph_queries import _MAP, _asked, _index, _merged
+from chronoweave.plans.graph_queries import _MAP, _asked, _index, _live_sql, _merged
 from chronoweave.session import materialize
 from chronoweave.sources import adapters as A
 from chronoweave.sources.adapters import AS_OF, NOW, table
@@ -172,6 +172,20 @@ def reinforced_facts(spark, d):
     return search.reinforce(_facts(spark, d), hits, NOW).select("id", F.round("mass", 9).alias("mass"), "use_count", "last_used_at")
 
 
+def _features_sql() -> str:
+    whole = _live_sql(out="@@")
+    return whole[: whole.index("@@")] + f"""SELECT j.qid, j.id, coalesce(lex_rank, -1e0) AS lex, coalesce(cos_rank, -1e0) AS cos, round(coalesce(sim, 0e0), 3) AS sim, round({mass_sql(NOW_SQL, 'f.')}, 3) AS mass, f.confidence, CASE WHEN q.repo = f.repo THEN 1e0 ELSE 0e0 END AS same
+FROM j JOIN f ON f.id = j.id JOIN q ON q.qid = j.qid"""
+
+
+@query(_features_sql())
+def trace_features(spark, d):
+    """The evidence behind every candidate of each search."""
+    f = _found(spark, d, features=True)
+    names = ["lex", "cos", "sim", "mass", "confidence", "same"]
+    return f.select("qid", "id", *[F.get("feat", i).alias(n) for i, n in enumerate(names)])
+
+
 @query()
 def search_traces(spark, d):
     """The trace of each search: its hits and the evidence behind every candidate."""
