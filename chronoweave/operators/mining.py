@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as S
 from chronoweave.operators import temporal
+from chronoweave.session import materialize
 
 ELIGIBLE = "evidence = 'verified' OR corroborations >= 1 OR confidence >= 0.9"
 
@@ -22,20 +23,25 @@ def document_frequency(facts: DataFrame, cap: int = 200) -> DataFrame:
 
 def rare_patterns(facts: DataFrame, df: DataFrame, most: int = 3, max_df: int = 40) -> DataFrame:
     """(id, pattern): a fact's two or three rarest content tokens in order of the statement, joined by .*; none if even the rarest is common."""
-    stop = F.array(*[F.lit(w) for w in S.STOPWORDS])
-    pos = facts.select("id", F.posexplode(S.tokens(F.col("statement"))).alias("p", "t")).withColumn("token", F.lower("t"))
-    pos = pos.where((F.octet_length("t") >= 4) & ~F.array_contains(stop, F.col("token"))).groupBy("id", "token").agg(F.min("p").alias("p"), F.min_by("t", "p").alias("t"))
+    # Each token once, where it stands first: within the row, so that only the join by token and the ranking by id move rows.
+    firsts = lambda ts, low: F.filter(F.transform(ts, lambda t, i: F.struct(i.alias("p"), t.alias("t"), F.get(low, i).alias("token"))), lambda x: F.array_position(low, x["token"]) == x["p"] + 1)
+    once = S.bind(S.tokens(F.col("statement")), lambda ts: S.bind(F.transform(ts, F.lower), lambda low: firsts(ts, low)))
+    pos = facts.select("id", F.explode(once).alias("x")).select("id", "x.p", "x.t", "x.token").where((F.octet_length("t") >= 4) & ~F.col("token").isin(*S.STOPWORDS))
     w = Window.partitionBy("id").orderBy("df", "p")
-    best = pos.join(df, "token").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+    best = pos.join(df, "token").select("id", "p", "t", "df").repartition("id").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
     g = best.groupBy("id").agg(F.min("df").alias("least"), F.sort_array(F.collect_list(F.struct("p", F.replace(F.col("t"), F.lit("."), F.lit("\\.")).alias("t")))).alias("ts"))
     return g.where((F.col("least") <= max_df) & (F.size("ts") >= 2)).select("id", F.array_join(F.transform("ts", lambda x: x["t"]), ".*").alias("pattern"))
 
 
+#: Pieces joined by .*, which need not be compiled to be known as a regular expression.
+_PLAIN = re.compile(r"(?:[A-Za-z0-9_ -]|\\\.|\.\*)*")
+
+
 def _is_regex(pattern: Column) -> Column:
     def check(patterns: pd.Series) -> pd.Series:
         def ok(p: str | None) -> bool:
             try:
-                return p is not None and re.compile(p) is not None
+                return p is not None and (_PLAIN.fullmatch(p) or re.compile(p)) is not None
             except re.error:
                 return False
 
@@ -47,24 +53,45 @@ def _is_regex(pattern: Column) -> Column:
 _PIECE = r"(?:\\.|[a-z0-9_-]){3,}"
 
 
+def _grams(c: Column, k: int) -> Column:
+    """The substrings of k characters, each once."""
+    return F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (k - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(k))), lambda g: F.length(g) == k))
+
+
 def narrow(patterns: DataFrame, facts: DataFrame, most: int = 20) -> DataFrame:
     """(id, pattern, matches) of the patterns that match at most ``most`` live statements, anywhere and in any case. Patterns that are no regular
     expression, or have no three literal characters in a row, are left out.
 
-    A pattern is a sequence of literal pieces. Any statement it matches holds each piece as a substring, so the rarest trigram of the
-    pieces finds all candidates by a join, and the expression is tried on them alone.
+    A pattern is a sequence of literal pieces. Any statement it matches holds each piece within one of its words, so pieces are sought among the
+    distinct words, by their rarest gram. A pattern goes to its rarest piece, and so do the statements that hold it; there the expression
+    is tried, so what moves are patterns and statements, and never a row for each pair of them.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
-    valid = patterns.where(_is_regex(F.col("pattern"))).select("id", "pattern")
     literal = F.transform(F.regexp_extract_all(F.lower("pattern"), F.lit(_PIECE), F.lit(0)), lambda p: F.regexp_replace(p, r"\\(.)", "$1"))
-    keyed = valid.select("id", "pattern", F.explode(F.filter(F.flatten(F.transform(literal, grams)), lambda g: F.length(g) == 3)).alias("gram")).distinct()
-    live = temporal.live(facts).select(F.col("id").alias("fid"), F.lower("statement").alias("low"), "statement")
-    held = live.where(F.length("low") >= 3).select("fid", F.explode(grams(F.col("low"))).alias("gram"))
-    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = keyed.join(counts, "gram", "left").groupBy("id", "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).select("id", "pattern", F.col("k.gram").alias("gram"))
+    pieces = F.array_distinct(F.filter(F.flatten(F.transform("literal", lambda p: F.split(p, r"\s+"))), lambda p: F.length(p) >= 3))
+    valid = patterns.where(_is_regex(F.col("pattern"))).select("id", "pattern", literal.alias("literal")).where(F.size("literal") > 0)
+    valid = materialize(valid.select("id", "pattern", pieces.alias("pieces")), "valid")
+    live = temporal.live(facts).select(F.col("id").alias("fid"), "statement")
+    said = live.select("fid", F.explode(F.array_distinct(F.split(F.lower("statement"), r"\s+"))).alias("word")).where(F.length("word") >= 3)
+    words = materialize(said.groupBy("word").agg(F.count("*").alias("n")), "words")
+    held = words.select("word", "n", F.explode(F.concat(_grams(F.col("word"), 3), _grams(F.col("word"), 5))).alias("gram"))
+    spelled = valid.select("id", F.explode("pieces").alias("piece"))
+    # The grams of five if a piece has any: these are rarer, and no more are needed.
+    sought = spelled.select("piece").distinct().select("piece", F.explode(F.when(F.length("piece") >= 5, _grams(F.col("piece"), 5)).otherwise(_grams(F.col("piece"), 3))).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("of"))
+    rarest = sought.join(counts, "gram").groupBy("piece").agg(F.min(F.struct("of", "gram")).alias("k")).select("piece", F.col("k.gram").alias("gram"))
+    spots = materialize(rarest.join(held, "gram").where(F.contains(F.col("word"), F.col("piece"))).select("piece", "word", "n"), "spots")
+    width = spots.groupBy("piece").agg(F.sum("n").alias("n"))
+    chosen = spelled.join(width, "piece", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("k")).where("k.n > 0").select("id", F.col("k.piece").alias("piece"))
+    keyed = materialize(chosen.join(valid.select("id", "pattern"), "id"), "keyed")
+    needed = spots.join(keyed.select("piece").distinct(), "piece", "left_semi").select("piece", "word")
+    meet = said.join(needed, "word").groupBy("fid").agg(F.collect_set("piece").alias("pieces")).join(live, "fid").select("statement", F.explode("pieces").alias("piece"))
     test = F.expr("statement rlike concat('(?i)', pattern)")
-    hits = rarest.join(held, "gram").join(live.select("fid", "statement"), "fid").where(test).groupBy("id").agg(F.count("*").alias("n"))
-    return valid.join(rarest.select("id"), "id", "left_semi").join(hits, "id", "left").where(F.coalesce("n", F.lit(0)) <= most).select("id", "pattern", F.coalesce("n", F.lit(0)).alias("matches"))
+    hits = keyed.join(meet, "piece").where(test).select("id")
+    unindexed = valid.where(F.size("pieces") == 0).select("id", "pattern")  # blanks stand in each of their pieces
+    if unindexed.limit(1).count():
+        hits = hits.unionByName(unindexed.crossJoin(live).where(test).select("id"))
+    n = F.coalesce("n", F.lit(0))
+    return valid.select("id", "pattern").join(hits.groupBy("id").agg(F.count("*").alias("n")), "id", "left").where(n <= most).select("id", "pattern", n.alias("matches"))
 
 
 def quota_sample(rows: DataFrame, group: str, n: int, seed: int = 7) -> DataFrame:

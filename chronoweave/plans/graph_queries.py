@@ -378,8 +378,8 @@ def metric_list(spark, d):
 # --- Mining and topics.
 
 
-def _patterns(spark, d):
-    f = _facts(spark, d)
+def _patterns(spark, d, f=None):
+    f = _facts(spark, d) if f is None else f
     return mining.rare_patterns(f, mining.document_frequency(f))
 
 
@@ -393,7 +393,8 @@ def rare_patterns(spark, d):
 h AS (SELECT p.id, count(*) AS n FROM p JOIN l ON contains(l.low, p.piece) WHERE regexp_matches(l.statement, '(?i)' || p.pattern) GROUP BY 1) SELECT p.id, p.pattern, coalesce(n, 0) AS matches FROM p LEFT JOIN h USING (id) WHERE coalesce(n, 0) <= 20""")
 def narrow_patterns(spark, d):
     """Patterns that match few facts."""
-    return mining.narrow(materialize(_patterns(spark, d), "patterns"), _facts(spark, d))
+    f = materialize(_facts(spark, d).select("id", "statement", "superseded_at"), "facts")
+    return mining.narrow(materialize(_patterns(spark, d, f), "patterns"), f)
 
 
 @query(f"""WITH RECURSIVE {FACTS}, {_RARE}, ch AS (SELECT id, id AS node, 0 AS n FROM f UNION ALL SELECT ch.id, f.superseded_by, n + 1 FROM ch JOIN f ON f.id = ch.node AND f.superseded_at IS NOT NULL AND f.superseded_by IS NOT NULL WHERE n < 20), hd AS (SELECT id, arg_max(node, n) AS head FROM ch GROUP BY 1)

@@ -1,6 +1,8 @@
 """The fact graph's operators on small hand-made rows."""
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,6 +233,19 @@ def test_mining(spark):
     assert {tuple(r) for r in mining.hit_rates(res, probes).collect()} == {("m", 2, 1), ("n", 1, 0)}
 
 
+def test_narrow_patterns_meet_statements_at_a_piece_and_pairs_do_not_move(spark):
+    rnd = random.Random(5)
+    names = ["kubernetes", "uber-v6.13", "netes", "v6.1", "abc", "Abcd", "a(b)c", "xy"]
+    said = [" ".join(rnd.choice(names) for _ in range(4)) for _ in range(40)]
+    pats = [(i, ".*".join(re.escape(rnd.choice(names)) for _ in range(2))) for i in range(60)] + [(90, r"c\ x"), (91, r"kub|["), (92, "6")]
+    out = mining.narrow(spark.createDataFrame(pats, "id int, pattern string"), facts(spark, [dict(id=i, statement=s) for i, s in enumerate(said)]), 30)
+    got = {(r.id, r.matches) for r in out.collect()}
+    n = {i: sum(bool(re.search(p, s, re.I)) for s in said) for i, p in pats if i < 91 and p.lower() != "xy.*xy"}
+    assert got == {(i, k) for i, k in n.items() if k <= 30} and n[90]
+    tried = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RLIKE" in line]
+    assert any("piece#" in line for line in tried) and not any("fid#" in line for line in tried)
+
+
 def test_kmeans_separates(spark):
     v = spark.createDataFrame([(i, [1.0, 0.0] if i < 5 else [0.0, 1.0]) for i in range(10)], "id bigint, vec array<float>")
     got = {r.id: r.cluster for r in topics.kmeans(v, 2).collect()}
