@@ -1,10 +1,9 @@
 """Subject areas of documents, by label propagation over a graph of similar documents.
 
 1. Phrases (words and word pairs) that the seeds concentrate on one subject are a document's profile.
-2. Documents that share a phrase are candidates; each is compared with its neighbours in
-   the phrase's list, which is ordered by the rest of the profile, and an edge counts
-   only if the cosine of the two profiles is high enough (a verified nearest-neighbour graph).
-3. Labels flow along the edges by joins. Seeds that their neighbours don't contradict are trusted and
+2. Documents that share a phrase are neighbours, all of them, and an edge weighs as much as the cosine of the two profiles.
+3. Labels flow along the edges. A cosine is a sum over the shared phrases, so what all neighbours of a document vote is added up
+   by phrase, exactly, and no pair is ever formed; the shares are then raised to a power. Seeds that their neighbours don't contradict are trusted and
    stay clamped; a document keeps every subject with a fair part of its neighbours' votes.
 4. With what is then labelled the profiles are drawn up again, from all documents, and 2 and 3 repeated.
 5. Of the subjects a document received, those remain that its own sentences bear out: at least a
@@ -17,7 +16,8 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +40,14 @@ ONE = 1024
 MAP_BITS = 22
 #: Up to so many phrases are looked up in a broadcast table.
 TABLE_ROWS = 1_000_000
-#: Lists longer than this are divided by the second phrase, and if need be by document.
+#: Where the graph is written out, a phrase's documents are divided into parts of about so many.
 BLOCK_ROWS = 2_000
-#: With how many neighbours on either side in a list a document is compared, how many of these it keeps, and from which cosine on.
-NEIGHBOURS, KEPT, LEAST_COSINE = 12, 4, 0.1
+#: How many neighbours a document keeps in the graph written out (None: all), and from which cosine on; any shared phrase gives more than this.
+KEPT, LEAST_COSINE = None, 1e-9
 #: A subject stays with a document from this share of its neighbours' votes on.
 RETAINED = 0.05
-#: In the lists of how many phrases of each subject a document stands.
-LEADS = 3
+#: To which power the shares of votes are raised, so that a document's foremost subjects stand out.
+INFLATION = 2
 #: What share of its neighbours' votes a seed needs to be trusted.
 TRUST = 0.2
 
@@ -218,14 +218,13 @@ def _pure(docs: DataFrame, weights: DataFrame) -> DataFrame:
     return best.where(F.col("raw") > ONE).select("phrase", F.col("b.subject").alias("subject"), purity.alias("purity")).where(F.col("purity") >= least)
 
 
-PROFILES = "doc_id bigint, profile array<int>, lead array<int>, subjects array<int>, sentences array<int>"
+PROFILES = "doc_id bigint, profile array<int>, subjects array<int>, sentences array<int>"
 
 
 def _profile(ids: np.ndarray, doc: np.ndarray, of: np.ndarray, phrase: np.ndarray, subject: np.ndarray, purity: np.ndarray) -> pa.RecordBatch:
     """PROFILES of hits sorted by (sentence, phrase), each once; sentences are numbered by document.
 
-    profile has the phrases (32 bits of their hashes) in an order that is the same for all documents, lead the first LEADS of each
-    subject. subjects and sentences say in how many sentences each subject comes first.
+    profile has the phrases (32 bits of their hashes), subjects and sentences say in how many sentences each subject comes first.
     """
     order = np.lexsort((phrase, subject, of))
     o, s, d = of[order], subject[order], doc[order]
@@ -237,20 +236,13 @@ def _profile(ids: np.ndarray, doc: np.ndarray, of: np.ndarray, phrase: np.ndarra
     won = np.append(True, o[1:] != o[:-1])
     kinds = int(subject.max()) + 1
     counted, n = np.unique(d[won] * kinds + s[won], return_counts=True)
-    # A document's phrases, each once, by a hash of the hash.
-    h = _mix(phrase, phrase)
-    order = np.lexsort((phrase, h, doc))
-    d, p, s = doc[order], phrase[order], subject[order]
+    order = np.lexsort((phrase >> 32, doc))
+    d, p = doc[order], (phrase[order] >> 32).astype("int32")
     new = np.append(True, (d[1:] != d[:-1]) | (p[1:] != p[:-1]))
-    d, p, s = d[new], (p[new] >> 32).astype("int32"), s[new]
-    order = np.lexsort((np.arange(len(d)), d * kinds + s))
-    key = (d * kinds + s)[order]
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    place = np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))
-    lead = np.sort(order[place < LEADS])
+    d, p = d[new], p[new]
     there = np.unique(doc)
     lists = lambda owner, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owner, minlength=len(ids))[there])).astype("int32")), pa.array(values.astype("int32")))
-    return pa.RecordBatch.from_arrays([pa.array(ids[there]), lists(d, p), lists(d[lead], p[lead]), lists(counted // kinds, counted % kinds), lists(counted // kinds, n)], names=[c.split()[0] for c in PROFILES.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(ids[there]), lists(d, p), lists(counted // kinds, counted % kinds), lists(counted // kinds, n)], names=[c.split()[0] for c in PROFILES.split(", ")])
 
 
 def _standing(b: _Batch, hit) -> tuple[np.ndarray, np.ndarray]:
@@ -317,100 +309,95 @@ def _profiles(docs: DataFrame, pure: DataFrame) -> DataFrame:
     return hits.repartition("doc_id").sortWithinPartitions("doc_id", "no", "phrase").mapInArrow(gather, PROFILES)
 
 
-def _compare(keep: int):
-    """Rows sorted by (block, second, doc_id): each document's ``keep`` best neighbours in its block, by the cosine of the profiles, from both ends."""
-
-    def run(t: pa.Table, low: int, high: int) -> pa.RecordBatch:
-        """Of the rows from low to high, whose neighbours are all here."""
-        block, doc = (t.column(c).to_numpy() for c in ("block", "doc_id"))
-        lists = t.column("profile").combine_chunks()
-        size = lists.value_lengths().to_numpy(zero_copy_only=False)
-        phrase = lists.flatten().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((row, phrase))
-        phrase, row = phrase[order], row[order]
-        pairs = []
-        for step in range(1, NEIGHBOURS + 1):  # the step-th next row with the same phrase
-            i, j = row[:-step], row[step:]
-            near = (phrase[:-step] == phrase[step:]) & (j - i <= NEIGHBOURS) & (block[i] == block[j])
-            if not near.any():
-                break
-            pairs.append(i[near] * (NEIGHBOURS + 1) + (j - i)[near])
-        none = np.zeros(0, "int64")
-        key, shared = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (none, none)
-        i = key // (NEIGHBOURS + 1)
-        j = i + key % (NEIGHBOURS + 1)
-        cosine = shared / np.sqrt(np.maximum(1, size[i].astype("float64") * size[j]))
-        good = (doc[i] != doc[j]) & (cosine >= LEAST_COSINE)
-        i, j, weight = i[good], j[good], np.round(cosine[good] * 64).astype("int32")
-        a, b, w = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(weight, 2)
-        mine = (a >= low) & (a < high)
-        a, b, w = a[mine], b[mine], w[mine]
-        order = np.lexsort((doc[b], -w, a))
-        a, b, w = a[order], b[order], w[order]
-        first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else none
-        best = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < keep
-        a, b, w = doc[a[best]], doc[b[best]], w[best]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a])), pa.array(np.tile(w, 2))], names=["doc_id", "other", "weight"])
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
-        low = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([kept, t]) if kept is not None else t
-            high = t.num_rows - NEIGHBOURS
-            if high > low:
-                yield run(t, low, high)
-                begin = max(0, high - NEIGHBOURS)
-                kept, low = t.slice(begin), high - begin
-            else:
-                kept = t
-        if kept is not None:
-            yield run(kept, low, kept.num_rows)
-
-    return walk
-
-
 def similar_documents(profiles: DataFrame) -> DataFrame:
-    """(doc_id, other, weight): the verified edges, in both directions, of each document to the KEPT most similar neighbours in each of its lists.
+    """(doc_id, other, weight): the graph written out, in both directions: all pairs of documents that share a phrase, by the cosine of their profiles in 64ths.
 
-    profiles: (doc_id, profile, lead). A document stands in the list of each phrase in lead. Lists have their
-    order from the next phrase, so that neighbours share as much as possible. Long lists are divided by that phrase, and
-    what is still long by document, so none is held or walked by one task.
+    profiles: (doc_id, profile). As many rows as there are pairs, so for small tables; phrase_votes gives the votes over the same graph
+    without its pairs. Each of a phrase's documents meets all of them, a part at a time, so that no task has to hold a long list.
     """
-    rows = profiles.select("doc_id", "profile", F.explode("lead").alias("key"))
-    rows = rows.withColumn("second", F.coalesce(F.when(F.get("profile", 0) != F.col("key"), F.get("profile", 0)).otherwise(F.get("profile", 1)).cast("bigint"), F.col("doc_id")))
-    keys = materialize(rows.groupBy("key", "second").agg(F.count("*").alias("n")), "lists")  # small beside the rows
-    divided = keys.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_ROWS).select("key", F.ceil(F.col("n") * 2 / BLOCK_ROWS).alias("parts"))
-    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("second"), "parts"))
-    crowds = keys.join(divided, "key").withColumn("part", part).groupBy("key", "part").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_ROWS)
-    rows = rows.join(divided, "key", "left").withColumn("part", part).join(crowds, ["key", "part"], "left")
-    share = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") * 2 / BLOCK_ROWS)))
-    blocks = rows.select(F.xxhash64("key", "part", share).alias("block"), "second", "doc_id", "profile")
-    pairs = blocks.repartition("block").sortWithinPartitions("block", "second", "doc_id").mapInArrow(_compare(KEPT), "doc_id bigint, other bigint, weight int")
-    # Spread by the end that votes are joined on, each pair once: its cosine is the same in every list.
-    return pairs.repartition("other").groupBy("other", "doc_id").agg(F.max("weight").alias("weight"))
+    rows = profiles.select("doc_id", F.size("profile").alias("size"), F.explode("profile").alias("phrase"))
+    parts = rows.groupBy("phrase").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    rows = rows.join(parts, "phrase")
+    one = rows.select("phrase", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "doc_id", "size")
+    two = rows.select("phrase", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("doc_id").alias("other"), F.col("size").alias("others"))
+    shared = one.join(two, ["phrase", "part"]).where("doc_id <> other").groupBy("doc_id", "other").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("others").alias("others"))
+    cosine = shared.select("doc_id", "other", (F.col("n") / F.sqrt(F.col("size").cast("double") * F.col("others"))).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
+    if KEPT is not None:
+        best = Window.partitionBy("doc_id").orderBy(F.desc("cosine"), "other")
+        cosine = cosine.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= KEPT)
+    return cosine.select("doc_id", "other", F.round(F.col("cosine") * 64).cast("int").alias("weight"))
+
+
+def _shares(flow: DataFrame) -> DataFrame:
+    """(doc_id, subject, w) of flow(doc_id, subject, v): what is voted, in shares of the document's votes."""
+    share = F.col("v") / F.sum("v").over(Window.partitionBy("doc_id"))
+    return flow.select("doc_id", "subject", F.round(share * ONE).cast("int").alias("w"))
+
+
+def _sharpened(votes: DataFrame) -> DataFrame:
+    """Votes by the INFLATION-th power of their shares: a document's neighbours are all that share a phrase, also those of its other subjects."""
+    share = F.pow(F.col("w") / ONE, F.lit(INFLATION))
+    power = votes.select("doc_id", "subject", F.round(share * ONE * ONE).cast("bigint").alias("v"))
+    return _shares(power)
 
 
 def _votes(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, subject, w): the neighbours' labels by the edges' weights, in shares."""
     lists = labels.groupBy(F.col("doc_id").alias("other")).agg(F.collect_list(F.struct("subject", "w")).alias("own"))
-    flow = edges.join(lists, "other").select("doc_id", "weight", F.explode("own").alias("x")).groupBy("doc_id", "x.subject").agg(F.sum(F.col("weight") * F.col("x.w")).alias("v"))
-    share = F.col("v") / F.sum("v").over(Window.partitionBy("doc_id"))
-    return flow.select("doc_id", "subject", F.round(share * ONE).cast("int").alias("w"))
+    return _shares(edges.join(lists, "other").select("doc_id", "weight", F.explode("own").alias("x")).groupBy("doc_id", "x.subject").agg(F.sum(F.col("weight") * F.col("x.w")).alias("v")))
+
+
+def phrase_votes(profiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, subject, w): the labels of all documents that share a phrase, by the cosines of the profiles, in shares.
+
+    The sum of cosine x label over all neighbours is, up to a factor of the document that falls out of the shares, the sum over its phrases of what
+    all documents with the phrase have of the subject, each divided by the root of its profile's size, less its own part.
+    Up to TABLE_ROWS sums are looked up in a broadcast table, more by a join; the result is the same.
+    """
+    part = F.round(F.col("w") * ONE / F.sqrt(F.size("profile"))).cast("bigint")
+    held = labels.join(profiles.select("doc_id", "profile"), "doc_id").select("doc_id", "subject", "profile", part.alias("part"))
+    sums = materialize(held.select(F.explode("profile").alias("phrase"), "subject", "part").groupBy("phrase", "subject").agg(F.sum("part").alias("v")), "sums")
+    own = held.select("doc_id", "subject", (-F.size("profile") * F.col("part")).alias("v"))
+    if sums.limit(TABLE_ROWS + 1).count() <= TABLE_ROWS:
+        table = sums.orderBy("phrase", "subject").toArrow()  # its size was checked
+        handle = profiles.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("phrase", "subject", "v")))
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, subject, v = handle.value
+            kinds = int(subject.max(initial=0)) + 1
+            for batch in batches:
+                lists = batch.column("profile")
+                phrase = lists.flatten().to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                low = np.searchsorted(key, phrase)
+                n = np.searchsorted(key, phrase, "right") - low
+                at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                if not len(at):
+                    continue
+                to = np.repeat(doc, n) * kinds + subject[at]
+                order = np.argsort(to, kind="stable")
+                to = to[order]
+                first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                there = to[first]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(there // kinds)), pa.array((there % kinds).astype("int32")), pa.array(np.add.reduceat(v[at][order], first))], names=["doc_id", "subject", "v"])
+
+        heard = profiles.select("doc_id", "profile").mapInArrow(look_up, "doc_id bigint, subject int, v bigint")
+    else:
+        lists = sums.groupBy("phrase").agg(F.collect_list(F.struct("subject", "v")).alias("xs"))  # a subject each
+        heard = profiles.select("doc_id", F.explode("profile").alias("phrase")).join(lists, "phrase").select("doc_id", F.explode("xs").alias("x")).select("doc_id", "x.subject", "x.v")
+    return _shares(heard.unionByName(own).repartition("doc_id").groupBy("doc_id", "subject").agg(F.sum("v").alias("v")).where(F.col("v") > 0))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, labels: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+def propagate(edges: DataFrame | Callable[[DataFrame], DataFrame], seeds: DataFrame, labels: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     """(labels, votes), each (doc_id, subject, w), after some rounds; votes are the last round's, however small.
 
+    edges: (doc_id, other, weight), or what gives the votes over a graph that isn't written out.
     A seed is trusted, and clamped to half of its document's weight at least, unless its neighbours vote, and less than TRUST for it.
     """
+    vote = edges if callable(edges) else partial(_votes, edges)
     trusted = votes = None
     for i in range(rounds):
-        votes = materialize(_votes(edges, labels), f"votes{i}")
+        votes = materialize(vote(labels), f"votes{i}")
         heard = votes.where(F.col("w") >= int(RETAINED * ONE))
         if trusted is None:
             borne = seeds.join(votes.where(F.col("w") >= int(TRUST * ONE)).select("doc_id", "subject"), ["doc_id", "subject"], "left_semi")
@@ -449,9 +436,7 @@ def subjects_of(documents: DataFrame, labels: DataFrame, items: DataFrame | None
     for i in range(rounds):
         pure = materialize(_pure(worded, state), f"pure{i}")
         profiles = materialize(_profiles(worded, pure), f"profiles{i}")
-        edges = similar_documents(profiles).persist()  # so that no round of votes spreads them again; what is lost is computed from the profiles
-        state, votes = propagate(edges, seeds, state, 2 if i == 0 else 1)
-        edges.unpersist()
+        state, votes = propagate(lambda own, profiles=profiles: _sharpened(phrase_votes(profiles, own)), seeds, state, 2 if i == 0 else 1)
     whole = F.aggregate("sentences", F.lit(0), lambda a, x: a + x)
     counted = profiles.select("doc_id", whole.alias("all"), F.explode(F.arrays_zip("subjects", "sentences")).alias("x"))
     shares = counted.select("doc_id", F.col("x.subjects").alias("subject"), F.col("x.sentences").cast("bigint").alias("sentences"), (F.col("x.sentences") / F.col("all")).alias("share")).where(F.col("share") >= share - 1e-9)

@@ -512,6 +512,26 @@ def test_a_crowd_with_one_profile_is_divided(spark, monkeypatch):
     assert edges.select("doc_id").distinct().count() == 300 and edges.where("weight <> 64").count() == 0
 
 
+def test_no_partner_of_a_crowd_is_dropped(spark, monkeypatch):
+    rnd = random.Random(8)
+    profiles = {d: {7} | set(rnd.sample(range(10, 90), rnd.randint(0, 6))) for d in range(60)}
+    frame = spark.createDataFrame([(d, sorted(ps), [7]) for d, ps in profiles.items()], "doc_id bigint, profile array<int>, lead array<int>")
+    cosine = {(a, b): len(profiles[a] & profiles[b]) / (len(profiles[a]) * len(profiles[b])) ** 0.5 for a in profiles for b in profiles if a != b}
+    monkeypatch.setattr(subjects, "BLOCK_ROWS", 20)
+    assert {(r.doc_id, r.other): r.weight for r in subjects.similar_documents(frame).collect()} == {k: round(64 * c) for k, c in cosine.items()}
+    labels = [(d, d % 3, subjects.ONE) for d in range(20)] + [(d, s, subjects.ONE // 2) for d in range(20, 30) for s in (1, 4)]
+    sums = {}
+    for (a, b), c in cosine.items():
+        for d, s, w in labels:
+            if d == b:
+                sums[a, s] = sums.get((a, s), 0) + c * w
+    total = {a: sum(v for (d, _), v in sums.items() if d == a) for a in profiles}
+    for rows in (10**6, 0):
+        monkeypatch.setattr(subjects, "TABLE_ROWS", rows)
+        got = {(r.doc_id, r.subject): r.w for r in subjects.phrase_votes(frame, spark.createDataFrame(labels, "doc_id bigint, subject int, w int")).collect()}
+        assert got.keys() == sums.keys() and all(abs(got[k] - subjects.ONE * v / total[k[0]]) <= 1 for k, v in sums.items())
+
+
 def test_wrong_seeds_are_not_trusted(spark):
     edges = spark.createDataFrame([(a, b, 40) for a in range(6) for b in range(6) if a != b], "doc_id bigint, other bigint, weight int")
     seeds = spark.createDataFrame([(d, 0 if d else 1, subjects.ONE) for d in range(5)], "doc_id bigint, subject int, w int")
