@@ -15,6 +15,12 @@ from chronoweave.session import materialize
 ELIGIBLE = "evidence = 'verified' OR corroborations >= 1 OR confidence >= 0.9"
 
 
+def _join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by sorting. Sizes of tables on disk are of packed columns, and those of exploded rows are guessed as if nothing had been exploded,
+    so a plan chosen by size would send tables of hundreds of MB through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def document_frequency(facts: DataFrame, cap: int = 200) -> DataFrame:
     """(token, df) over live facts: distinct lower-case tokens among each statement's first ``cap``."""
     t = temporal.live(facts).select(F.explode(F.array_distinct(F.transform(F.slice(S.tokens(F.col("statement")), 1, cap), F.lower))).alias("token"))
@@ -28,7 +34,7 @@ def rare_patterns(facts: DataFrame, df: DataFrame, most: int = 3, max_df: int =
     once = S.bind(S.tokens(F.col("statement")), lambda ts: S.bind(F.transform(ts, F.lower), lambda low: firsts(ts, low)))
     pos = facts.select("id", F.explode(once).alias("x")).select("id", "x.p", "x.t", "x.token").where((F.octet_length("t") >= 4) & ~F.col("token").isin(*S.STOPWORDS))
     w = Window.partitionBy("id").orderBy("df", "p")
-    best = pos.join(df, "token").select("id", "p", "t", "df").repartition("id").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+    best = _join(pos, df, "token").select("id", "p", "t", "df").repartition("id").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
     g = best.groupBy("id").agg(F.min("df").alias("least"), F.sort_array(F.collect_list(F.struct("p", F.replace(F.col("t"), F.lit("."), F.lit("\\.")).alias("t")))).alias("ts"))
     return g.where((F.col("least") <= max_df) & (F.size("ts") >= 2)).select("id", F.array_join(F.transform("ts", lambda x: x["t"]), ".*").alias("pattern"))
 
@@ -78,20 +84,21 @@ def narrow(patterns: DataFrame, facts: DataFrame, most: int = 20) -> DataFrame:
     # The grams of five if a piece has any: these are rarer, and no more are needed.
     sought = spelled.select("piece").distinct().select("piece", F.explode(F.when(F.length("piece") >= 5, _grams(F.col("piece"), 5)).otherwise(_grams(F.col("piece"), 3))).alias("gram"))
     counts = held.groupBy("gram").agg(F.count("*").alias("of"))
-    rarest = sought.join(counts, "gram").groupBy("piece").agg(F.min(F.struct("of", "gram")).alias("k")).select("piece", F.col("k.gram").alias("gram"))
-    spots = materialize(rarest.join(held, "gram").where(F.contains(F.col("word"), F.col("piece"))).select("piece", "word", "n"), "spots")
+    rarest = _join(sought, counts, "gram").groupBy("piece").agg(F.min(F.struct("of", "gram")).alias("k")).select("piece", F.col("k.gram").alias("gram"))
+    spots = materialize(_join(rarest, held, "gram").where(F.contains(F.col("word"), F.col("piece"))).select("piece", "word", "n"), "spots")
     width = spots.groupBy("piece").agg(F.sum("n").alias("n"))
-    chosen = spelled.join(width, "piece", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("k")).where("k.n > 0").select("id", F.col("k.piece").alias("piece"))
-    keyed = materialize(chosen.join(valid.select("id", "pattern"), "id"), "keyed")
-    needed = spots.join(keyed.select("piece").distinct(), "piece", "left_semi").select("piece", "word")
-    meet = said.join(needed, "word").groupBy("fid").agg(F.collect_set("piece").alias("pieces")).join(live, "fid").select("statement", F.explode("pieces").alias("piece"))
+    chosen = _join(spelled, width, "piece", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("k")).where("k.n > 0").select("id", F.col("k.piece").alias("piece"))
+    keyed = materialize(_join(chosen, valid.select("id", "pattern"), "id"), "keyed")
+    needed = _join(spots, keyed.select("piece").distinct(), "piece", "left_semi").select("piece", "word")
+    held_by = _join(said, needed, "word").groupBy("fid").agg(F.collect_set("piece").alias("pieces"))
+    meet = _join(held_by, live, "fid").select("statement", F.explode("pieces").alias("piece"))
     test = F.expr("statement rlike concat('(?i)', pattern)")
-    hits = keyed.join(meet, "piece").where(test).select("id")
+    hits = _join(keyed, meet, "piece").where(test).select("id")
     unindexed = valid.where(F.size("pieces") == 0).select("id", "pattern")  # blanks stand in each of their pieces
     if unindexed.limit(1).count():
-        hits = hits.unionByName(unindexed.crossJoin(live).where(test).select("id"))
+        hits = hits.unionByName(unindexed.crossJoin(live.hint("shuffle_replicate_nl")).where(test).select("id"))
     n = F.coalesce("n", F.lit(0))
-    return valid.select("id", "pattern").join(hits.groupBy("id").agg(F.count("*").alias("n")), "id", "left").where(n <= most).select("id", "pattern", n.alias("matches"))
+    return _join(valid.select("id", "pattern"), hits.groupBy("id").agg(F.count("*").alias("n")), "id", "left").where(n <= most).select("id", "pattern", n.alias("matches"))
 
 
 def quota_sample(rows: DataFrame, group: str, n: int, seed: int = 7) -> DataFrame:

@@ -246,6 +246,27 @@ def test_narrow_patterns_meet_statements_at_a_piece_and_pairs_do_not_move(spark)
     assert any("piece#" in line for line in tried) and not any("fid#" in line for line in tried)
 
 
+def test_narrow_patterns_sends_no_table_through_the_driver(spark, monkeypatch):
+    """Whatever the sizes on disk: words and pieces are few bytes there, and their grams hundreds of MB."""
+    said = [" ".join(f"word{i * 7 % k}x{k}" for k in (11, 13, 17)) for i in range(40)]
+    f = facts(spark, [dict(id=i, statement=s) for i, s in enumerate(said)])
+    plans, write = [], mining.materialize
+
+    def materialize(df, label):
+        out = write(df, label)
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(mining, "materialize", materialize)
+    blank = spark.createDataFrame([(100, r"1\ w")], "id int, pattern string")
+    out = mining.narrow(mining.rare_patterns(f, mining.document_frequency(f)).unionByName(blank), f, 40)
+    got = {r.id: (r.pattern, r.matches) for r in out.collect()}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(got) == 41 and got[100][1] == 40 and all(n == sum(bool(re.search(p, s, re.I)) for s in said) for p, n in got.values())
+    assert "SortMergeJoin" in plans[-1] and "CartesianProduct" in plans[-1] and not any("Broadcast" in p for p in plans)
+
+
 def test_kmeans_separates(spark):
     v = spark.createDataFrame([(i, [1.0, 0.0] if i < 5 else [0.0, 1.0]) for i in range(10)], "id bigint, vec array<float>")
     got = {r.id: r.cluster for r in topics.kmeans(v, 2).collect()}
